@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import linededup, mixing, quality, simhash, warc
+from .common import Scratch, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,78 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "warc").path("archive")
+    warc.archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return warc.describe(warc.restore(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.apply(table(spark, sf_dir, "documents"), min_chars=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size")
+    mixed = mixing.mix(Scratch(spark, "sizes").put("sizes", docs), max_epochs=3)
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_quality_rules": op3_quality_rules, "op4_line_dedup": op4_line_dedup, "op8_mixing": op8_mixing}
+
+SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+BASE32_SQL = " || ".join(f"substr('{warc.BASE32}', 1 + ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {s}) & 31)::INT, 1)" for i in range(8) for s in (15, 10, 5, 0))
+UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+        b AS (SELECT h, max(page_id) AS best FROM p GROUP BY h)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {BASE32_SQL} AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM p JOIN b USING (h)""",
+    "op3_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {SQL_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        x AS (SELECT doc_id, i, list_aggregate(w[i:i + 7], 'string_agg', ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8)),
+        r AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id),
+        f AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+                     (len(list_filter(l, lambda y: regexp_matches(y, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+                     coalesce(n, 0)::BIGINT AS n_repeat_words,
+                     array_to_string(list_filter(l, lambda y: NOT (
+                        length(regexp_replace(y, '[^!#*$%&|<>{{}}=_~^\\]+', '', 'g')) * 100 > length(y) * {quality.MARK_PERCENT}
+                        OR len(regexp_extract_all(y, '[\x20\t][|>/•·»][\x20\t]')) >= {quality.SEPARATOR_COUNT}
+                        OR regexp_matches(y, '(?i){"|".join(quality.BOILERPLATE)}'))), chr(10)) AS clean
+              FROM d LEFT JOIN c USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND (length(t) - length(clean)) * 100 <= length(t) * {quality.LOST_PERCENT} AS kept
+        FROM f""",
+    "op4_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+        k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {UPPER_LOWER}) AS key FROM l),
+        f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+        m AS (SELECT doc_id, pos, line, coalesce(first < doc_id, false) AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
+    "op8_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INT AS bin FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS most, sum(source_size) OVER () AS total FROM s),
+        a AS (SELECT *, most / weight AS ratio, (total - coalesce(sum(most) OVER (ORDER BY most / weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                     / sum(weight) OVER (ORDER BY most / weight ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        v AS (SELECT arg_min(level, ratio) FILTER (level <= ratio) AS level FROM a),
+        t AS (SELECT source, source_size, least(weight * v.level, most::DOUBLE) AS target FROM w, v),
+        g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+        h AS (SELECT source, bin, sum(size)::BIGINT AS words FROM d GROUP BY source, bin),
+        u AS (SELECT h.source, bin, words, target - whole * source_size AS rest, sum(words) OVER (PARTITION BY h.source ORDER BY bin) AS upto FROM h JOIN g ON h.source IS NOT DISTINCT FROM g.source),
+        c AS (SELECT source, max(bin) AS cut FROM u WHERE words > 0 AND rest > 0 AND upto - words / 2 <= rest GROUP BY source)
+        SELECT doc_id, size, source_size, round(target, 6) AS target, size * (whole + CASE WHEN bin <= coalesce(cut, -1) THEN 1 ELSE 0 END)::BIGINT AS taken
+        FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source""",
+}
