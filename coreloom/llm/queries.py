@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, quality, simhash, warc
+from . import ann, lattice, linededup, mixing, quality, simhash, warc
 from .common import Scratch, table
 
 
@@ -29,13 +29,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op6_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size")
     mixed = mixing.mix(Scratch(spark, "sizes").put("sizes", docs), max_epochs=3)
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_quality_rules": op3_quality_rules, "op4_line_dedup": op4_line_dedup, "op8_mixing": op8_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_quality_rules": op3_quality_rules, "op4_line_dedup": op4_line_dedup, "op5_hilbert_ann": op5_hilbert_ann, "op6_subword_lattice": op6_subword_lattice, "op8_mixing": op8_mixing}
 
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 BASE32_SQL = " || ".join(f"substr('{warc.BASE32}', 1 + ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {s}) & 31)::INT, 1)" for i in range(8) for s in (15, 10, 5, 0))
