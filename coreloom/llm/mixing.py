@@ -51,10 +51,11 @@ def targets(sources: DataFrame, max_epochs: int, scratch: Scratch, weights: tupl
     return rows.select("source", "source_size", F.least(F.col("weight") * level, F.col("most").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7) -> DataFrame:
-    """docs (doc_id, source, size and others) with source_size, target and repeats, how often the mix has the row."""
+def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, sizes: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, source, size and others) with source_size, target and repeats, how often the mix has the row.
+    sizes: doc_id, source and size of docs, where a table of these is cheaper to read than docs."""
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).alias("size"))
+    sized = (docs if sizes is None else sizes).select("doc_id", "source", F.coalesce("size", F.lit(0)).alias("size"))
     bins = scratch.put("bins", sized.groupBy("source", dice(F.col("doc_id"), seed).alias("bin")).agg(F.sum("size").alias("words")))
     goal = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs, scratch)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lattice, linededup, mixing, quality, simhash, warc
+from . import ann, lattice, linededup, mixing, packing, pii, quality, simhash, toxicity, warc
 from .common import Scratch, table
 
 
@@ -38,13 +38,25 @@ def op6_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size")
     mixed = mixing.mix(Scratch(spark, "sizes").put("sizes", docs), max_epochs=3)
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_quality_rules": op3_quality_rules, "op4_line_dedup": op4_line_dedup, "op5_hilbert_ann": op5_hilbert_ann, "op6_subword_lattice": op6_subword_lattice, "op8_mixing": op8_mixing}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_quality_rules": op3_quality_rules, "op4_line_dedup": op4_line_dedup, "op5_hilbert_ann": op5_hilbert_ann, "op6_subword_lattice": op6_subword_lattice, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_packing": op9_packing, "op10_pii": op10_pii}
 
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 BASE32_SQL = " || ".join(f"substr('{warc.BASE32}', 1 + ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {s}) & 31)::INT, 1)" for i in range(8) for s in (15, 10, 5, 0))

@@ -6,6 +6,9 @@ threshold in at least one partition. The thresholds are chosen by dynamic progra
 counts. Probes enumerate the variants of a partition's value, meet the indexed values in buckets, and are verified
 on all 64 bits there. A bucket gives back a spanning forest of its links, never all pairs.
 
+For similar rather than nearly equal texts the radius is wider, and 64 bits no longer tell strangers apart in a large
+corpus: `similar` carries 192 more bits with each fingerprint and verifies links on all 256.
+
 Empty and null texts have fingerprint zero and link like any other. Repeated rows share a fingerprint. Rows whose
 doc_id is null take part; a component's id is its smallest doc_id that isn't null. An empty table gives no rows;
 other columns are ignored.
@@ -54,16 +57,30 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int, cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `cols` and `fp` of every row of docs."""
+def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Further 64 bits from each hash: the splitmix64 finaliser of the hash plus `turn` steps."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * turn & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprints(docs: DataFrame, shingle: int, cols: tuple[str, ...] = ("doc_id",), more: int = 0) -> DataFrame:
+    """The columns `cols` and `fp` of every row of docs; with `more`, also so many further fingerprints in `wide`."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = [fingerprint(shingle_hashes(t, shingle)) for t in b.pop("_text")]
-            yield b.assign(fp=np.array(fps, np.int64))
+            fps, wide = [], []
+            for t in b.pop("_text"):
+                h = shingle_hashes(t, shingle)
+                fps.append(fingerprint(h))
+                if more:
+                    wide.append(np.array([fingerprint(remixed(h, k)) for k in range(1, more + 1)], np.int64).tobytes())
+            b = b.assign(fp=np.array(fps, np.int64))
+            yield b.assign(wide=wide) if more else b
 
     src = docs.select(*cols, F.col("text").cast("binary").alias("_text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
-    return src.mapInPandas(run, f"{fields}, fp long")
+    return src.mapInPandas(run, f"{fields}, fp long" + ", wide binary" * bool(more))
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -167,33 +184,52 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _verify(left: np.ndarray, right: np.ndarray, radius: int, wide: tuple[np.ndarray, np.ndarray, int] | None) -> list[tuple[int, int]]:
+    """A forest of the links between left and right. wide: the further bits of both (a row each), and how many of all
+    the bits may differ."""
     found = []
     for i in range(0, len(left), 512):
         close = np.bitwise_count(left[i : i + 512, None] ^ right[None, :]) <= radius
         x, y = np.nonzero(close)
-        keep = left[i + x] != right[y]
-        found.append((left[i + x[keep]], right[y[keep]]))
-    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1)) if found else (np.empty(0), np.empty(0))
-    return forest(a.view(np.int64), b.view(np.int64)) if len(a) else []
-
+        x += i
+        keep = left[x] != right[y]
+        x, y = x[keep], y[keep]
+        if wide:
+            differ = np.bitwise_count(left[x] ^ right[y]).astype(np.int64)
+            for k in range(wide[0].shape[1]):
+                differ += np.bitwise_count(wide[0][x, k] ^ wide[1][y, k])
+            x, y = x[differ <= wide[2]], y[differ <= wide[2]]
+        found.append((left[x], right[y]))
+    a, b = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1)) if found else (np.empty(0, np.int64),) * 2
+    return forest(a, b)
+
+
+def _bucket_links(rows: DataFrame, radius: int, most: int) -> DataFrame:
+    """Links within buckets: rows with the lists held and probes, and if most > 0 their further bits."""
+    cols = ["held", "probes", *(["held_wide", "probes_wide"] if most else [])]
+
+    def bits(col: list[bytes]) -> np.ndarray:
+        return np.stack([np.frombuffer(x, np.uint64) for x in col]) if len(col) else None
 
-def _bucket_links(rows: DataFrame, own: str, probes: str, radius: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for own_, probes_ in zip(batch[own], batch[probes]):
-                left, more = np.asarray(own_, np.int64).view(np.uint64), np.asarray(probes_, np.int64).view(np.uint64)
-                out += _verify(left, np.concatenate((left, more)), radius)
+            for held, probes, *wide in zip(*(batch[c] for c in cols)):
+                left, more = np.asarray(held, np.int64).view(np.uint64), np.asarray(probes, np.int64).view(np.uint64)
+                if most:
+                    own = bits(wide[0])
+                    wide = (own, np.concatenate((own, bits(wide[1]))) if len(more) else own, most)
+                out += _verify(left, np.concatenate((left, more)), radius, wide or None)
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return rows.select(own, probes).mapInPandas(run, "a long, b long")
+    return rows.select(*cols).mapInPandas(run, "a long, b long")
 
 
-def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+def links(fps: DataFrame, radius: int, scratch: Scratch, most: int = 0) -> DataFrame:
     """Links (a, b) that connect whatever distinct fingerprints lie within `radius` bits of each other.
 
-    fps: the column fp, without repeats. No cap: a bucket of over BUCKET rows is dealt out. Within radius 2, two
+    fps: the column fp, without repeats; with most > 0 also wide, further bits, and links differ in at most `most`
+    of all the bits. No cap: a bucket of over BUCKET rows is dealt out. Within radius 2, two
     fingerprints share a value that each reaches by flipping one bit or none, so these values (at most 65 holders
     each) link its members in work proportional to their number. Beyond, its members are dealt into blocks, and
     each pair of blocks is verified in a task of its own.
@@ -201,13 +237,15 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     counts = bit_counts(fps)
     n = fps.count()
     parts = plan(counts, n, radius)
-    keyed = fps.select("fp", F.inline(probe_keys(F.col("fp"), parts)))
+    wide = ["wide"] if most else []
+    keyed = fps.select("fp", *wide, F.inline(probe_keys(F.col("fp"), parts)))
     sizes = keyed.groupBy("p", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
     large = scratch.put("large", sizes)
     cold = keyed.join(large, ["p", "key"], "left_anti") if (any_large := bool(large.head(1))) else keyed
-    buckets = cold.groupBy("p", "key").agg(F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("held"), F.collect_list(F.when(~F.col("own"), F.col("fp"))).alias("probes")).where((F.size("held") > 0) & (F.size("held") + F.size("probes") > 1))
-    out = _bucket_links(buckets, "held", "probes", radius)
-    if any_large and radius <= 2:
+    lists = [F.collect_list(F.when(own, F.col(c))).alias(name + suffix) for name, own in (("held", F.col("own")), ("probes", ~F.col("own"))) for c, suffix in (("fp", ""), *((("wide", "_wide"),) if most else ()))]
+    buckets = cold.groupBy("p", "key").agg(*lists).where((F.size("held") > 0) & (F.size("held") + F.size("probes") > 1))
+    out = _bucket_links(buckets, radius, most)
+    if any_large and radius <= 2 and not most:
         flips = F.lit([0] + [signed(1 << b) for b in range(BITS)]).cast("array<bigint>")
         hot = keyed.join(large, ["p", "key"]).select("fp").distinct()
         near = hot.select("fp", F.explode(F.transform(flips, lambda e: F.col("fp").bitwiseXOR(e))).alias("mid"))
@@ -215,21 +253,57 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
         out = out.union(ends.select("a", F.explode("all").alias("b")).where("a <> b"))
     elif any_large:
         hot = keyed.join(large, ["p", "key"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(BUCKET / 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        dealt = hot.select("p", "key", "fp", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("p", "key", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "own", "block")
-        pairs = dealt.groupBy("p", "key", "i", "j").agg(F.collect_set(F.when(F.col("own"), F.col("fp"))).alias("held"), F.collect_set(F.when(~F.col("own"), F.col("fp"))).alias("probes"))
-        out = out.union(_bucket_links(pairs.where(F.size("held") > 0), "held", "probes", radius))
+        dealt = hot.select("p", "key", "fp", *wide, "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("p", "key", "fp", *wide, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "own")
+        pairs = dealt.groupBy("p", "key", "i", "j").agg(*lists)
+        out = out.union(_bucket_links(pairs.where(F.size("held") > 0), radius, most))
     return out
 
 
+def _classes(fps: DataFrame, distinct: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """fps with component_id, from the links found between the distinct fingerprints (fp, first)."""
+    roots = components(found, scratch)
+    linked = scratch.put("linked", roots.join(distinct, roots.node == distinct.fp).select("node", "root", "first"))
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return fps.join(classes, "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp (long) and component_id of every row of docs; see the module."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.put("fps", fingerprints(docs, shingle))
     distinct = scratch.put("distinct", fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct.select("fp"), radius, scratch), scratch)
-    linked = scratch.put("linked", roots.join(distinct, roots.node == distinct.fp).select("node", "root", "first"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return _classes(fps, distinct, links(distinct.select("fp"), radius, scratch), scratch).select("doc_id", "fp", "component_id")
+
+
+def radius_of(similarity: float, bits: int, deviations: float) -> int:
+    """Bits of `bits` in which texts of that Jaccard similarity of their shingles differ, and so many standard
+    deviations more. A bit differs with the angle between the texts' shingle vectors over pi."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`cols`, fp and component_id of every row of docs (cols have doc_id): components of texts whose shingles are
+    similar. Candidates come from 64 bits, with the radius that holds two thirds of the pairs just at the similarity and
+    nearly all of those above 0.9; they are verified on 256."""
+    scratch = Scratch(docs.sparkSession, "similar")
+    fps = scratch.put("fps", fingerprints(docs, shingle, cols, more=3))
+    distinct = scratch.put("distinct", fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("wide").alias("wide")))
+    found = links(distinct.select("fp", "wide"), radius_of(similarity, BITS, 0.5), scratch, most=radius_of(similarity, 4 * BITS, 2))
+    return _classes(fps, distinct, found, scratch).select(*cols, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component of similar texts: that of the smallest (doc_id, hash of the text), null ids
+    last. Other columns pass through; of rows that agree in doc_id and text, any one stays."""
+    key = {"_null": F.col("doc_id").isNull(), "_doc": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("text")}
+    found = similar(docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")), shingle, similarity, ("doc_id", "_hash"))
+    rows = found.select("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"), F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_doc"), "_hash")
+    counted = rows.groupBy("component_id", "fp", "_null", "_doc", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    stay = counted.groupBy("component_id", "fp").agg(F.min(F.struct("_null", "_doc", "_hash", "_n")).alias("s")).select("s.*")
+    kept = docs.withColumns(key).join(stay, list(key))
+    once = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(list(key)))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
