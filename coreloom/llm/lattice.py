@@ -20,7 +20,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod
@@ -29,11 +29,13 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The end of a text, as a word and as a piece. No word is empty.
 END = b""
 MARK = "▁"
-#: The words that most training text is made of: their counts are sent to every task, those of other words joined.
-#: A fixed number, whatever the corpus; it decides the way, not the result.
-COMMON = 20_000
-#: Words whose score a task remembers, and words it counts before it hands them on.
+#: The words that most training text is made of: their counts and scores are sent to every task, those of other words
+#: joined. A fixed number, whatever the corpus; it decides the way, not the result.
+COMMON = 50_000
+#: Words that a task counts before it hands them on.
 MEMORY = 100_000
+#: Words of one length that go through the lattice side by side, and bytes beyond which a word goes alone.
+SIDE_BY_SIDE, LONG = 4096, 48
 ROUNDS = 2
 LOG10 = math.log(10)
 
@@ -107,42 +109,159 @@ def expected(word: bytes, count: float, pieces: dict[bytes, float], longest: int
                     into[text[i:j]] = into.get(text[i:j], 0.0) + count * share
 
 
+class Lattice:
+    """The forward and backward recursions for many words at once: words of one length are the rows of a matrix, and
+    the pieces between two of its columns are found by a rolling hash."""
+
+    BASE, SPREAD, BITS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 18
+
+    def __init__(self, pieces: dict[bytes, float]):
+        self.pieces, self.names = pieces, list(pieces)
+        self.scores = np.array([*pieces.values(), -math.inf])  # the last is that of no piece
+        self.longest = max(map(len, pieces))
+        self.powers = np.array([pow(int(self.BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+        size = 1 << self.BITS
+        self.keys, self.ids, self.probes = np.zeros(size, np.uint64), np.full(size, -1, np.int32), 1
+        for at, piece in enumerate(self.names):
+            if piece == END:
+                continue
+            h = np.uint64(self.hash(piece))
+            slot, tries = int(self.slot(np.array([h], np.uint64))[0]), 1
+            while self.ids[slot] >= 0:
+                slot, tries = (slot + 1) % size, tries + 1
+            self.keys[slot], self.ids[slot], self.probes = h, at, max(self.probes, tries)
+
+    def hash(self, piece: bytes) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.BASE) + c + 1) & ((1 << 64) - 1)
+        return h
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (h * self.SPREAD >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash's piece; -1 for none."""
+        slot = self.slot(h)
+        out = np.where(self.keys[slot] == h, self.ids[slot], -1)
+        for _ in range(1, self.probes):
+            left = np.nonzero((out < 0) & (self.ids[slot] >= 0))  # a slot that another piece holds
+            if not len(left[0]):
+                break
+            slot[left] = (slot[left] + 1) % len(self.ids)
+            out[left] = np.where(self.keys[slot[left]] == h[left], self.ids[slot[left]], -1)
+        return out
+
+    def batches(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in words, matrix of their bytes with the space in front) of words of LONG bytes or fewer."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        order = order[np.searchsorted(size[order], 1) : np.searchsorted(size[order], LONG, "right")]
+        for n in np.unique(size[order]):
+            own = order[np.searchsorted(size[order], n) : np.searchsorted(size[order], n, "right")]
+            for at in range(0, len(own), SIDE_BY_SIDE):
+                part = own[at : at + SIDE_BY_SIDE]
+                flat = np.frombuffer(b"".join([words[k] for k in part]), np.uint8).reshape(len(part), n)
+                yield part, np.concatenate((np.full((len(part), 1), 32, np.uint8), flat), axis=1)
+
+    def forward(self, text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """alpha (log probability of each word's first j bytes), and for each j the pieces that end there."""
+        n, length = text.shape
+        prefix = np.zeros((n, length + 1), np.uint64)
+        for j in range(length):
+            prefix[:, j + 1] = prefix[:, j] * self.BASE + text[:, j] + np.uint64(1)
+        alpha, found = np.full((n, length + 1), -np.inf), []
+        alpha[:, 0] = 0
+        for j in range(1, length + 1):
+            i = max(0, j - self.longest)
+            ids = self.find(prefix[:, j : j + 1] - prefix[:, i:j] * self.powers[j - i : 0 : -1])
+            terms = alpha[:, i:j] + self.scores[ids]
+            top = np.maximum(terms.max(axis=1), -1e300)
+            with np.errstate(divide="ignore"):
+                alpha[:, j] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
+            found.append(ids)
+        return alpha, found
+
+    def log_probs(self, words: list[bytes]) -> np.ndarray:
+        out = np.full(len(words), self.pieces[END])
+        for at, text in self.batches(words):
+            out[at] = self.forward(text)[0][:, -1]
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = log_prob(w, self.pieces, self.longest)
+        return out
+
+    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """How often each piece is expected to be used, in `counts` occurrences of the words."""
+        uses = np.zeros(len(self.names))
+        for at, text in self.batches(words):
+            alpha, found = self.forward(text)
+            beta, total, c = np.full(alpha.shape, -np.inf), alpha[:, -1:], counts[at][:, None]
+            beta[:, -1] = 0
+            for j in range(text.shape[1], 0, -1):
+                ids = found[j - 1]
+                i = j - ids.shape[1]
+                through = self.scores[ids] + beta[:, j : j + 1]
+                beta[:, i:j] = np.logaddexp(beta[:, i:j], through)
+                real = ids >= 0
+                uses += np.bincount(ids[real], (c * np.exp(np.minimum(0, alpha[:, i:j] + through - total)))[real], len(uses))
+        more: dict[bytes, float] = {}
+        for w, c in zip(words, counts):
+            if len(w) > LONG or w == END:
+                expected(w, float(c), self.pieces, self.longest, more)
+        place = {p: k for k, p in enumerate(self.names)} if more else {}
+        for p, c in more.items():
+            uses[place[p]] += c
+        return uses
+
+
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # on bytes: A-Z alone, and exactly the white space of the word rule
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word (binary), c: of all words and ends in docs."""
+def count_words(docs: DataFrame, trains: Column) -> DataFrame:
+    """word (binary), c: of all words and ends in docs, counted where `trains` holds; 0 for those only found elsewhere."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[bytes] = Counter()
-        for b in batches:
-            for t in b.text:
-                seen.update(words(t))
-            seen[END] += len(b)
-            if len(seen) > MEMORY:
-                yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
-                seen.clear()
-        if seen:
-            yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
+        seen, other = Counter(), set()
+
+        def table() -> pd.DataFrame:
+            zero = [w for w in other if w not in seen]
+            return pd.DataFrame({"word": [*seen.keys(), *zero], "c": [*seen.values(), *([0] * len(zero))]})
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        for b in batches:
+            for t, own in zip(b.text, b.trains):
+                if own:
+                    seen.update(words(t))
+                    seen[END] += 1
+                else:
+                    other.update(words(t))
+                    other.add(END)
+                if len(seen) + len(other) > MEMORY:
+                    yield table()
+                    seen.clear()
+                    other.clear()
+        if seen or other:
+            yield table()
+
+    return docs.select(F.col("text").cast("binary").alias("text"), trains.alias("trains")).mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def train(counts: DataFrame, pieces: dict[bytes, float], rounds: int = ROUNDS) -> dict[bytes, float]:
     """Weights re-estimated from (word, c); what comes to the driver is a number for each piece of the vocabulary."""
-    sc = counts.sparkSession.sparkContext
+    sc, names = counts.sparkSession.sparkContext, list(pieces)
     for _ in range(rounds):
-        longest, now = max(map(len, pieces)), sc.broadcast(pieces)  # of the vocabulary's size, whatever the corpus
+        now = sc.broadcast(pieces)  # of the vocabulary's size, whatever the corpus
 
-        def run(batches: Iterator[pd.DataFrame], now=now, longest=longest) -> Iterator[pd.DataFrame]:
-            uses: dict[bytes, float] = {}
+        def run(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            lattice = Lattice(now.value)
+            uses = np.zeros(len(lattice.names))
             for b in batches:
-                for w, c in zip(b.word, b.c):
-                    expected(w, c, now.value, longest, uses)
-            yield pd.DataFrame({"piece": list(uses.keys()), "n": list(uses.values())})
+                uses += lattice.expected(list(b.word), b.c.to_numpy(np.float64))
+            at = np.flatnonzero(uses)
+            yield pd.DataFrame({"piece": at, "n": uses[at]})
 
-        found = counts.mapInPandas(run, "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        used = {bytes(p): n for p, n in found}
+        found = counts.where("c > 0").mapInPandas(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        used = {names[p]: n for p, n in found}
         if not used:
             return pieces
         # a hundredth of a use for each piece keeps every text possible
@@ -150,55 +269,63 @@ def train(counts: DataFrame, pieces: dict[bytes, float], rounds: int = ROUNDS) -
     return pieces
 
 
+def word_scores(counts: DataFrame, pieces: dict[bytes, float]) -> DataFrame:
+    """(word, c) with lp, the log10 probability of the word: every word goes through the lattice once."""
+    sent = counts.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattice = Lattice(sent.value)
+        for b in batches:
+            yield b.assign(lp=lattice.log_probs(list(b.word)) / LOG10)
+
+    return counts.mapInPandas(run, "word binary, c long, lp double")
+
+
 def score(docs: DataFrame, vocabulary: str = VOCABULARY, split: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark = docs.sparkSession
     sc, scratch = spark.sparkContext, Scratch(spark, "lattice")
     held_out = crc_mod("doc_id", split) == held
-    counts = scratch.put("counts", count_words(docs.where(~held_out)))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    pieces = train(counts, load_vocabulary(vocabulary))
-    longest = max(map(len, pieces))
-    common = {bytes(w): c for w, c in counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()}
-    sent = sc.broadcast((pieces, common))
+    counts = scratch.put("counts", count_words(docs, ~held_out))
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    scored = scratch.put("scored", word_scores(counts, train(counts, load_vocabulary(vocabulary))))
+    common = {bytes(w): (c, math.log10(c + 1), lp) for w, c, lp in scored.orderBy(F.desc("c"), "word").limit(COMMON).collect()}
+    sent = sc.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, often = sent.value
-        known: dict[bytes, float] = {}
+        often = sent.value.get
         for b in batches:
             out = []
             for t in b.pop("text"):
-                tf = Counter(words(t))
-                tf[END] = 1
-                n = have = 0
+                tokens = words(t)
+                have = 0
                 sure = model = 0.0
                 rare_w, rare_n = [], []
+                tf = Counter(tokens)
+                tf[END] = 1
                 for w, m in tf.items():
-                    if (p := known.get(w)) is None:
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        p = known[w] = log_prob(w, weights, longest)
-                    model += m * p
-                    n += m
-                    if (c := often.get(w)) is not None:
-                        have += m
-                        sure += m * math.log10(c + 1)
-                    else:
+                    if (known := often(w)) is None:
                         rare_w.append(w)
                         rare_n.append(m)
-                out.append((n, have, sure, model / LOG10, rare_w, rare_n))
-            yield b.assign(**{c: [o[i] for o in out] for i, c in enumerate(("n_tokens", "have", "sure", "score", "rare_w", "rare_n"))})
+                    else:
+                        c, log_c, lp = known
+                        have += m if c else 0
+                        sure += m * log_c
+                        model += m * lp
+                out.append((len(tokens) + 1, have, sure, model, rare_w, rare_n))
+            yield b.assign(**{c: [o[i] for o in out] for i, c in enumerate(("n_tokens", "have", "sure", "model", "rare_w", "rare_n"))})
 
     src = docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
-    fields = "doc_id long, held_out boolean, n_tokens long, have long, sure double, score double, rare_w array<binary>, rare_n array<long>"
+    fields = "doc_id long, held_out boolean, n_tokens long, have long, sure double, model double, rare_w array<binary>, rare_n array<int>"
     rows = scratch.put("rows", src.mapInPandas(run, fields).withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode(F.arrays_zip("rare_w", "rare_n")).alias("r")).select("row", F.col("r.rare_w").alias("word"), F.col("r.rare_n").alias("m"))
-    more = rare.join(counts, "word").groupBy("row").agg(F.sum("m").alias("have2"), F.sum(F.col("m") * F.log10(F.col("c") + F.lit(1.0))).alias("sure2"))
+    rare = rows.select("row", F.inline(F.arrays_zip("rare_w", "rare_n"))).select("row", F.col("rare_w").alias("word"), F.col("rare_n").alias("m"))
+    m, c = F.col("m"), F.col("c")
+    more = rare.join(scored, "word").groupBy("row").agg(F.sum(F.when(c > 0, m).otherwise(0)).alias("have2"), F.sum(m * F.log10(c + F.lit(1.0))).alias("sure2"), F.sum(m * F.col("lp")).alias("model2"))
     full = rows.drop("rare_w", "rare_n").join(more, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return full.select(
         "doc_id", "held_out", "n_tokens", (F.col("have") + zero(F.col("have2"))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("sure") + zero(F.col("sure2")) - F.col("n_tokens") * F.lit(scale_of(total, distinct))).alias("base_score"), "score",
+        (F.col("sure") + zero(F.col("sure2")) - F.col("n_tokens") * F.lit(scale_of(total, distinct))).alias("base_score"), (F.col("model") + zero(F.col("model2"))).alias("score"),
     )
 
 
