@@ -48,12 +48,15 @@ def boundary_hits(marks: DataFrame, others: DataFrame, tolerance: float) -> Data
 
 def _grid(intervals: DataFrame, step: float, name: str) -> DataFrame:
     """bgs_id, k and the class at depth k*step (to six decimals); of overlapping intervals the first."""
-    depth = lambda k: F.round(k * F.lit(step), 6)
     first, last = F.floor(F.col("top_m") / step).cast("int"), F.ceil(F.col("base_m") / step).cast("int")
     spare = F.sequence(F.greatest(first - 1, F.lit(0)), F.greatest(last + 1, F.lit(0)))
-    inside = F.filter(spare, lambda k: (depth(k) >= F.col("top_m")) & (depth(k) < F.col("base_m")))
-    points = intervals.select("bgs_id", "seq", "lith_class", F.explode(inside).alias("k"))
-    return points.groupBy("bgs_id", "k").agg(F.min(F.struct("seq", "lith_class")).alias("f")).select("bgs_id", "k", F.col("f.lith_class").alias(name))
+    depth, edge = F.col("k") * F.lit(step), 1e-5
+    at = F.round(depth, 6)  # decides only near the ends; it is slow
+    clear = (depth >= F.col("top_m") + edge) & (depth < F.col("base_m") - edge)
+    near = (depth >= F.col("top_m") - edge) & (depth < F.col("base_m") + edge)
+    inside = clear | (near & (at >= F.col("top_m")) & (at < F.col("base_m")))
+    points = intervals.select("bgs_id", "seq", "top_m", "base_m", "lith_class", F.explode(spare).alias("k")).where(inside)
+    return points.groupBy("bgs_id", "k").agg(F.min_by("lith_class", "seq").alias(name))
 
 
 def depth_confusion(gold: DataFrame, pred: DataFrame, step: float = 0.1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import EVIDENCE
+from .lineage import cut
 
 # Kernel cut-off in scaled units, prior, and the weights below which nothing is said.
 RADIUS = 3.0
@@ -112,15 +113,16 @@ def nearest_other(points: DataFrame, cell: float) -> DataFrame:
     """
     spark, span = points.sparkSession, points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     reach = math.hypot(*(float(s or 0.0) for s in span))
-    left, found = points, None
+    left, found = points, None  # rounds grow by the logarithm of the extent
     while True:
         pairs = near_pairs(left, points, {"x": cell, "y": cell}).where("bgs_id <> p_bgs_id")
         d2 = F.pow(F.col("x") - F.col("p_x"), 2) + F.pow(F.col("y") - F.col("p_y"), 2)
         best = pairs.groupBy("bgs_id").agg(F.min(F.struct(d2.alias("d2"), F.col("p_bgs_id").alias("id"))).alias("b")).select("bgs_id", F.col("b.id").alias("nearest"), "b.d2")
         last = cell > reach
-        sure = (best if last else best.where(F.col("d2") <= cell * cell)).select("bgs_id", "nearest").persist()
+        sure = (best if last else best.where(F.col("d2") <= cell * cell)).select("bgs_id", "nearest")
+        sure = cut(sure)
         found = sure if found is None else found.unionByName(sure)
-        left = left.join(sure, "bgs_id", "left_anti").persist()
+        left = cut(left.join(sure, "bgs_id", "left_anti"))
         if last or left.isEmpty():
             return found
         cell *= 4
