@@ -4,7 +4,8 @@ Bits that go together are grouped into partitions; each partition gets its own t
 such that the thresholds plus one sum to radius + 1. Two fingerprints within the radius then agree within the
 threshold in at least one partition. The thresholds are chosen by dynamic programming over estimated candidate
 counts. Probes enumerate the variants of a partition's value, meet the indexed values in buckets, and are verified
-on all 64 bits there. A bucket gives back a spanning forest of its links, never all pairs.
+on all 64 bits there. A bucket gives back the classes that its links make, as links of their members to one of them,
+never all pairs.
 
 For similar rather than nearly equal texts the radius is wider, and 64 bits no longer tell strangers apart in a large
 corpus: `similar` carries 192 more bits with each fingerprint and verifies links on all 256.
@@ -32,6 +33,12 @@ from .graph import components
 BITS = 64
 #: A bucket with more fingerprints takes the way for large buckets. Speed only: links are the same either way.
 BUCKET = 2048
+#: The same for wider radiuses, where all pairs within a bucket have to be seen in any case.
+WIDE_BUCKET = 1 << 16
+#: What shuffling a probe key costs, in verifications of a pair side by side in memory.
+KEY_COST = 2000.0
+#: Pairs of a bucket that are verified at once.
+PAIRS = 1 << 22
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -119,7 +126,7 @@ def plan(counts: np.ndarray, n: int, radius: int) -> list[tuple[int, list[int]]]
     """[(threshold, bits of the partition)] of least estimated cost; unused partitions are left out.
 
     A partition's candidates at threshold t are estimated as n^2/2 times the probability that two rows differ in
-    t of its bits or fewer, from each bit's share of ones. A probe key costs as much as 20 verifications.
+    t of its bits or fewer, from each bit's share of ones. A probe key costs as much as KEY_COST verifications.
     """
     share = np.diag(counts) / max(n, 1)
     differ = np.clip(2 * share * (1 - share), 1e-6, 1)
@@ -135,7 +142,7 @@ def plan(counts: np.ndarray, n: int, radius: int) -> list[tuple[int, list[int]]]
             for b in g:
                 dist = np.convolve(dist, [1 - differ[b], differ[b]])
             keys = np.cumsum([math.comb(len(g), t) for t in range(min(len(g), radius) + 1)])
-            costs.append([0.0] + [n * n / 2 * dist[: t + 1].sum() + 20.0 * n * (1 + keys[t] / 2) if keys[t] <= 2000 else math.inf for t in range(len(keys))])
+            costs.append([0.0] + [n * n / 2 * dist[: t + 1].sum() + KEY_COST * n * (1 + keys[t] / 2) if keys[t] <= 2000 else math.inf for t in range(len(keys))])
         table = {0: (0.0, ())}  # budget used -> cost and thresholds
         for c in costs:
             after: dict[int, tuple[float, tuple]] = {}
@@ -167,59 +174,49 @@ def probe_keys(fp: Column, parts: list[tuple[int, list[int]]]) -> Column:
     return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links a-b, as many as connect the same nodes."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        if (p := find(x)) != (q := find(y)):
-            parent[p] = q
-            out.append((x, y))
-    return out
-
-
-def _verify(left: np.ndarray, right: np.ndarray, radius: int, wide: tuple[np.ndarray, np.ndarray, int] | None) -> list[tuple[int, int]]:
-    """A forest of the links between left and right. wide: the further bits of both (a row each), and how many of all
-    the bits may differ."""
-    found = []
-    for i in range(0, len(left), 512):
-        close = np.bitwise_count(left[i : i + 512, None] ^ right[None, :]) <= radius
-        x, y = np.nonzero(close)
+def join_classes(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label (of each node, a smaller node of its class or itself) after the links x-y have joined classes."""
+    while True:
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            return label
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+
+
+def _verify(held: int, values: np.ndarray, radius: int, wide: np.ndarray | None, most: int) -> list[tuple[int, int]]:
+    """Links (smallest of the class by place, member) of the classes that form where the first `held` values lie within
+    the radius of others. wide: further bits (a row each), with which `most` of all the bits may differ."""
+    label = np.arange(len(values))
+    rows = max(1, PAIRS // len(values))
+    for i in range(0, held, rows):
+        x, y = np.nonzero(np.bitwise_count(values[i : min(i + rows, held), None] ^ values[None, :]) <= radius)
         x += i
-        keep = left[x] != right[y]
-        x, y = x[keep], y[keep]
-        if wide:
-            differ = np.bitwise_count(left[x] ^ right[y]).astype(np.int64)
-            for k in range(wide[0].shape[1]):
-                differ += np.bitwise_count(wide[0][x, k] ^ wide[1][y, k])
-            x, y = x[differ <= wide[2]], y[differ <= wide[2]]
-        found.append((left[x], right[y]))
-    a, b = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1)) if found else (np.empty(0, np.int64),) * 2
-    return forest(a, b)
+        if wide is not None:
+            differ = np.bitwise_count(values[x] ^ values[y]).astype(np.int64)
+            for k in range(wide.shape[1]):
+                differ += np.bitwise_count(wide[x, k] ^ wide[y, k])
+            x, y = x[differ <= most], y[differ <= most]
+        label = join_classes(label, x, y)
+    member = np.flatnonzero(label != np.arange(len(values)))
+    signed_values = values.view(np.int64)
+    return list(zip(signed_values[label[member]].tolist(), signed_values[member].tolist()))
 
 
 def _bucket_links(rows: DataFrame, radius: int, most: int) -> DataFrame:
     """Links within buckets: rows with the lists held and probes, and if most > 0 their further bits."""
     cols = ["held", "probes", *(["held_wide", "probes_wide"] if most else [])]
 
-    def bits(col: list[bytes]) -> np.ndarray:
-        return np.stack([np.frombuffer(x, np.uint64) for x in col]) if len(col) else None
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple[int, int]] = []
             for held, probes, *wide in zip(*(batch[c] for c in cols)):
-                left, more = np.asarray(held, np.int64).view(np.uint64), np.asarray(probes, np.int64).view(np.uint64)
-                if most:
-                    own = bits(wide[0])
-                    wide = (own, np.concatenate((own, bits(wide[1]))) if len(more) else own, most)
-                out += _verify(left, np.concatenate((left, more)), radius, wide or None)
+                values = np.concatenate((np.asarray(held, np.int64), np.asarray(probes, np.int64))).view(np.uint64)
+                more = np.frombuffer(b"".join((*wide[0], *wide[1])), np.uint64).reshape(len(values), -1) if most else None
+                out += _verify(len(held), values, radius, more, most)
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return rows.select(*cols).mapInPandas(run, "a long, b long")
@@ -229,7 +226,7 @@ def links(fps: DataFrame, radius: int, scratch: Scratch, most: int = 0) -> DataF
     """Links (a, b) that connect whatever distinct fingerprints lie within `radius` bits of each other.
 
     fps: the column fp, without repeats; with most > 0 also wide, further bits, and links differ in at most `most`
-    of all the bits. No cap: a bucket of over BUCKET rows is dealt out. Within radius 2, two
+    of all the bits. No cap: a bucket of very many rows is dealt out. Within radius 2, two
     fingerprints share a value that each reaches by flipping one bit or none, so these values (at most 65 holders
     each) link its members in work proportional to their number. Beyond, its members are dealt into blocks, and
     each pair of blocks is verified in a task of its own.
@@ -239,7 +236,8 @@ def links(fps: DataFrame, radius: int, scratch: Scratch, most: int = 0) -> DataF
     parts = plan(counts, n, radius)
     wide = ["wide"] if most else []
     keyed = fps.select("fp", *wide, F.inline(probe_keys(F.col("fp"), parts)))
-    sizes = keyed.groupBy("p", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
+    bucket = BUCKET if radius <= 2 and not most else WIDE_BUCKET
+    sizes = keyed.groupBy("p", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
     large = scratch.put("large", sizes)
     cold = keyed.join(large, ["p", "key"], "left_anti") if (any_large := bool(large.head(1))) else keyed
     lists = [F.collect_list(F.when(own, F.col(c))).alias(name + suffix) for name, own in (("held", F.col("own")), ("probes", ~F.col("own"))) for c, suffix in (("fp", ""), *((("wide", "_wide"),) if most else ()))]
@@ -252,7 +250,7 @@ def links(fps: DataFrame, radius: int, scratch: Scratch, most: int = 0) -> DataF
         ends = near.groupBy("mid").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
         out = out.union(ends.select("a", F.explode("all").alias("b")).where("a <> b"))
     elif any_large:
-        hot = keyed.join(large, ["p", "key"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(BUCKET / 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        hot = keyed.join(large, ["p", "key"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(bucket / 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         dealt = hot.select("p", "key", "fp", *wide, "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.select("p", "key", "fp", *wide, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "own")
         pairs = dealt.groupBy("p", "key", "i", "j").agg(*lists)

@@ -105,8 +105,8 @@ def describe(records: DataFrame) -> DataFrame:
 
 def export_warc(records: DataFrame, path: str) -> None:
     """Restored records as WARC files: a record ends with two CRLF, revisits carry no payload."""
-    body = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.lit("")).otherwise(F.decode("payload", F.lit("utf-8")))
-    out = records.select(F.concat(F.decode("header", F.lit("utf-8")), body).alias("value"))
+    body = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.lit("")).otherwise(F.decode("payload", "utf-8"))
+    out = records.select(F.concat(F.decode("header", "utf-8"), body).alias("value"))
     out.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
