@@ -71,6 +71,7 @@ VIEWS: dict[str, str] = {
         SELECT bgs_id, easting, northing, 100.0D - 0.0005D * (easting - 382500.0D) AS ground_level_m
         FROM (SELECT o_orderkey AS bgs_id, 382500.0D + o_orderkey % 40 * 800 + (o_orderkey * 7919) % 400 AS easting,
                      202500.0D + (o_orderkey - o_orderkey % 40) * 20 + (o_orderkey * 104729) % 400 AS northing FROM {orders}) o""",
+    "gap_sites": "SELECT bgs_id, easting, northing, CASE WHEN bgs_id % 7 = 0 THEN NULL ELSE ground_level_m END AS ground_level_m FROM {world_sites}",
     "world": """
         SELECT g.bgs_id, g.seq, k, s.easting AS x, s.northing AS y, s.ground_level_m - (g.top_cm / 100.0D + 0.25D + 0.5D * k) AS z, g.top_cm
         FROM {gold} g JOIN {world_sites} s ON g.bgs_id = s.bgs_id, {steps} t

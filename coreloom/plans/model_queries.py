@@ -31,9 +31,9 @@ def _mean_sql(queries: str, known: str, length: float) -> str:
 
 @query(f"""
     SELECT s.bgs_id, round(coalesce(s.ground_level_m, e.m), 6) AS ground_level_m, s.ground_level_m IS NULL AND e.m IS NOT NULL AS gl_estimated
-    FROM {{sites}} s LEFT JOIN (SELECT * FROM ({_mean_sql('SELECT bgs_id AS qid, easting, northing FROM {sites} WHERE ground_level_m IS NULL', 'SELECT * FROM {sites} WHERE ground_level_m IS NOT NULL', 300.0)}) x WHERE w >= 0.05) e ON s.bgs_id = e.qid""")
+    FROM {{gap_sites}} s LEFT JOIN (SELECT * FROM ({_mean_sql('SELECT bgs_id AS qid, easting, northing FROM {gap_sites} WHERE ground_level_m IS NULL', 'SELECT * FROM {gap_sites} WHERE ground_level_m IS NOT NULL', 300.0)}) x WHERE w >= 0.05) e ON s.bgs_id = e.qid""")
 def estimate_gl(f: Frames) -> DataFrame:
-    found = spatial.estimate_ground_levels(f.sites)
+    found = spatial.estimate_ground_levels(f.gap_sites)
     return rounded(found.select("bgs_id", "ground_level_m", "gl_estimated"), "ground_level_m")
 
 
