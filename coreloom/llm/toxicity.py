@@ -1,7 +1,7 @@
 """Toxicity by logistic regression, trained with FTRL-proximal over hashed word n-grams and skip-grams.
 
-Features of a text are its words, word pairs, and pairs that skip one or two words, hashed to 2^BITS places and
-counted once each. Training takes a bounded sample of labelled rows in a fixed order; every place has a rate of its
+Features of a text are its words, the stems of longer words (their first STEM bytes), word pairs, and pairs that skip
+one or two words, hashed to 2^BITS places and counted once each. Training takes a bounded sample of labelled rows in a fixed order; every place has a rate of its
 own, and the L1 term leaves most weights at zero. What is broadcast are the places and values of the others: at most
 2^BITS of them, whatever the corpus.
 
@@ -28,7 +28,9 @@ BITS = 20
 SKIPS = (1, 2, 3)
 #: Labelled rows that training takes at most; those of smallest hash of their id.
 SAMPLE = 20_000
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 4.0, 0.1
+#: Bytes of a word's stem.
+STEM = 5
 #: How much a toxic row counts against one that isn't; there are far fewer of them.
 TOXIC_WEIGHT = 2.0
 #: Bytes of a text that are taken apart at once.
@@ -70,7 +72,8 @@ def places(text: bytes | None, memo: WordHashes) -> Iterator[np.ndarray]:
             continue
         new = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         h = np.concatenate((before, new))
-        out = [new]
+        stems = [b"^" + w[:STEM] for w in words if len(w) > STEM]
+        out = [new, np.fromiter(map(memo.__getitem__, stems), np.uint64, len(stems))]
         for gap in SKIPS:
             own = max(len(before), gap)  # the second word is new
             if len(h) > own:
