@@ -8,7 +8,8 @@ on all 64 bits there. A bucket gives back the classes that its links make, as li
 never all pairs.
 
 For similar rather than nearly equal texts the radius is wider, and 64 bits no longer tell strangers apart in a large
-corpus: `similar` carries 192 more bits with each fingerprint and verifies links on all 256.
+corpus: `similar` takes four fingerprints of the distinct shingles, probes with each of them and holds all 256 bits
+against those of the texts met. What these links connect is then compared by the shingles themselves.
 
 Empty and null texts have fingerprint zero and link like any other. Repeated rows share a fingerprint. Rows whose
 doc_id is null take part; a component's id is its smallest doc_id that isn't null. An empty table gives no rows;
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +43,12 @@ KEY_COST = 2000.0
 PAIRS = 1 << 22
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Fingerprints of a text that may be similar to others.
+WORDS = 4
+#: Texts of a group that are compared by their shingles in one task. Speed only.
+BLOCK = 1024
+#: Up to so many texts that have to be read again are sent to every task; more are joined by a shuffle. Speed only.
+SENT = 1 << 20
 
 
 def shingle_hashes(text: bytes | None, k: int, seed: int = 42) -> np.ndarray:
@@ -72,22 +80,36 @@ def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def fingerprints(docs: DataFrame, shingle: int, cols: tuple[str, ...] = ("doc_id",), more: int = 0) -> DataFrame:
-    """The columns `cols` and `fp` of every row of docs; with `more`, also so many further fingerprints in `wide`."""
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and `fp` of every row of docs."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps, wide = [], []
-            for t in b.pop("_text"):
-                h = shingle_hashes(t, shingle)
-                fps.append(fingerprint(h))
-                if more:
-                    wide.append(np.array([fingerprint(remixed(h, k)) for k in range(1, more + 1)], np.int64).tobytes())
-            b = b.assign(fp=np.array(fps, np.int64))
-            yield b.assign(wide=wide) if more else b
-
-    src = docs.select(*cols, F.col("text").cast("binary").alias("_text"))
+            yield b.assign(fp=np.array([fingerprint(shingle_hashes(t, shingle)) for t in b.pop("_text")], np.int64))
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("_text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+
+
+def set_id(hashes: np.ndarray) -> int:
+    """Signed 64-bit id of a set of shingles, from its sorted distinct hashes."""
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+
+
+def sketches(docs: DataFrame, shingle: int, cols: tuple[str, ...]) -> DataFrame:
+    """`cols` of every row of docs, and of its distinct shingles: `set` (their id), `size`, `fp0` and so on (the WORDS
+    fingerprints) and `wide` (these and the id as bytes); `text_hash`, by which to find the text again."""
+    names = [f"fp{k}" for k in range(WORDS)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.pop("_text")]
+            ids = np.array([set_id(h) for h in sets], np.int64)
+            fps = np.array([[fingerprint(remixed(h, k) if k else h) for k in range(WORDS)] for h in sets], np.int64).reshape(-1, WORDS)
+            wide = [row.tobytes() for row in np.column_stack((fps, ids))]
+            yield b.assign(set=ids, size=np.array([len(h) for h in sets], np.int64), **dict(zip(names, fps.T)), wide=wide)
+
+    src = docs.select(*cols, F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("_text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
-    return src.mapInPandas(run, f"{fields}, fp long" + ", wide binary" * bool(more))
+    return src.mapInPandas(run, f"{fields}, set long, size long, {', '.join(f'{n} long' for n in names)}, wide binary")
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -189,25 +211,26 @@ def join_classes(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _verify(held: int, values: np.ndarray, radius: int, wide: np.ndarray | None, most: int) -> list[tuple[int, int]]:
     """Links (smallest of the class by place, member) of the classes that form where the first `held` values lie within
-    the radius of others. wide: further bits (a row each), with which `most` of all the bits may differ."""
+    the radius of others. wide: a row each of the WORDS fingerprints, of whose bits `most` may differ, and of the id that
+    stands for the value in links."""
     label = np.arange(len(values))
     rows = max(1, PAIRS // len(values))
     for i in range(0, held, rows):
         x, y = np.nonzero(np.bitwise_count(values[i : min(i + rows, held), None] ^ values[None, :]) <= radius)
         x += i
         if wide is not None:
-            differ = np.bitwise_count(values[x] ^ values[y]).astype(np.int64)
-            for k in range(wide.shape[1]):
+            differ = np.zeros(len(x), np.int64)
+            for k in range(WORDS):
                 differ += np.bitwise_count(wide[x, k] ^ wide[y, k])
             x, y = x[differ <= most], y[differ <= most]
         label = join_classes(label, x, y)
     member = np.flatnonzero(label != np.arange(len(values)))
-    signed_values = values.view(np.int64)
-    return list(zip(signed_values[label[member]].tolist(), signed_values[member].tolist()))
+    ids = (values if wide is None else wide[:, WORDS]).view(np.int64)
+    return list(zip(ids[label[member]].tolist(), ids[member].tolist()))
 
 
 def _bucket_links(rows: DataFrame, radius: int, most: int) -> DataFrame:
-    """Links within buckets: rows with the lists held and probes, and if most > 0 their further bits."""
+    """Links within buckets: rows with the lists held and probes, and if most > 0 `wide` of each."""
     cols = ["held", "probes", *(["held_wide", "probes_wide"] if most else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,8 +248,8 @@ def _bucket_links(rows: DataFrame, radius: int, most: int) -> DataFrame:
 def links(fps: DataFrame, radius: int, scratch: Scratch, most: int = 0) -> DataFrame:
     """Links (a, b) that connect whatever distinct fingerprints lie within `radius` bits of each other.
 
-    fps: the column fp, without repeats; with most > 0 also wide, further bits, and links differ in at most `most`
-    of all the bits. No cap: a bucket of very many rows is dealt out. Within radius 2, two
+    fps: the column fp, without repeats; with most > 0 also wide (see sketches): fp is one of its fingerprints and may
+    repeat, links are between ids and differ in at most `most` of all the bits. No cap: a bucket of very many rows is dealt out. Within radius 2, two
     fingerprints share a value that each reaches by flipping one bit or none, so these values (at most 65 holders
     each) link its members in work proportional to their number. Beyond, its members are dealt into blocks, and
     each pair of blocks is verified in a task of its own.
@@ -240,6 +263,8 @@ def links(fps: DataFrame, radius: int, scratch: Scratch, most: int = 0) -> DataF
     sizes = keyed.groupBy("p", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
     large = scratch.put("large", sizes)
     cold = keyed.join(large, ["p", "key"], "left_anti") if (any_large := bool(large.head(1))) else keyed
+    if most:  # rows are shorter than lists of one row
+        cold = cold.repartition("p", "key")
     lists = [F.collect_list(F.when(own, F.col(c))).alias(name + suffix) for name, own in (("held", F.col("own")), ("probes", ~F.col("own"))) for c, suffix in (("fp", ""), *((("wide", "_wide"),) if most else ()))]
     buckets = cold.groupBy("p", "key").agg(*lists).where((F.size("held") > 0) & (F.size("held") + F.size("probes") > 1))
     out = _bucket_links(buckets, radius, most)
@@ -250,7 +275,7 @@ def links(fps: DataFrame, radius: int, scratch: Scratch, most: int = 0) -> DataF
         ends = near.groupBy("mid").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
         out = out.union(ends.select("a", F.explode("all").alias("b")).where("a <> b"))
     elif any_large:
-        hot = keyed.join(large, ["p", "key"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(bucket / 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        hot = keyed.join(large, ["p", "key"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(bucket / 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp", *wide), F.col("blocks")).cast("int"))
         dealt = hot.select("p", "key", "fp", *wide, "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.select("p", "key", "fp", *wide, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "own")
         pairs = dealt.groupBy("p", "key", "i", "j").agg(*lists)
@@ -283,15 +308,84 @@ def radius_of(similarity: float, bits: int, deviations: float) -> int:
     return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
+def alike(sets: list[np.ndarray], held: np.ndarray, similarity: float) -> np.ndarray:
+    """Of each set (of some distinct hashes) the first of its class, by place, where the sets that are `held` are
+    compared with all others."""
+    label, sizes = np.arange(len(sets)), np.array([len(h) for h in sets])
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], sizes.cumsum()[:-1]))
+    mark = np.zeros(len(values), bool)
+    for x in np.flatnonzero(held):
+        own = codes[starts[x] : starts[x] + sizes[x]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+        mark[own] = False
+        y = np.flatnonzero(shared >= similarity * (sizes[x] + sizes - shared) - 1e-9)
+        label = join_classes(label, np.full(len(y), x), y)
+        if not label.any():
+            break
+    return label
+
+
+def compared(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect whatever sets of a group are similar: groups has root, set and the text_hash of one
+    text. Every pair of a group counts; large groups are dealt into blocks, and each pair of blocks is a task's work."""
+    groups = scratch.put("groups", groups)
+    sent = F.broadcast(groups) if groups.count() <= SENT else groups
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.pop("_text")]
+            right = np.array([set_id(h) for h in sets], np.int64) == b.set.to_numpy()
+            yield b.assign(hashes=[h.tobytes() for h in sets])[right]
+
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("_text"))
+    found = texts.join(sent, "text_hash").select("root", "set", "_text").mapInPandas(shingles, "root long, set long, hashes binary")
+    sets = scratch.put("sets", found.groupBy("root", "set").agg(F.first("hashes").alias("hashes")))
+    sizes = sets.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = sets.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("held"), "set", "hashes")
+
+    def links_of(rows: list[tuple]) -> list[tuple[int, int]]:
+        held, ids, hashes = zip(*rows)
+        label = alike([np.frombuffer(h, np.uint64) for h in hashes], np.array(held), similarity)
+        return [(ids[x], ids[k]) for k, x in enumerate(label.tolist()) if k != x]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows = None, []
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for root, i, j, *row in b.itertuples(index=False):
+                if (root, i, j) != now:
+                    out += links_of(rows) if rows else []
+                    now, rows = (root, i, j), []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        if rows:
+            yield pd.DataFrame(links_of(rows), columns=["a", "b"], dtype=np.int64)
+
+    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(run, "a long, b long")
+
+
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`cols`, fp and component_id of every row of docs (cols have doc_id): components of texts whose shingles are
-    similar. Candidates come from 64 bits, with the radius that holds two thirds of the pairs just at the similarity and
-    nearly all of those above 0.9; they are verified on 256."""
-    scratch = Scratch(docs.sparkSession, "similar")
-    fps = scratch.put("fps", fingerprints(docs, shingle, cols, more=3))
-    distinct = scratch.put("distinct", fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("wide").alias("wide")))
-    found = links(distinct.select("fp", "wide"), radius_of(similarity, BITS, 0.5), scratch, most=radius_of(similarity, 4 * BITS, 2))
-    return _classes(fps, distinct, found, scratch).select(*cols, "fp", "component_id")
+    """`cols`, root and component_id (its smallest doc_id) of every row of docs (cols have doc_id): components of texts
+    whose sets of shingles have that Jaccard similarity or more. Texts that meet in any of the WORDS fingerprints, with
+    a radius that holds three of four pairs just at the similarity, and differ in few enough of all bits are
+    candidates; of a component of candidates, all pairs are compared. Texts without words are alike."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
+    fps = scratch.put("fps", sketches(docs, shingle, cols))
+    rest = [F.min(c).alias(c) for c in ("text_hash", "size", "wide", *(f"fp{k}" for k in range(WORDS)))]
+    nodes = scratch.put("nodes", fps.groupBy("set").agg(F.min("doc_id").alias("first"), *rest))
+    live, radius, most = nodes.where("size > 0"), radius_of(similarity, BITS, 0.5), radius_of(similarity, WORDS * BITS, 4)
+    met = [Scratch(spark, "similar").put("met", links(live.select(F.col(f"fp{k}").alias("fp"), "wide"), radius, Scratch(spark, "similar"), most)) for k in range(WORDS)]
+    near = components(reduce(DataFrame.union, met), Scratch(spark, "similar"))
+    groups = near.join(nodes, near.node == nodes.set).select("root", "set", "text_hash")
+    same = components(compared(docs, groups, shingle, similarity, scratch), Scratch(spark, "similar"))
+    named = scratch.put("named", nodes.join(same, nodes.set == same.node, "left").select("set", "first", F.coalesce("root", "set").alias("root")))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.join(named.join(least, "root").select("set", "root", "component_id"), "set").select(*cols, "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -299,9 +393,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     last. Other columns pass through; of rows that agree in doc_id and text, any one stays."""
     key = {"_null": F.col("doc_id").isNull(), "_doc": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("text")}
     found = similar(docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")), shingle, similarity, ("doc_id", "_hash"))
-    rows = found.select("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"), F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_doc"), "_hash")
-    counted = rows.groupBy("component_id", "fp", "_null", "_doc", "_hash").agg(F.count(F.lit(1)).alias("_n"))
-    stay = counted.groupBy("component_id", "fp").agg(F.min(F.struct("_null", "_doc", "_hash", "_n")).alias("s")).select("s.*")
+    rows = found.select("root", F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_doc"), "_hash")
+    counted = rows.groupBy("root", "_null", "_doc", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    stay = counted.groupBy("root").agg(F.min(F.struct("_null", "_doc", "_hash", "_n")).alias("s")).select("s.*")
     kept = docs.withColumns(key).join(stay, list(key))
     once = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(list(key)))
     return once.select(*(F.col(f"`{c}`") for c in docs.columns))

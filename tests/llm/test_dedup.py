@@ -112,6 +112,38 @@ def test_one_of_each_similar_group_stays(spark):
     assert simhash.one_of_each(spark.createDataFrame([], DOC)).count() == 0
 
 
+def shingle_set(text, k=5):
+    w = WORD.findall(lower(text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_similar_texts_are_those_by_brute_force(spark, monkeypatch, block):
+    """Pairs of Jaccard similarity 0.7 to 0.95, a group that only a chain holds together, short texts."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts, pairs = [], []
+    for k in range(160):
+        base = [word() for _ in range(104)]
+        n = 4 + k % 24  # words of another tail: of 100 shingles each, 100 - n are shared
+        texts += [" ".join(base), " ".join(base[:-n] + [word() for _ in range(n)])]
+        pairs.append((100 - n) / (100 + n))
+    chain = [word() for _ in range(150)]
+    texts += [" ".join(chain[i : i + 104]) for i in range(0, 44, 7)]
+    texts += ["one two three four five six", "zero two three four five six", "", None, "a", "b", "a b c d e a b c d e a b c d e a", "a b c d e a b c d e"]
+    sets = [shingle_set(t) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if (not union or 10 * len(sets[a] & sets[b]) >= 8 * union) and group[a] != group[b]:
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert min(pairs) < 0.7 and max(pairs) > 0.9
+    kept = simhash.one_of_each(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOC)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(group))
+
+
 def test_radius_of_similarity():
     assert simhash.radius_of(1.0, 64, 1) == 0 and simhash.radius_of(0.8, 256, 2) > 4 * simhash.radius_of(0.8, 64, 0)
 
