@@ -3,7 +3,8 @@
 Every long enough line gives (hash, document, position). The rows are range-partitioned by hash with documents and
 positions sorted within, so that the first occurrence of a line streams by before the others. A line so common that
 its hash would fill a partition is salted by document; its first document is then the least of those that its salts
-report. What comes back per document is a bitmap of the lines to keep, run-length coded, never text.
+report. What comes back per document is the sorted positions of its dropped lines, never text; `bitmaps` gives them as a
+run-length coded bitmap of the lines to keep, which `apply` doesn't use.
 
 A null or empty text is one empty line. A null doc_id counts as one document after all others. Rows with the same
 doc_id are one document: the first document keeps all its lines. An empty table gives no rows. Other columns pass
