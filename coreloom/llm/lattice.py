@@ -32,6 +32,8 @@ MARK = "▁"
 #: The words that most training text is made of: their counts and scores are sent to every task, those of other words
 #: joined. A fixed number, whatever the corpus; it decides the way, not the result.
 COMMON = 50_000
+#: Words of more bytes aren't sent, but joined. Memory only.
+COMMON_BYTES = 64
 #: Words that a task counts before it hands them on.
 MEMORY = 100_000
 #: Words of one length that go through the lattice side by side, and bytes beyond which a word goes alone.
@@ -281,6 +283,12 @@ def word_scores(counts: DataFrame, pieces: dict[bytes, float]) -> DataFrame:
     return counts.mapInPandas(run, "word binary, c long, lp double")
 
 
+def common_words(scored: DataFrame) -> dict[bytes, tuple[int, float, float]]:
+    """The COMMON most frequent words of COMMON_BYTES at most: count, its logarithm, log probability."""
+    rows = scored.where(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("c"), "word").limit(COMMON).collect()
+    return {bytes(w): (c, math.log10(c + 1), lp) for w, c, lp in rows}
+
+
 def score(docs: DataFrame, vocabulary: str = VOCABULARY, split: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark = docs.sparkSession
@@ -289,7 +297,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, split: int = 7, held: i
     counts = scratch.put("counts", count_words(docs, ~held_out))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     scored = scratch.put("scored", word_scores(counts, train(counts, load_vocabulary(vocabulary))))
-    common = {bytes(w): (c, math.log10(c + 1), lp) for w, c, lp in scored.orderBy(F.desc("c"), "word").limit(COMMON).collect()}
+    common = common_words(scored)
     sent = sc.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

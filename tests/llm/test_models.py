@@ -300,3 +300,9 @@ def test_scratch_uses_the_shared_folder(spark):
     s = Scratch(spark, "t")
     assert s.put("x", spark.range(3)).count() == 3
     s.drop("x")
+
+
+def test_long_words_are_joined_not_sent(spark):
+    rows = [(b"short", 3, -1.0), (b"y" * 64, 2, -2.0), (b"z" * 65, 9, -3.0), (b"x" * 100_000, 1, -4.0)]
+    scored = spark.createDataFrame([(bytearray(w), c, lp) for w, c, lp in rows], "word binary, c long, lp double")
+    assert set(lattice.common_words(scored)) == {b"short", b"y" * 64}
