@@ -338,5 +338,5 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, split: int = 7, held: i
 
 
 def scale_of(total: int, distinct: int) -> float:
-    """log10 (N + 1) (V + 1)"""
-    return math.log10((total + 1) * (distinct + 1))
+    """log10 of N + 1 * (V + 1): every word known and one for all others count once more than they were seen."""
+    return math.log10(total + 1 * (distinct + 1))

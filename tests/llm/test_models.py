@@ -152,13 +152,34 @@ def test_lm_scores(spark):
     for r in got:
         tokens = [*WORD.findall(low(next(t for i, t, _ in rows if i == r.doc_id))), None]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(tokens), sum(c[w] > 0 for w in tokens), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / ((n + 1) * (v + 1))) for w in tokens))
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in tokens))
         assert math.isfinite(r.score) and r.score < 0
-    known = [r for r in got if r.held_out and r.n_tokens > 10]
-    assert sum(r.score for r in known) > sum(r.base_score for r in known)
     assert lattice.score(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_base_score_by_hand(spark):
+    """Two documents train: x twice, y once, two ends. N = 5, V = 3, so 5 + 1 * (3 + 1) = 9 is below."""
+    is_held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    (one, two, *_), held = [i for i in range(20) if not is_held(i)], next(i for i in range(99) if is_held(i))
+    got = {r.doc_id: r for r in lattice.score(spark.createDataFrame([(one, "x X", "s"), (two, "y", "s"), (held, "x z", "s")], DOC)).collect()}
+    # x: 3/9, an unseen word: 1/9, the end: 3/9
+    assert got[held].base_score == pytest.approx(math.log10(3 / 9 * 1 / 9 * 3 / 9)) and (got[held].n_known, got[held].train_tokens) == (2, 5)
+    assert got[two].base_score == pytest.approx(math.log10(2 / 9 * 3 / 9))
+
+
+def test_training_raises_the_probability_of_unseen_text(spark):
+    """Weights from half the words score the other half better than the ranks that training starts from."""
+    rng = random.Random(4)
+    stems, ends = ["north", "thresh", "water", "stone", "light", "winter"], ["ing", "ed", "er", "s", "ly", "ness"]
+    words = [(a + b + c).encode() for a in stems for b in stems for c in ends]
+    rng.shuffle(words)
+    start = lattice.load_vocabulary()
+    counts = spark.createDataFrame([(bytearray(w), 3) for w in words[::2]], "word binary, c long")
+    after = lattice.train(counts, start)
+    assert math.fsum(math.exp(v) for v in after.values()) == pytest.approx(1)
+    assert lattice.Lattice(after).log_probs(words[1::2]).sum() > lattice.Lattice(start).log_probs(words[1::2]).sum() + 50
+
+
 def toxic_corpus(n, seed):
     rng = random.Random(seed)
     clean, bad = [f"w{i}" for i in range(300)], ["vile", "scumbag", "idiotic"]
