@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of all word rules: space and U+0009 to U+000D.
+#: White space of all word rules: space and U+0009 to U+000D, as a pattern and as characters.
 SPACE = r"[\x20\x09-\x0D]"
+SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dir: str | None = None

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -162,22 +163,32 @@ def brute_lines(rows, least=10):
     return out
 
 
-@pytest.mark.parametrize("share", [500, 2])
+@pytest.mark.parametrize("share", [8, 1000])
 def test_line_dedup(spark, monkeypatch, share):
-    monkeypatch.setattr(linededup, "HOT_SHARE", share)  # 2: nearly every line is salted
+    monkeypatch.setattr(linededup, "HOT_SHARE", share)  # 1000: nearly every line is salted
     rng = random.Random(2)
     lines = ["Common line of text", " common LINE of text\t", "short", "", "ÉCOLE de ligne", "école de ligne"] + [f"own line number {i}" for i in range(30)]
     rows = [(i, "\n".join(rng.choices(lines, weights=[20, 9] + [2] * 4 + [1] * 30, k=rng.randint(1, 12)))) for i in range(60)] + [(60, None), (61, ""), (62, "\n\n"), (63, "y" * 50_000)]
     df = spark.createDataFrame([(*r, "s") for r in rows], DOC).withColumn("key", F.lit(1))
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in linededup.apply(df, 10).collect()}
     assert got == brute_lines(rows)
-    runs = {r.doc_id: r.keep_runs for r in linededup.bitmaps(df, 10).collect()}
+    gone = {r.doc: r.gone for r in linededup.bitmaps(df, 10).collect()}
     for i, t in rows:
-        ls, kept, at = (t or "").split("\n"), [], 0
-        for k, n in enumerate(runs.get(i, [len((t or "").split("\n"))])):
-            kept += ls[at : at + n] if k % 2 == 0 else []
-            at += n
-        assert at == len(ls) and "\n".join(kept) == got[i][2]
+        places = {p for g in gone.get(i, []) for p in range(g.start, g.start + g.n)}
+        assert "\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in places) == got[i][2]
+        assert all(a.start + a.n < b.start for a, b in zip(gone.get(i, []), gone.get(i, [])[1:]))  # runs are whole
+
+
+def test_line_dedup_of_long_texts(spark):
+    """White space within a line and very many runs cost time in proportion."""
+    spaces = "left" + " " * 1_000_000 + "right"
+    many = [f"own line of text number {i}" if i % 2 else "a line that is everywhere" for i in range(200_000)]
+    rows = [(1, "a line that is everywhere", "s"), (2, spaces, "s"), (3, " " + spaces.upper() + "\t", "s"), (4, "\n".join(many), "s")]
+    linededup.apply(spark.createDataFrame(rows[:1], DOC)).collect()
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in linededup.apply(spark.createDataFrame(rows, DOC)).collect()}
+    assert time.time() - began < 30
+    assert got[2] == (1, 0, spaces) and got[3] == (1, 1, "") and got[4] == (200_000, 100_000, "\n".join(many[1::2]))
 
 
 def test_line_dedup_of_nothing(spark):
