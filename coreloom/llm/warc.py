@@ -5,7 +5,8 @@ bytes of every record and the SHA-256 of its payload. A join gives the original
 hashed again on the way, and a mismatch is an error.
 
 A null html is an empty payload; a null url leaves out WARC-Target-URI, a null page_id WARC-Page-ID, and both read
-back as null. Of equal payloads of at least min_bytes the record with the largest (page_id, url) is the response,
+back as null; an empty url is an empty field and reads back as such. A url with control characters, which would end the
+field, is percent-encoded there and stands in hex digits beside it, from where it reads back as it was. Of equal payloads of at least min_bytes the record with the largest (page_id, url) is the response,
 nulls counting as smallest; rows that repeat exactly are records of their own, of which one at most is the response.
 Empty tables give empty archives; further columns of pages aren't archived.
 """
@@ -38,6 +39,15 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
 
+CONTROL = r"[\x00-\x1F\x7F]"
+
+
+def _encoded(url: Column) -> Column:
+    """url with its control characters percent-encoded."""
+    one = lambda c: F.when(c.rlike(CONTROL), F.concat(F.lit("%"), F.lpad(F.hex(c), 2, "0"))).otherwise(c)
+    return F.when(url.rlike(CONTROL), F.array_join(F.transform(F.split(url, ""), one), "")).otherwise(url)
+
+
 def record_id(page_id: Column, url: Column, copy: Column) -> Column:
     h = F.md5(F.to_json(F.struct(page_id.alias("p"), url.alias("u"), copy.alias("c"))).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), *[x for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ((F.lit("-"),) if i > 1 else ()) + (F.substring(h, i, n),)], F.lit(">"))
@@ -61,7 +71,8 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-0
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         _line("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("copy"))),
         _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", F.col("url")),
+        _line("WARC-Target-URI", _encoded(F.col("url"))),
+        _line("WARC-Target-URI-Hex", F.when(F.col("url").rlike(CONTROL), F.hex(F.col("url").cast("binary")))),
         _line("WARC-Page-ID", F.col("page_id").cast("string")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         _line("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -85,9 +96,8 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
 
 
 def field(header: Column, name: str) -> Column:
-    """A field of the WARC header; null if it has none."""
-    found = F.regexp_extract(header.cast("string"), f"(?s)\\A(?:(?!\r\n\r\n).)*?\r\n{name}: ([^\r]*)\r\n", 1)
-    return F.when(found != "", found)
+    """A field of the WARC header, which may be empty; null if it has none."""
+    return F.get(F.regexp_extract_all(header.cast("string"), F.lit(f"(?s)\\A(?:(?!\r\n\r\n).)*?\r\n{name}: ([^\r\n]*)\r\n"), F.lit(1)), F.lit(0))
 
 
 def describe(records: DataFrame) -> DataFrame:
@@ -95,7 +105,7 @@ def describe(records: DataFrame) -> DataFrame:
     h = F.col("header")
     return records.select(
         field(h, "WARC-Page-ID").cast("long").alias("page_id"),
-        field(h, "WARC-Target-URI").alias("url"),
+        F.coalesce(F.unhex(field(h, "WARC-Target-URI-Hex")).cast("string"), field(h, "WARC-Target-URI")).alias("url"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         base32_sha1(F.col("payload")).alias("payload_digest"),
         field(h, "WARC-Type").alias("record_type"),

@@ -45,6 +45,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.restore(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_urls_read_back_as_they_were(spark, tmp_path):
+    urls = ["http://a\r\nWARC-Page-ID: 99", "http://a\r\n\r\nx", "", None, "http://b/%0D%0Aé x", "\x00\x7f", "http://c\r\nWARC-Target-URI: d\r\n", "x" * 5000 + "\n" * 3]
+    rows = [(i, u, "same") for i, u in enumerate(urls)]
+    path = str(tmp_path / "w")
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    records = warc.restore(spark, path)
+    assert {(r.page_id, r.url, r.refers_to) for r in warc.describe(records).collect()} == {(i, u, 7 if i < 7 else None) for i, u in enumerate(urls)}
+    assert all(bytes(r.header).count(b"\r\n\r\n") == 2 for r in records.collect())
+    warc.export_warc(records, str(tmp_path / "files"))
+    assert warc.import_warc(spark, str(tmp_path / "files")).count() == len(urls)
+
+
 def test_a_damaged_payload_is_an_error(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.archive(spark.createDataFrame([(1, "u", "body")], "page_id long, url string, html string"), path)
