@@ -10,11 +10,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from coreloom.llm import ann, lattice, mixing, packing, pii, toxicity, warc
 from coreloom.llm.common import Scratch
 
+SF_DIR = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, source string"
 
@@ -318,15 +320,71 @@ def test_personal_data(spark):
     assert pii.digest(df.limit(0)).count() == 0
 
 
-def test_personal_data_reliabilities(spark):
-    rows = [("phone", 1, 1, 1, 0, 1, 0, 0, 0, 900), ("phone", 0, -1, 0, -1, -1, 0, 0, 0, 300), ("phone", 0, 1, 1, 0, 1, 1, 0, 0, 50)]
-    df = spark.createDataFrame(rows, "kind string, " + ", ".join(f"{c} int" for c in (*pii.LABELERS, *pii.FEATURES)) + ", n long")
-    prior, ratio = pii.estimate(df)
+def test_personal_data_reliabilities():
+    cols = ("kind", *pii.LABELERS, *pii.FEATURES, "n")
+    rows = [Row(**dict(zip(cols, r))) for r in (("phone", 1, 1, 1, 0, 1, 0, 0, 0, 900), ("phone", 0, -1, 0, -1, -1, 0, 0, 0, 300), ("phone", 0, 1, 1, 0, 1, 1, 0, 0, 50))]
+    prior, ratio, p = pii.estimate(rows)
     assert all(math.isfinite(v) for v in prior.values()) and ratio["shape"][1] > ratio["shape"][0] and ratio["border"][1] > ratio["border"][-1]
-    scored = df.withColumn("p", pii.posterior(prior, ratio))
-    weights = pii.fit(scored)
-    s = {r.n: r.s for r in df.withColumn("s", pii.classifier(weights)).collect()}
-    assert s[900] > 0.5 and s[50] > 0.5 and s[300] < 0.5
+    w = pii.fit(rows, p)
+    score = [w["kind phone"] + sum(w[c] * r[c] for c in (*pii.LABELERS, *pii.FEATURES)) for r in rows]
+    assert score[0] > 0 and score[2] > 0 and score[1] < 0
+    assert set(pii.fit([], np.empty(0)).values()) == {0.0}
+
+
+def test_personal_data_added_by_the_method(spark):
+    """Planted spans of kinds beyond the base rules among look-alikes: precision and recall."""
+    rng = random.Random(7)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def iban():
+        bban = digits(18)
+        return f"DE{98 - int(bban + '131400') % 97:02d}{bban}"
+
+    def word():
+        return "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+
+    true = {
+        "secret": lambda: (rng.choice(['token = "', 'api_key: "', "password='", 'secret="']), hexes(rng.choice([24, 32, 40])), rng.choice(['"', "'"])),
+        "ssn": lambda: ("ssn ", f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", ""),
+        "iban": lambda: ("IBAN: ", iban(), ""),
+        "name": lambda: ("contact ", f"{rng.choice(['Anna', 'David', 'Maria', 'Paul'])} {word().title()}", ""),
+        "phone": lambda: ("call ", f"({rng.randint(212, 989)}) {rng.randint(212, 989)}-{digits(4)}", ""),
+    }
+    false = {
+        "secret": lambda: (rng.choice(["commit ", "sha1: ", "checksum "]), hexes(40), ""),
+        "class": lambda: ('class="', "-".join(word() for _ in range(4)), '"'),
+        "ssn": lambda: ("part ", f"000-{digits(2)}-{digits(4)}", ""),
+        "iban": lambda: ("order ", f"XX{digits(18)}", ""),
+        "uuid": lambda: ("uuid ", "-".join(hexes(n) for n in (8, 4, 4, 4, 12)), ""),
+    }
+    rows, want = [], set()
+    for i in range(600):
+        text = " ".join(word() for _ in range(rng.randint(5, 30))) + " "
+        for kinds, real in ((true, True), (false, False)):
+            if rng.random() < 0.5:
+                kind = rng.choice(list(kinds))
+                before, m, after = kinds[kind]()
+                if real:
+                    want.add((i, kind, len(text + before), len(text + before + m)))
+                text += before + m + after + " " + word() + " "
+        rows.append((i, text, "s"))
+    found = pii.spans(spark.createDataFrame(rows, DOC))
+    got = {(r.doc_id, r.kind, r.start, r.end) for r in found[1].where("not base").join(found[0], "rid").collect()}
+    hit = len(got & want)
+    assert len(want) > 200 and hit / len(want) >= 0.9 and hit / len(got) >= 0.9, (hit, len(want), len(got))
+
+
+def test_personal_data_in_the_corpus(spark):
+    """Keys that the documents hold are found, and nothing else is added where there is nothing."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in pii.digest(docs).collect()}
+    keys = {i: [(m.start(1), m.end(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)] for i, t in texts.items()}
+    assert sum(map(len, keys.values())) > 0
+    for i, r in got.items():
+        assert {f"secret:{a}:{z}" for a, z in keys[i]} <= set(r.spans.split(","))
+        assert r.n_added == len(keys[i]) and r.n_spans == r.n_added + r.n_email + r.n_ip + r.n_card + r.n_phone
 
 
 def test_scratch_uses_the_shared_folder(spark):
