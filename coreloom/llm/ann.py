@@ -1,21 +1,25 @@
 """Approximate nearest neighbours along shifted space-filling curves.
 
-Vectors are scaled to length 1 and projected to a few dimensions, differently for each ordering, shifted, and placed
-on a Hilbert curve. Each ordering is range-partitioned by curve key; in it a query meets the rows whose place lies
-within a window around its own. The windows of all orderings are merged and reranked by the exact cosine.
-
-The window is a share of the rows, so that recall doesn't fall as the table grows; it is cut into blocks of BLOCK
-rows, so no task holds more than that. Equal vectors stand together on each curve in order of their ids; of a vector,
-only the k + 1 rows of smallest id can be among anybody's k nearest, so the others are left out of the curves, but
-they are queries if asked.
-
-Null vectors, vectors of zeros, and vectors with null or non-finite components take no part, nor do rows whose id is
-null; vectors must be of one length. Repeated ids are rows of their own, but a row is never a neighbour of its own
-id. An empty table gives no rows; other columns are ignored.
+Vectors are scaled to length 1 and projected, differently for each ordering, to as many directions as the table is large
+(rows double, a direction more); a shifted threshold splits each direction, and the cells lie along the Hilbert curve.
+Each ordering is range-partitioned by key into blocks of neighbouring cells. A query visits windows of an ordering: its
+own cell and those others that a near vector is likely to be in, given how far the query lies from each threshold. The
+rows of all windows are held against it in eight-bit precision; the best of all orderings are merged, their vectors
+fetched by id, and reranked by the exact cosine.
+
+How likely a cell must be to be visited is fitted: CALIBRATION queries, those of smallest hash, are answered by a scan of
+all rows, and the threshold is the one at which the windows hold the share AIM of their neighbours. Every row is indexed,
+every query answered. A query that finds fewer than k rows is answered by a scan, ROUND of them at a time.
+
+Of equal vectors only the k + 1 rows of smallest id can be among anybody's k nearest, so the others are left out of the
+curves; as queries, their nearest are the first k of their equals. Null vectors, vectors of zeros, and vectors with null
+or non-finite components take no part, nor do rows whose id is null; vectors must be of one length. Repeated ids are rows
+of their own, but a row is never a neighbour of its own id. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,17 @@ from pyspark.sql.window import Window
 
 from .common import Scratch
 
-ORDERINGS = 20
-#: Rows on both sides of a query that it meets in an ordering: 1/WINDOW of all, at least MIN_WINDOW.
-WINDOW, MIN_WINDOW = 16, 1024
-#: Rows of a block, and queries that one group holds it against.
-BLOCK, ASKED = 2048, 32768
-DIMS, LEVELS = 8, 4
+ORDERINGS = 16
+#: Rows that a cell has on average, about; cells of a block.
+CELL_ROWS, BLOCK_CELLS = 16, 128
+#: A block of more rows is dealt out over tasks. Speed only.
+LARGE_BLOCK = 8192
+#: Queries that the threshold is fitted to, and the share of their neighbours that windows must hold.
+CALIBRATION, AIM = 128, 0.95
+#: Queries that a scan of all rows answers at once.
+ROUND = 2048
+#: Candidates that a task gathers before it sorts them, and queries that it keeps count of.
+PENDING, SLOTS = 200_000, 1_000_000
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -61,18 +70,37 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def projection(ordering: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The directions (orthonormal, where length allows) and the shift (a share of a cell) of an ordering."""
-    rng = np.random.default_rng([seed, ordering])
-    dims = min(DIMS, length)
-    return np.linalg.qr(rng.standard_normal((length, dims)))[0], rng.random(dims)
+class Curve:
+    """An ordering: its directions (orthonormal, where length allows) and thresholds."""
+
+    def __init__(self, ordering: int, length: int, bits: int, seed: int):
+        rng = np.random.default_rng([seed, ordering])
+        self.directions = np.concatenate([np.linalg.qr(rng.standard_normal((length, min(length, bits - at))))[0] for at in range(0, bits, length)], axis=1)
+        self.shift = rng.uniform(-0.2, 0.2, bits)
 
+    def project(self, unit: np.ndarray) -> np.ndarray:
+        """Places along the directions, in standard deviations of a random unit vector, from the thresholds on."""
+        return unit @ self.directions * math.sqrt(unit.shape[1]) - self.shift
 
-def curve_keys(unit: np.ndarray, ordering: int, seed: int) -> np.ndarray:
-    directions, shift = projection(ordering, unit.shape[1], seed)
-    spread = 3 / np.sqrt(unit.shape[1])  # three standard deviations of a random unit vector
-    cells = (unit @ directions / spread + 1) / 2 * ((1 << LEVELS) - 1) + shift
-    return hilbert(np.clip(cells, 0, (1 << LEVELS) - 1).astype(np.int64), LEVELS)
+    def near(self, z: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities that a vector of that cosine to one projected to z is above each threshold, and below."""
+        up = (cosine * (z + self.shift) - self.shift) / math.sqrt(1 - cosine * cosine)
+        above = np.array([math.erfc(-x / math.sqrt(2)) / 2 for x in up.ravel()]).reshape(up.shape)
+        return np.log(np.clip(above, 1e-9, 1)), np.log(np.clip(1 - above, 1e-9, 1))
+
+    def visits(self, above: np.ndarray, below: np.ndarray, least: float) -> np.ndarray:
+        """Keys of the cells of log probability `least` or more; of the likeliest cell in any case."""
+        bits, cost = above >= below, np.abs(above - below)
+        budget = max(0.0, np.maximum(above, below).sum() - least)
+        spent, flips = np.zeros(1), np.zeros((1, len(cost)), bool)
+        for i in np.argsort(cost):
+            if cost[i] > budget:
+                break
+            more = spent + cost[i] <= budget
+            flipped = flips[more]
+            flipped[:, i] = True
+            spent, flips = np.concatenate((spent, spent[more] + cost[i])), np.concatenate((flips, flipped))
+        return hilbert((flips ^ bits).astype(np.int64), 1)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -82,66 +110,235 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda x: x != 0))
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
+def _matrix(col) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.float64) for x in col])
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11) -> DataFrame:
-    """query_id, rank, id, score: of each row of vectors for which is_query(id column) holds, the k nearest found."""
+def units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def coded(unit: np.ndarray) -> np.ndarray:
+    """Eight bits for each component, of the largest."""
+    return np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, in double precision."""
+    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+
+
+def scan(rows: DataFrame, asked: list, k: int) -> DataFrame:
+    """ask (place in asked), row, score: the k nearest of rows(row, id, vec) to each of `asked` (row, id, vec), which go
+    to every task, by a product of matrices."""
+    sent = rows.sparkSession.sparkContext.broadcast(([a.id for a in asked], [bytes(a.vec) for a in asked]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = np.array(sent.value[0], np.int64), units(_matrix(sent.value[1]))
+        best, found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                part = b.iloc[at : at + 1024]
+                s = q @ units(_matrix(part.vec)).T
+                s[ids[:, None] == part.id.to_numpy()] = -np.inf
+                s, row = np.concatenate((best, s), axis=1), np.concatenate((found, np.broadcast_to(part.row.to_numpy(), s.shape)), axis=1)
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best, found = np.take_along_axis(s, top, 1), np.take_along_axis(row, top, 1)
+        ask, place = np.nonzero(best > -np.inf)
+        yield pd.DataFrame({"ask": ask, "row": found[ask, place], "score": best[ask, place]})
+
+    near = rows.select("row", "id", "vec").mapInPandas(run, "ask long, row long, score double")
+    return near.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "row"))).where(F.col("n") <= k).drop("n")
+
+
+def fitted(rows: DataFrame, curves: list[Curve], k: int) -> tuple[float, float]:
+    """The cosine that neighbours have, and the least log probability of cells to visit."""
+    asked = rows.where("is_query").orderBy(F.xxhash64("id"), "row").limit(CALIBRATION).select("row", "id", "vec").collect()
+    near = scan(rows, asked, k).join(rows.select("row", "vec"), "row").select("ask", "vec", "score").collect()  # CALIBRATION x k rows
+    if not near:
+        return 0.5, -math.inf
+    ask, cosine = np.array([r.ask for r in near]), float(np.clip(np.median([r.score for r in near]), 0.05, 0.99))
+    q, x = units(_matrix([bytes(a.vec) for a in asked]))[ask], units(_matrix([bytes(r.vec) for r in near]))
+    most = np.full(len(near), -np.inf)
+    for c in curves:
+        above, below = c.near(c.project(q), cosine)
+        most = np.maximum(most, np.where(c.project(x) > 0, above, below).sum(axis=1))
+    return cosine, float(np.quantile(most, 1 - AIM)) - 1e-9
+
+
+class Best:
+    """The best few candidates of each query, from many windows."""
+
+    def __init__(self, few: int):
+        self.few = few
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.least = np.empty(0)
+        self.pending: list[tuple] = []
+        self.n = 0
+
+    def slots(self, queries: np.ndarray) -> np.ndarray:
+        """Places in `least`, the scores that candidates must reach."""
+        out = np.array([self.slot.setdefault(q, len(self.slot)) for q in queries.tolist()], np.int64)
+        if len(self.slot) > len(self.least):
+            self.least = np.concatenate((self.least, np.full(len(self.slot), -np.inf)))
+        return out
+
+    def add(self, slots: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
+        self.pending.append((slots, rows, scores))
+        self.n += len(slots)
+        if self.n > PENDING:
+            self.sort()
+
+    def sort(self) -> None:
+        slot, row, score = (np.concatenate(x) for x in zip(*self.pending))
+        once = np.unique(np.stack((slot, row)), axis=1, return_index=True)[1]
+        slot, row, score = slot[once], row[once], score[once]
+        order = np.lexsort((-score, slot))
+        slot, row, score = slot[order], row[order], score[order]
+        rank = np.arange(len(slot)) - np.searchsorted(slot, slot)
+        full, keep = rank == self.few - 1, rank < self.few
+        self.least[slot[full]] = score[full]
+        self.pending, self.n = [(slot[keep], row[keep], score[keep])], 0
+
+    def take(self) -> pd.DataFrame:
+        if not self.pending:
+            return pd.DataFrame({"query": [], "row": [], "score": []}).astype({"query": "int64", "row": "int64", "score": "float64"})
+        self.sort()
+        slot, row, score = self.pending[0]
+        out = pd.DataFrame({"query": np.fromiter(self.slot, np.int64, len(self.slot))[slot], "row": row, "score": score})
+        self.clear()
+        return out
+
+
+def meet(dealt: DataFrame, few: int) -> DataFrame:
+    """query, row, score: the best few that windows give each query. dealt: within partitions, block by block, the rows
+    (`asks` false) before the queries, these with the cells that they visit; rows in order of their cells."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, now, held, table = Best(few), None, [], None
+        for b in batches:
+            key = b[["ordering", "block", "salt", "asks"]].to_numpy(np.int64)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
+                part, group = b.iloc[lo:hi], tuple(key[lo, :3])
+                if group != now:
+                    now, held, table = group, [], None
+                if not key[lo, 3]:
+                    held.append(part[["row", "id", "code", "cell"]])
+                elif held:
+                    if table is None:
+                        have = pd.concat(held)
+                        code = np.stack([np.frombuffer(x, np.int8) for x in have.code]).astype(np.float32)
+                        code /= np.linalg.norm(code, axis=1, keepdims=True)
+                        cell = have.cell.to_numpy()
+                        table = have.row.to_numpy(np.int64), have.id.to_numpy(np.int64), code, np.searchsorted(cell, np.arange(BLOCK_CELLS + 1))
+                    rows, ids, code, starts = table
+                    q = np.stack([np.frombuffer(x, np.int8) for x in part.code]).astype(np.float32)
+                    q /= np.linalg.norm(q, axis=1, keepdims=True)
+                    slots, own = best.slots(part.row.to_numpy(np.int64)), part.id.to_numpy(np.int64)
+                    visits = [np.asarray(c, np.int64) for c in part.cells]
+                    who, cells = np.repeat(np.arange(len(q)), [len(c) for c in visits]), np.concatenate(visits)
+                    order = np.argsort(cells, kind="stable")
+                    who, ends = who[order], np.searchsorted(cells[order], np.arange(BLOCK_CELLS + 1))
+                    for c in np.unique(cells).tolist():
+                        i, j = starts[c], starts[c + 1]
+                        asked = who[ends[c] : ends[c + 1]]
+                        for a in range(i, j, 1024):
+                            z = min(j, a + 1024)
+                            s = q[asked] @ code[a:z].T
+                            x, y = np.nonzero((s > best.least[slots[asked]][:, None]) & (own[asked][:, None] != ids[a:z]))
+                            if len(x):
+                                best.add(slots[asked[x]], rows[a + y], s[x, y].astype(np.float64))
+            if len(best.slot) > SLOTS:
+                yield best.take()
+        yield best.take()
+
+    return dealt.mapInPandas(run, "query long, row long, score double")
+
+
+def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11, measured: dict | None = None) -> DataFrame:
+    """query_id, rank, id, score: of each row of vectors for which is_query(id column) holds, the k nearest found.
+    measured: gets the number of rows on the curves, of queries, and of rows that these meet in all their windows."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "ann")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def to_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b.id, "vec": [np.asarray(x, np.float64).tobytes() for x in b.vec]})
 
-    rows = usable(vectors, id_col, vec_col).mapInPandas(to_bytes, "id long, vec binary").withColumn("is_query", is_query(F.col("id")))
-    place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    rows = scratch.put("rows", rows)
-    firsts = rows.withColumn("copy", place).where(F.col("copy") <= k + 1).drop("copy")
-    late = rows.where("is_query").join(firsts.select("id", "vec"), ["id", "vec"], "left_anti")
-    rows = scratch.put("shown", firsts.withColumn("shown", F.lit(True)).union(late.withColumn("shown", F.lit(False))))
-    n = rows.count()
+    rows = usable(vectors, id_col, vec_col).mapInPandas(to_bytes, "id long, vec binary")
+    rows = scratch.put("rows", rows.withColumn("is_query", is_query(F.col("id"))).withColumn("row", F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("id", "row"))
+    shown = scratch.put("shown", rows.withColumn("copy", place).where(F.col("copy") <= k + 1))
+    n, length = shown.count(), next((len(r.vec) // 8 for r in shown.select("vec").head(1)), 1)
+    bits = max(8, round(math.log2(max(n, 1) / CELL_ROWS)))
+    curves = [Curve(o, length, bits, seed) for o in range(ORDERINGS)]
+    cosine, least = fitted(shown, curves, k)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = _matrix(b.vec)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for o in range(ORDERINGS):
-                    yield b.assign(ordering=o, key=curve_keys(x, o, seed))
+                x = units(_matrix(b.vec))
+                code = [c.tobytes() for c in coded(x)]
+                for o, c in enumerate(curves):
+                    key = hilbert((c.project(x) > 0).astype(np.int64), 1)
+                    yield pd.DataFrame({"ordering": o, "block": key // BLOCK_CELLS, "cell": key % BLOCK_CELLS, "row": b.row, "id": b.id, "code": code})
 
-    fields = "id long, vec binary, is_query boolean, shown boolean, ordering int, key long"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["ordering", "key", "id"]
-    placed = scratch.put("curves", rows.mapInPandas(keyed, fields).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                         .withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # an ordering has n rows, so its rows are the places from ordering * n on
-    placed = placed.join(F.broadcast(before.select("part", "before")), "part").withColumn("place", F.col("before") + F.col("at") - F.col("ordering") * F.lit(n))
-    reach = max(MIN_WINDOW, -(-n // WINDOW)) // 2
-    block = lambda c: F.floor(c / F.lit(BLOCK)).cast("int")
-    shares = 1 + (2 * reach + BLOCK) // ASKED  # a block's queries are dealt out so that a group has about ASKED at most
-    held = placed.where("shown").select("ordering", block(F.col("place")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "id", "vec", F.lit(False).alias("asks"))
-    asked = placed.where("is_query").select("ordering", F.explode(F.sequence(block(F.greatest(F.col("place") - reach, F.lit(0))), block(F.least(F.col("place") + reach, F.lit(max(n - 1, 0)))))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("share"), "id", "vec", F.lit(True).alias("asks"))
-
-    def near(group: pd.DataFrame) -> pd.DataFrame:
-        ask, have = group[group.asks], group[~group.asks]
-        found: list[pd.DataFrame] = []
-        if len(ask) and len(have):
-            ids = have.id.to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            ids, x = ids[by_id], _matrix(have.vec.iloc[by_id])
-            norms = np.sqrt((x * x).sum(axis=1))
-            for q, v in zip(ask.id, ask.vec):
-                y = np.frombuffer(v, np.float64)
-                score = (x * y).sum(axis=1) / (norms * np.sqrt((y * y).sum()))
-                score[ids == q] = -np.inf
-                best = np.argsort(-score, kind="stable")[:k]
-                best = best[score[best] > -np.inf]
-                found.append(pd.DataFrame({"query_id": q, "id": ids[best], "score": score[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-
-    met = held.union(asked).groupBy("ordering", "block", "share").applyInPandas(near, "query_id long, id long, score double")
+    def visiting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                x = units(_matrix(part.vec))
+                who = list(zip(part.row, part.id, (c.tobytes() for c in coded(x))))
+                for o, c in enumerate(curves):
+                    out: list[tuple] = []
+                    for w, above, below in zip(who, *c.near(c.project(x), cosine)):
+                        key = np.sort(c.visits(above, below, least))
+                        blocks, starts = np.unique(key // BLOCK_CELLS, return_index=True)
+                        out += [(o, block, *w, cells) for block, cells in zip(blocks.tolist(), np.split(key % BLOCK_CELLS, starts[1:]))]
+                    yield pd.DataFrame(out, columns=["ordering", "block", "row", "id", "code", "cells"])
+
+    placed = scratch.put("curves", shown.select("row", "id", "vec").mapInPandas(keyed, "ordering int, block long, cell int, row long, id long, code binary"))
+    asked = scratch.put("visits", shown.where("is_query").select("row", "id", "vec").mapInPandas(visiting, "ordering int, block long, row long, id long, code binary, cells array<int>"))
+    large = scratch.put("large", placed.groupBy("ordering", "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(LARGE_BLOCK)).cast("int").alias("salts")).where("salts > 1"))
+    salts = F.lit(1)
+    if large.head(1):
+        placed, asked, salts = placed.join(large, ["ordering", "block"], "left"), asked.join(large, ["ordering", "block"], "left"), F.coalesce("salts", F.lit(1))
+    cols = ["ordering", "block", "salt", "asks", "cell", "row", "id", "code", "cells"]
+    held = placed.withColumns({"salt": F.pmod(F.xxhash64("row"), salts).cast("int"), "asks": F.lit(False), "cells": F.lit(None).cast("array<int>")})
+    asks = asked.withColumns({"salt": F.explode(F.sequence(F.lit(0), salts - 1)), "asks": F.lit(True), "cell": F.lit(0)})
+    dealt = held.select(cols).union(asks.select(cols)).repartitionByRange(parts, "ordering", "block", "salt").sortWithinPartitions("ordering", "block", "salt", "asks", "cell")
+    met = meet(dealt, 2 * k + 2)
+    if measured is not None:
+        cells = placed.groupBy("ordering", "block", "cell").agg(F.count(F.lit(1)).alias("n"))
+        rows_met = asked.select("ordering", "block", F.explode("cells").alias("cell")).join(cells, ["ordering", "block", "cell"]).agg(F.sum("n")).first()[0]
+        measured |= {"rows": n, "queries": shown.where("is_query").count(), "met": rows_met or 0}
+
+    # the best of all partitions; then exact scores of twice as many as are asked for
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "row")
+    near = met.groupBy("query", "row").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * k + 2)
+    pairs = scratch.put("pairs", near.select("query", "row"))
+    enough = pairs.groupBy("query").count().where(F.col("count") >= min(k, n - 1))
+    short = scratch.put("short", shown.where("is_query").join(enough, shown.row == enough["query"], "left_anti").select("row", "id", "vec"))
+    last = -1
+    while some := short.where(F.col("row") > last).orderBy("row").limit(ROUND).collect():
+        last = some[-1].row
+        ask = spark.createDataFrame([(i, r.row) for i, r in enumerate(some)], "ask long, query long")
+        pairs = pairs.union(scan(shown, some, k).join(F.broadcast(ask), "ask").select("query", "row"))
+    copies = shown.groupBy("vec").agg(F.collect_list("row").alias("firsts"))  # k + 1 at most
+    late = rows.where("is_query").join(shown.select("row"), "row", "left_anti").join(copies, "vec")
+    pairs = pairs.union(late.select(F.col("row").alias("query"), F.explode("firsts").alias("row")))
+    asker = rows.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    both = pairs.join(rows.select("row", "id", "vec"), "row").join(asker, "query").where("id <> query_id")
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"query_id": b.query_id, "id": b.id, "score": cosines(_matrix(b.vec), _matrix(b.query_vec))})
+
+    scored = both.select("query_id", "id", "vec", "query_vec").mapInPandas(exact, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return met.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return scored.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

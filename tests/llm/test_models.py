@@ -130,6 +130,40 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_neighbours_without_clusters(spark):
+    """Vectors without any structure: windows hold fewer rows than there are, and the neighbours among them."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((12_000, 48)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    measured, got = {}, {}
+    for r in ann.search(df, lambda i: i % 50 == 0, measured=measured).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(x), 50):
+        s = unit @ unit[q]
+        s[q] = -1
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits / (5 * len(got)) >= 0.9
+    assert measured["met"] < 0.8 * measured["rows"] * measured["queries"]
+
+
+def test_neighbours_that_windows_miss(spark, monkeypatch):
+    """Queries that find too few are answered by a scan; large blocks are dealt out; the count of queries is bounded."""
+    monkeypatch.setattr(ann, "fitted", lambda rows, curves, k: (0.5, 0.0))  # the likeliest cell alone
+    monkeypatch.setattr(ann, "ORDERINGS", 1)
+    monkeypatch.setattr(ann, "ROUND", 3)
+    monkeypatch.setattr(ann, "LARGE_BLOCK", 8)
+    monkeypatch.setattr(ann, "SLOTS", 2)
+    monkeypatch.setattr(ann, "PENDING", 10)
+    x = np.random.default_rng(6).standard_normal((200, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, lambda i: i % 10 == 0).collect()
+    assert Counter(r.query_id for r in got) == dict.fromkeys(range(0, 200, 10), 5)
+    for r in got:
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.id] / np.linalg.norm(x[r.query_id]) / np.linalg.norm(x[r.id])))
+
+
 def test_lattice_sums_over_all_segmentations():
     pieces = lattice.normalised({b" ": -2.0, b" a": -1.0, b"a": -1.5, b"b": -1.0, b"ab": -0.7, b" ab": -3.0, lattice.END: -1.0})
 
