@@ -24,14 +24,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     mark, k = _mark(now), 0
     while mark[0]:
         k += 1
+        # least and large are written, so that the joins read both sides by plain shuffles, of which Spark splits a hot key
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct()
+        least = scratch.put(f"least-{k}", both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = scratch.put(f"large-{k}", both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        roots = scratch.put(f"roots-{k}", large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(roots, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(roots.select("a", "m")).distinct()
         after = scratch.put(f"links-{k}", small)
         was, mark, now = mark, _mark(after), after
-        scratch.drop(f"links-{k - 1}")
+        for name in (f"links-{k - 1}", f"least-{k}", f"large-{k}", f"roots-{k}"):
+            scratch.drop(name)
         if was == mark:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

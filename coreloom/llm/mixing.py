@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, text_of, with_position
 
 #: Values of the sampling hash. A source's sample is cut at a value: to 1/BINS of the source, or to a document.
-BINS = 1 << 16
+BINS, SPAN = 1 << 16, 1 << 8
 WEIGHTS = (1, 2, 3)
 
 
@@ -60,9 +60,14 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, sizes: DataFrame |
     goal = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs, scratch)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     goal = scratch.put("goal", goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    order = Window.partitionBy("source").orderBy("bin")  # BINS rows of a source at most
-    b, g = bins.alias("b"), goal.alias("g")
-    upto = b.join(g, F.col("b.source").eqNullSafe(F.col("g.source"))).select("b.source", "bin", "words", "rest").withColumn("sum", F.sum("words").over(order))
+    # words up to each bin, by way of spans of SPAN bins: no window sees more than SPAN rows, however large the source
+    span = F.floor(F.col("bin") / F.lit(SPAN)).cast("int")
+    ahead = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = bins.groupBy("source", span.alias("span")).agg(F.sum("words").alias("w")).withColumn("before", F.coalesce(F.sum("w").over(ahead), F.lit(0)))
+    within = Window.partitionBy("source", "span").orderBy("bin")
+    b, s, g = bins.withColumn("span", span).withColumn("upto", F.sum("words").over(within)).alias("b"), spans.alias("s"), goal.alias("g")
+    summed = b.join(s, F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.span") == F.col("s.span"))).select("b.source", "bin", "words", (F.col("upto") + F.col("before")).alias("sum")).alias("u")
+    upto = summed.join(g, F.col("u.source").eqNullSafe(F.col("g.source"))).select("u.source", "bin", "words", "rest", "sum")
     # a bin is in if that brings the sum nearer to the rest
     cut = upto.where((F.col("words") > 0) & (F.col("sum") - F.col("words") / 2 <= F.col("rest")) & (F.col("rest") > 0)).groupBy("source").agg(F.max("bin").alias("cut"))
     c = cut.alias("c")

@@ -25,7 +25,7 @@ from .common import Scratch, text_of, with_position
 from .mixing import n_words
 
 LENGTHS = (512, 1024, 2048, 4096)
-SHARD_ITEMS = 50_000
+SHARD_ITEMS = 4096
 #: What a sequence of the largest length costs for attention, as a share of what its words cost.
 QUADRATIC = 0.25
 

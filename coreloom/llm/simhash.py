@@ -287,9 +287,9 @@ def _classes(fps: DataFrame, distinct: DataFrame, found: DataFrame, scratch: Scr
     """fps with component_id, from the links found between the distinct fingerprints (fp, first)."""
     roots = components(found, scratch)
     linked = scratch.put("linked", roots.join(distinct, roots.node == distinct.fp).select("node", "root", "first"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = scratch.put("least", linked.groupBy("root").agg(F.min("first").alias("component_id")))
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    classes = scratch.put("classes", distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return fps.join(classes, "fp")
 
 
@@ -384,7 +384,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cols: tu
     groups = near.join(nodes, near.node == nodes.set).select("root", "set", "text_hash")
     same = components(compared(docs, groups, shingle, similarity, scratch), Scratch(spark, "similar"))
     named = scratch.put("named", nodes.join(same, nodes.set == same.node, "left").select("set", "first", F.coalesce("root", "set").alias("root")))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = scratch.put("least", named.groupBy("root").agg(F.min("first").alias("component_id")))
     return fps.join(named.join(least, "root").select("set", "root", "component_id"), "set").select(*cols, "root", "component_id")
 
 
