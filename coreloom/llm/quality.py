@@ -1,7 +1,8 @@
 """Line-first quality rules.
 
-Each line is held against rules on punctuation, navigation and boilerplate; lines that break one go, and a document
-that loses too much of its text goes too. Documents of too few words, or in which the same word windows recur too
+Each line is held against rules on punctuation (too many marks; a few words that no punctuation ends, as headings and
+menus have), navigation (entries between separators), repetition (most words repeat the one before) and boilerplate, in
+the four languages of the corpus; lines that break one go, and a document that loses too much of its text goes too. Documents of too few words, or in which the same word windows recur too
 often, go before that.
 
 A null text is empty: no words, so rejected. Blank lines break no rule and weigh nothing. Repeated rows are judged
@@ -20,18 +21,34 @@ WINDOW = 8
 MARKS, MARK_PERCENT = r"!#*$%&|<>{}=_~^\\", 8
 #: Or if it has so many separators between its entries.
 SEPARATORS, SEPARATOR_COUNT = r"[\x20\t][|>/•·»][\x20\t]", 3
-#: Or one of these phrases.
-BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "enable javascript", "subscribe to our", "sign up for our", "log in to", "click here", "read more", "share this", "skip to content", "back to top", "lorem ipsum")
+#: Or one of these phrases, in English, German, French or Spanish.
+BOILERPLATE = (
+    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "enable javascript", "subscribe to our", "sign up for our", "log in to", "click here", "read more", "share this", "skip to content", "back to top", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "javascript aktivieren", "newsletter abonnieren", "hier klicken", "mehr lesen", "weiterlesen", "zum inhalt springen", "nach oben",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "activer javascript", "abonnez-vous", "cliquez ici", "lire la suite", "aller au contenu", "haut de page", "mentions légales",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "condiciones de uso", "utiliza cookies", "habilitar javascript", "suscríbete", "haga clic aquí", "haz clic aquí", "leer más", "ir al contenido", "volver arriba", "aviso legal",
+)
+#: Or under so many words and no mark at its end that ends a sentence, a clause, a quotation or a bracket.
+SHORT, ENDS = 6, r"[.!?…:;,\x22'»”’)\]][\x20\x09-\x0D]*\z"
 #: A document fails if over this percentage of its characters were in lines that failed.
 LOST_PERCENT = 30
 
 
+def _words_fail(line: Column) -> Column:
+    def judged(w: Column) -> Column:
+        again = F.size(F.filter(w, lambda x, i: F.coalesce(F.when(i > 0, F.get(w, i - 1)) == x, F.lit(False))))
+        return (again * 2 > F.size(w)) | (F.size(w).between(1, SHORT - 1) & ~line.rlike(ENDS))
+
+    return let(words_of(line), judged)
+
+
 def line_fails(line: Column) -> Column:
     marks = F.char_length(F.regexp_replace(line, f"[^{MARKS}]+", ""))
     return (
         (marks * 100 > F.char_length(line) * MARK_PERCENT)
         | (F.regexp_count(line, F.lit(SEPARATORS)) >= SEPARATOR_COUNT)
-        | line.rlike("(?i)" + "|".join(BOILERPLATE))
+        | line.rlike("(?iu)" + "|".join(BOILERPLATE))
+        | _words_fail(line)
     )
 
 

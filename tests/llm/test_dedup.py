@@ -215,8 +215,13 @@ def test_quality_counts(spark):
 
 def test_quality_drops_lines_then_documents(spark):
     prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(12)) for i in range(6))
+    prose = prose.replace("\n", ".\n") + "."
     menu = "Home | About | Contact | Shop | Login"
     rows = [(1, prose, "s"), (2, prose + "\n" + menu, "s"), (3, prose[:160] + ("\n" + menu) * 9 + "\nAll rights reserved", "s")]
     got = {r.doc_id: (r.kept, r.clean_text, r.n_lines_failed) for r in quality.judge(spark.createDataFrame(rows, DOC)).collect()}
+    bad = ["Mentions légales", "LEER MÁS...", "Diese Seite verwendet Cookies, ja.", "of of of of of the the the the and and.", "Chapter One"]
+    good = ["", "Yes.", "He said that that was so", "“Well”", "one two three four five six", "no: no, no."]
+    fails = [r.f for r in spark.createDataFrame([(x,) for x in bad + good], "x string").select(quality.line_fails(F.col("x")).alias("f")).collect()]
+    assert fails == [True] * len(bad) + [False] * len(good)
     assert got[1] == (True, prose, 0) and got[2] == (True, prose, 1) and got[3][0] is False
     assert hashlib.sha256(got[1][1].encode()).digest() == hashlib.sha256(prose.encode()).digest() and np.isfinite(got[3][2])
