@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.geo import BBox, in_bbox
+from .intervals import first_source
 
 GOLD, EXTRACTED = "gold:", "extract:"
 NOTIFICATION = r"(?iU)NOTIFICATION\s+ONLY"
@@ -19,17 +19,20 @@ def is_notification(name: Column) -> Column:
 def normalise_index(raw: DataFrame) -> DataFrame:
     """bgs_id, reference, name, easting, northing, length_m, length_raw, notification_only of index records whose ids
     and lengths are doubles; a negative length says unknown and is kept as length_raw alone."""
-    length = F.try_to_number(F.col("length"), F.lit("S999999D999")) if dict(raw.dtypes)["length"] == "string" else F.col("length")
+    length = F.col("length").try_cast("double")
     return raw.select(
         F.col("id").cast("long").alias("bgs_id"), "reference", "name", "easting", "northing", F.when(length >= 0, length).alias("length_m"), length.cast("double").alias("length_raw"), is_notification(F.col("name")).alias("notification_only")
     )
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """stored with new rows in place of those of their key; of several new rows of a key, that last in `order`."""
-    others = [c for c in new.columns if c != key]
-    last = new.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_last")).select(key, "_last.*")
-    return stored.join(last.select(key), key, "left_anti").unionByName(last.select(*stored.columns))
+def upsert(stored: DataFrame, new: DataFrame, key: str | tuple[str, ...], order: str | None = None) -> DataFrame:
+    """stored with new rows in place of those of their key; of several new rows of a key, that last in `order` (null
+    first), or of the largest values without one. New rows whose key has a null have no place and are left out."""
+    keys = [key] if isinstance(key, str) else list(key)
+    one = F.struct(*(c for c in new.columns if c not in keys))
+    rank = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("order")) if order else one  # a struct is never null
+    last = new.dropna(subset=keys).groupBy(*keys).agg(F.max_by(one, rank).alias("_last")).select(*keys, "_last.*")
+    return stored.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*stored.columns))
 
 
 def replace_logs(stored: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("bgs_id", "source"), loaded: DataFrame | None = None) -> DataFrame:
@@ -39,18 +42,50 @@ def replace_logs(stored: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("bg
     return stored.join(named, list(keys), "left_anti").unionByName(new)
 
 
+def store_logs(intervals: DataFrame, meta: DataFrame, new: DataFrame, new_meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(intervals, meta) once logs are loaded: new_meta names them, a row for each (bgs_id, source), and new has their
+    intervals, if they have any."""
+    keys = ("bgs_id", "source")
+    return replace_logs(intervals, new, keys, new_meta), upsert(meta, new_meta, keys)
+
+
+def append_rows(df: DataFrame, path: str, at: str = "fetched_at") -> None:
+    """Appends attempts or runs to the table at path, each with the time `at`; no row is ever changed."""
+    df.withColumn(at, F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def run_rows(metrics: DataFrame, source: str) -> DataFrame:
+    """metrics with run_id, the time in UTC, and source: rows for append_rows(..., at='ran_at')."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return metrics.select(F.date_format(now, "yyyyMMdd'T'HHmmss'Z'").alias("run_id"), F.lit(source).alias("source"), *metrics.columns)
+
+
+def _rename(fs, a, b) -> bool:
+    return fs.rename(a, b)
+
+
 def swap_in(df: DataFrame, path: str) -> None:
-    """Writes df to path as a new table and only then takes the old one away: readers see one or the other."""
+    """Writes df to path as a new table, moves the old one aside and the new one in, and only then deletes the old one.
+
+    If the new one can't be moved in, the old one is moved back, and that is an error. Between the two moves no table
+    stands at path; where a driver was lost just then, the next call puts the old one back before it begins.
+    """
     jvm, spark = df.sparkSession._jvm, df.sparkSession
-    at = lambda s: jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + s)
-    fs = at("").getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(at("_new"), True)
-    df.write.parquet(path.rstrip("/") + "_new")
-    fs.delete(at("_old"), True)
-    if fs.exists(at("")):
-        fs.rename(at(""), at("_old"))
-    fs.rename(at("_new"), at(""))
-    fs.delete(at("_old"), True)
+    now, new, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + s) for s in ("", "_new", "_old"))
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(now) and not _rename(fs, old, now):
+        raise OSError(f"{path}_old can't be moved back")
+    fs.delete(new, True)
+    df.write.parquet(str(new))
+    fs.delete(old, True)
+    had = fs.exists(now)
+    if had and not _rename(fs, now, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not _rename(fs, new, now):
+        if had and not _rename(fs, old, now):
+            raise OSError(f"{path} can't be replaced, nor put back: it is at {path}_old")
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(old, True)
 
 
 def completeness(received: DataFrame, declared: DataFrame) -> DataFrame:
@@ -82,19 +117,33 @@ def count_sites(boreholes: DataFrame, scans: DataFrame, box: BBox) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("boreholes"), F.count("length_m").alias("with_depth"), F.count_if("notification_only").alias("notification_only"), F.count("good").alias("with_scan"))
 
 
-def summary(boreholes: DataFrame, scans: DataFrame, intervals: DataFrame, runs: DataFrame) -> DataFrame:
+def _beside(*frames: DataFrame) -> DataFrame:
+    """One row of the columns of frames of one row; those after the first may have none."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(F.broadcast(f), F.lit(True), "left")
+    return out
+
+
+def summary(boreholes: DataFrame, scans: DataFrame, intervals: DataFrame, eval_runs: DataFrame, model_runs: DataFrame) -> DataFrame:
     """One row of counts over the corpus."""
     of = lambda prefix: F.countDistinct(F.when(F.startswith("source", F.lit(prefix)), F.col("bgs_id")))
-    parts = [
+    return _beside(
         boreholes.agg(F.count(F.lit(1)).alias("boreholes"), F.count("length_m").alias("with_depth"), F.count_if("notification_only").alias("notification_only")),
         scans.agg(F.countDistinct(F.when(F.col("ok"), F.col("bgs_id"))).alias("scans_ok"), F.count_if(~F.col("ok")).alias("scans_failed")),
         intervals.agg(of(GOLD).alias("logs_gold"), of(EXTRACTED).alias("logs_extracted")),
-        runs.agg(F.count(F.lit(1)).alias("runs")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:  # one row each
-        out = out.join(F.broadcast(p), F.lit(True))
-    return out
+        eval_runs.agg(F.count(F.lit(1)).alias("eval_runs")), model_runs.agg(F.count(F.lit(1)).alias("model_runs")),
+    )
+
+
+def pipeline_status(counts: DataFrame, eval_runs: DataFrame, model_runs: DataFrame, at: str = "ran_at") -> DataFrame:
+    """The row of summary with the latest eval run's columns as eval_* and the latest model run's as model_*; nulls where
+    nothing has run. Runs of one time: the larger row."""
+    def latest(runs: DataFrame, prefix: str) -> DataFrame:
+        last = runs.agg(F.max(F.struct(at, *(c for c in runs.columns if c != at))).alias("r")).where("r is not null")
+        return last.select(*(F.col("r")[c].alias(f"{prefix}_{c}") for c in runs.columns))
+
+    return _beside(counts, latest(eval_runs, "eval"), latest(model_runs, "model"))
 
 
 def load_sites(meta: DataFrame, boreholes: DataFrame, source: str) -> DataFrame:
@@ -141,15 +190,12 @@ def nearest(boreholes: DataFrame, meta: DataFrame, scans: DataFrame, intervals:
     return rows.select("bgs_id", "name", "easting", "northing", F.round("distance_m", 1).alias("distance_m"), F.coalesce("has_scan", F.lit(False)).alias("has_scan"), F.coalesce("log_sources", F.array().cast("array<string>")).alias("log_sources"))
 
 
-def borehole_log(intervals: DataFrame, bgs_id: int, source: str | None = None) -> DataFrame:
-    """The intervals of one site in order: of the source asked for, else gold before others and then by name."""
-    rows = intervals.where(F.col("bgs_id") == bgs_id)
-    if source is None:
-        order = Window.partitionBy("bgs_id").orderBy(~F.startswith("source", F.lit(GOLD)), "source")
-        rows = rows.withColumn("rank", F.dense_rank().over(order)).where("rank = 1").drop("rank")
-    else:
-        rows = rows.where(F.col("source") == source)
-    return rows.orderBy("seq")
+def borehole_log(intervals: DataFrame, meta: DataFrame, source: str | None = None) -> DataFrame:
+    """The intervals of every site's log in seq: of the source asked for, else of gold before others and then by name;
+    with available_sources and the log's own columns of meta."""
+    every = intervals.groupBy("bgs_id").agg(F.array_sort(F.collect_set("source")).alias("available_sources"))
+    rows = first_source(intervals) if source is None else intervals.where(F.col("source") == source)
+    return rows.join(every, "bgs_id").join(meta, ["bgs_id", "source"], "left")
 
 
 def latest_run(runs: DataFrame, at: str, *ties: str) -> DataFrame:

@@ -171,9 +171,3 @@ def model_gates(result: DataFrame, min_gain_pp: float = 5.0, min_calibration: fl
     at_least = lambda c, least: F.coalesce(F.col(c) >= least, F.lit(False))
     rows = result.withColumns({"gain_ok": at_least("gain_pp", min_gain_pp), "calibration_ok": at_least("calibration", min_calibration), "enough_sites": at_least("n_sites", min_sites)})
     return rows.withColumn("gates_passed", F.col("gain_ok") & F.col("calibration_ok") & F.col("enough_sites"))
-
-
-def nearest_sites(sites: DataFrame, x: float, y: float, k: int = 5) -> DataFrame:
-    """The k (1 to 50) sites nearest to a point, with distance_m; ties to the smaller id."""
-    d = F.hypot(F.col("easting") - x, F.col("northing") - y)
-    return sites.withColumn("distance_m", d).orderBy("distance_m", "bgs_id").limit(max(1, min(50, k)))

@@ -64,12 +64,29 @@ def count_boreholes(f: Frames) -> DataFrame:
     return corpus.count_sites(f.boreholes, f.scans, BOX)
 
 
-@query("""SELECT * FROM (SELECT CAST(count(*) AS BIGINT) AS boreholes, CAST(count(length_m) AS BIGINT) AS with_depth, CAST(count(*) FILTER (notification_only) AS BIGINT) AS notification_only FROM {boreholes}) a,
+_SUMMARY = """SELECT * FROM (SELECT CAST(count(*) AS BIGINT) AS boreholes, CAST(count(length_m) AS BIGINT) AS with_depth, CAST(count(*) FILTER (notification_only) AS BIGINT) AS notification_only FROM {boreholes}) a,
     (SELECT CAST(count(DISTINCT bgs_id) FILTER (ok) AS BIGINT) AS scans_ok, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS scans_failed FROM {scans}) b,
     (SELECT CAST(count(DISTINCT bgs_id) FILTER (source LIKE 'gold:%') AS BIGINT) AS logs_gold, CAST(count(DISTINCT bgs_id) FILTER (source LIKE 'extract:%') AS BIGINT) AS logs_extracted FROM {intervals}) c,
-    (SELECT CAST(count(*) AS BIGINT) AS runs FROM {runs}) d""")
+    (SELECT CAST(count(*) AS BIGINT) AS eval_runs FROM {runs}) d, (SELECT CAST(count(*) AS BIGINT) AS model_runs FROM {model_runs}) e"""
+
+
+def _summary(f: Frames) -> DataFrame:
+    return corpus.summary(f.boreholes, f.scans, f.intervals, f.runs, f.model_runs)
+
+
+@query(_SUMMARY)
 def corpus_summary(f: Frames) -> DataFrame:
-    return corpus.summary(f.boreholes, f.scans, f.intervals, f.runs)
+    return _summary(f)
+
+
+def _latest(runs: str, prefix: str, cols: str) -> str:
+    names = cols.split(", ")
+    return f"(SELECT {', '.join(f'{c} AS {prefix}_{c}' for c in names)} FROM {{{runs}}} ORDER BY ran_at DESC, {', '.join(f'{c} DESC' for c in names if c != 'ran_at')} LIMIT 1)"
+
+
+@query(f"SELECT * FROM ({_SUMMARY}) s, {_latest('runs', 'eval', 'run_key, ran_key, ran_at, boundary_recall, lithology_f1, n_gold')} a, {_latest('model_runs', 'model', 'run_key, ran_at, frame, n_boreholes, accuracy')} b")
+def pipeline_status(f: Frames) -> DataFrame:
+    return corpus.pipeline_status(_summary(f), f.runs, f.model_runs)
 
 
 _SITES = "SELECT m.bgs_id, coalesce(m.easting, b.easting) AS easting, coalesce(m.northing, b.northing) AS northing, m.ground_level_m FROM {log_meta} m LEFT JOIN {boreholes} b ON m.bgs_id = b.bgs_id WHERE m.source = 'gold:ags'"
@@ -118,9 +135,12 @@ def nearest_boreholes(f: Frames) -> DataFrame:
     return found.withColumn("log_sources", F.array_join("log_sources", ","))
 
 
-@query("""SELECT bgs_id, source, seq, top_m, base_m FROM (SELECT *, dense_rank() OVER (PARTITION BY bgs_id ORDER BY CASE WHEN source LIKE 'gold:%' THEN 0 ELSE 1 END, source) AS r FROM {intervals}) x WHERE r = 1""")
+@query("""SELECT x.bgs_id, x.source, a.available_sources, m.easting, m.northing, m.ground_level_m, seq, top_m, base_m, lith_class, confidence
+    FROM (SELECT *, dense_rank() OVER (PARTITION BY bgs_id ORDER BY CASE WHEN source LIKE 'gold:%' THEN 0 ELSE 1 END, source) AS r FROM {intervals}) x
+    JOIN (SELECT bgs_id, string_agg(DISTINCT source, ',' ORDER BY source) AS available_sources FROM {intervals} GROUP BY bgs_id) a ON x.bgs_id = a.bgs_id
+    LEFT JOIN {log_meta} m ON x.bgs_id = m.bgs_id AND x.source = m.source WHERE r = 1""")
 def borehole_log(f: Frames) -> DataFrame:
-    return intervals.first_source(f.intervals).select("bgs_id", "source", "seq", "top_m", "base_m")
+    return corpus.borehole_log(f.intervals, f.log_meta).withColumn("available_sources", F.array_join("available_sources", ","))
 
 
 @query("SELECT run_key, ran_key, ran_at, round(boundary_recall, 6) AS boundary_recall FROM {runs} ORDER BY ran_at DESC, run_key DESC, ran_key DESC, boundary_recall DESC LIMIT 1")
@@ -153,5 +173,7 @@ def coverage_km2(f: Frames) -> DataFrame:
 
 @query()
 def id_collision(f: Frames) -> DataFrame:
-    holes = f.orders.select(F.concat(F.lit("BH"), F.col("o_orderkey").cast("string")).alias("hole")).unionByName(f.part.select(F.col("p_name").alias("hole")))
+    """Names that do share an id among names that don't: plumless and buckeroo are a known pair of equal crc32."""
+    known = f.spark.createDataFrame([("plumless",), ("buckeroo",)], "hole string")
+    holes = f.orders.select(F.concat(F.lit("BH"), F.col("o_orderkey").cast("string")).alias("hole")).unionByName(f.part.select(F.col("p_name").alias("hole"))).unionByName(known)
     return corpus.id_collisions(holes)

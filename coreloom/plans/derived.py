@@ -65,6 +65,9 @@ VIEWS: dict[str, str] = {
     "runs": """
         SELECT l_orderkey AS run_key, l_suppkey AS ran_key, l_shipdate AS ran_at, l_discount * 10 AS boundary_recall, l_tax * 12 AS lithology_f1, CAST(l_quantity AS BIGINT) AS n_gold
         FROM {lineitem}""",
+    "model_runs": """
+        SELECT o_orderkey AS run_key, o_orderdate AS ran_at, CASE WHEN o_orderkey % 2 = 0 THEN 'elevation' ELSE 'depth' END AS frame, o_custkey AS n_boreholes, o_totalprice AS accuracy
+        FROM {orders}""",
     # a layered world for the kernel: the class follows the elevation, so neighbours agree; sites stand about 800 m
     # apart, however many there are
     "world_sites": """

@@ -120,10 +120,43 @@ def test_placeholder_ids(spark):
     assert got == {h: -(zlib.crc32(h.encode()) % 2_000_000_000 + 1) for h in holes}
     df = spark.createDataFrame([(h,) for h in [*holes, "BH1"]], "hole string")
     assert corpus.id_collisions(df).count() == 0
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    both = df.union(spark.createDataFrame([("plumless",), ("buckeroo",), ("plumless",)], "hole string"))
+    assert [tuple(r) for r in corpus.id_collisions(both).collect()] == [(-(zlib.crc32(b"plumless") % 2_000_000_000 + 1), 2)]
 
 
-def test_swap_in(spark, tmp_path):
+def test_upsert_of_unordered_rows_and_null_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "bgs_id long, name string")
+    new = spark.createDataFrame([(1, "x", None), (2, "y", None), (2, "z", 0), (None, "n", 1)], "bgs_id long, name string, o int")
+    assert {tuple(r) for r in corpus.upsert(old, new, "bgs_id", "o").collect()} == {(1, "x"), (2, "z")}
+
+
+def test_loaded_logs_and_runs(spark, tmp_path):
+    logs = spark.createDataFrame([(1, "s", 0), (1, "t", 0), (2, "s", 0)], "bgs_id long, source string, seq int")
+    meta = spark.createDataFrame([(1, "s", 5.0), (2, "s", 6.0)], "bgs_id long, source string, ground_level_m double")
+    new, said = spark.createDataFrame([(1, "s", 7)], logs.schema), spark.createDataFrame([(1, "s", 9.0), (2, "s", None)], meta.schema)
+    i, m = corpus.store_logs(logs, meta, new, said)
+    assert sorted(tuple(r) for r in i.collect()) == [(1, "s", 7), (1, "t", 0)] and {tuple(r) for r in m.collect()} == {(1, "s", 9.0), (2, "s", None)}
+    path = str(tmp_path / "runs")
+    for n in (3, 4):
+        corpus.append_rows(corpus.run_rows(spark.createDataFrame([(n,)], "n_gold int"), "extract:x"), path, at="ran_at")
+    runs = spark.read.parquet(path)
+    assert runs.count() == 2 and all(len(r.run_id) == 16 and r.source == "extract:x" for r in runs.collect())
+    row = corpus.pipeline_status(spark.range(1).select(F.lit(1).alias("boreholes")), runs, runs.limit(0)).first()
+    assert (row.boreholes, row.eval_n_gold, row.model_n_gold) == (1, 4, None)
+
+
+def test_swap_in(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     for n in (3, 5):
         corpus.swap_in(spark.range(n), path)
         assert spark.read.parquet(path).count() == n
+    rename = corpus._rename
+    monkeypatch.setattr(corpus, "_rename", lambda fs, a, b: not str(a).endswith("_new") and rename(fs, a, b))
+    with pytest.raises(OSError, match="can't be replaced"):
+        corpus.swap_in(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 5
+    monkeypatch.setattr(corpus, "_rename", rename)
+    (tmp_path / "t").rename(tmp_path / "t_old")  # as a driver lost between the moves leaves it
+    corpus.swap_in(spark.range(2), path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t_old").exists()
