@@ -11,8 +11,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vocab import MISSING
+from .lineage import cut
 
 # Confidence bands, and how many intervals make a collapsed scale worth a warning.
 BANDS = ("none", "<0.5", "0.5-0.8", "0.8-0.95", ">=0.95")
@@ -29,23 +31,26 @@ class Gates:
     min_gold_boreholes: int = 20
 
 
-def depth_marks(intervals: DataFrame) -> DataFrame:
-    """Distinct boundaries to the millimetre: bgs_id, depth_m."""
-    return intervals.select("bgs_id", F.explode(F.array(F.round("top_m", 3), F.round("base_m", 3))).alias("depth_m")).distinct()
+def boundary_counts(gold: DataFrame, pred: DataFrame, tolerance: float) -> DataFrame:
+    """bgs_id, gold_boundaries, boundary_hits, pred_boundaries, pred_hits: of the distinct boundaries (to the millimetre)
+    of either side, those with one of the other side within the tolerance; sites with a gold boundary.
 
-
-def boundary_hits(marks: DataFrame, others: DataFrame, tolerance: float) -> DataFrame:
-    """bgs_id, n, hits: of the marks of each site, those with another's mark within the tolerance.
-
-    An equi-join on the site and on depth bins of the tolerance's width, so a site with very many marks isn't paired
-    with itself in full.
+    One shuffle by site; sorted there, the nearest other boundary is the last one before or the next one after. A site
+    has at most a boundary for each millimetre of its depth.
     """
-    slot = lambda c: F.floor(c / tolerance)
-    near = others.select("bgs_id", F.col("depth_m").alias("other"), F.explode(F.array(*(slot(F.col("depth_m")) + d for d in (-1, 0, 1)))).alias("slot"))
-    rows = marks.withColumn("slot", slot(F.col("depth_m")))
-    close = (rows.bgs_id == near.bgs_id) & (rows.slot == near.slot) & (F.abs(rows.depth_m - near.other) <= tolerance)
-    hit = rows.join(near, close, "left_semi").groupBy("bgs_id").agg(F.count(F.lit(1)).alias("hits"))
-    return marks.groupBy("bgs_id").agg(F.count(F.lit(1)).alias("n")).join(hit, "bgs_id", "left").select("bgs_id", "n", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+    side = lambda df, is_gold: df.select("bgs_id", F.explode(F.array(F.round("top_m", 3), F.round("base_m", 3))).alias("depth_m"), F.lit(is_gold).alias("gold"))
+    parts = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = side(gold, True).unionByName(side(pred, False)).where("depth_m is not null").repartition(parts, "bgs_id").dropDuplicates()
+    # rows up to the current one, in either direction, so that each is a running value
+    up = Window.partitionBy("bgs_id").orderBy("depth_m", "gold").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("bgs_id").orderBy(F.desc("depth_m"), F.desc("gold")).rowsBetween(Window.unboundedPreceding, 0)
+    other = lambda w: F.when(F.col("gold"), F.last(F.when(~F.col("gold"), F.col("depth_m")), True).over(w)).otherwise(F.last(F.when(F.col("gold"), F.col("depth_m")), True).over(w))
+    near = marks.withColumns({"before": other(up)}).withColumns({"after": other(down)})
+    hit = F.coalesce((F.col("depth_m") - F.col("before") <= tolerance), F.lit(False)) | F.coalesce((F.col("after") - F.col("depth_m") <= tolerance), F.lit(False))
+    rows = near.groupBy("bgs_id").agg(
+        F.count_if("gold").alias("gold_boundaries"), F.count_if(F.col("gold") & hit).alias("boundary_hits"), F.count_if(~F.col("gold")).alias("pred_boundaries"), F.count_if(~F.col("gold") & hit).alias("pred_hits")
+    )
+    return rows.where("gold_boundaries > 0")
 
 
 def samples_above(depth: Column, step: float) -> Column:
@@ -55,6 +60,13 @@ def samples_above(depth: Column, step: float) -> Column:
     return F.greatest(k - 1, F.lit(0)) + last[0] + last[1] + last[2]
 
 
+def clipped(intervals: DataFrame) -> DataFrame:
+    """intervals without what earlier ones of their log (by seq) reach below: each depth belongs to the first interval
+    that has it, as long as logs go downwards."""
+    above = F.max("base_m").over(Window.partitionBy("bgs_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return intervals.withColumn("top_m", F.greatest("top_m", above)).where("top_m < base_m")
+
+
 def _slots(intervals: DataFrame) -> DataFrame:
     """A row for each depth slot that an interval reaches into."""
     slot = lambda c: F.floor(F.col(c) / SLOT_M).cast("int")
@@ -63,11 +75,12 @@ def _slots(intervals: DataFrame) -> DataFrame:
 
 def depth_confusion(gold: DataFrame, pred: DataFrame, step: float = 0.1) -> DataFrame:
     """bgs_id, gold_class, pred_class, n: depths sampled every `step` in gold by the classes there; gaps in gold aren't
-    sampled. Logs don't overlap in themselves, which validation ensures.
+    sampled. Where a log overlaps itself, its first interval counts.
 
     Samples are counted, not made: a pair of a gold and a predicted interval shares those between the deeper top and
     the shallower base. Pairs meet in depth slots, so long logs aren't paired in full.
     """
+    gold, pred = clipped(gold), clipped(pred)
     g = gold.select("bgs_id", F.col("top_m").alias("gt"), F.col("base_m").alias("gb"), F.col("lith_class").alias("gold_class"))
     between = lambda top, base: F.greatest(samples_above(base, step) - samples_above(top, step), F.lit(0))
     total = g.groupBy("bgs_id", "gold_class").agg(F.sum(between(F.col("gt"), F.col("gb"))).alias("n"))
@@ -97,11 +110,8 @@ def macro_f1(confusion: DataFrame) -> DataFrame:
 
 def per_site(gold: DataFrame, pred: DataFrame, confusion: DataFrame, tolerance: float) -> DataFrame:
     """A row of counts and ratios for each gold site."""
-    marks, others = depth_marks(gold), depth_marks(pred)
-    recall = boundary_hits(marks, others, tolerance).select("bgs_id", F.col("n").alias("gold_boundaries"), F.col("hits").alias("boundary_hits"))
-    precision = boundary_hits(others, marks, tolerance).select("bgs_id", F.col("n").alias("pred_boundaries"), F.col("hits").alias("pred_hits"))
     depth = confusion.groupBy("bgs_id").agg(F.sum("n").alias("samples"), F.coalesce(F.sum(F.when(F.col("gold_class") == F.col("pred_class"), F.col("n"))), F.lit(0)).alias("correct"))
-    rows = recall.join(precision, "bgs_id", "left").join(depth, "bgs_id", "left").fillna(0)
+    rows = boundary_counts(gold, pred, tolerance).join(depth, "bgs_id", "left").fillna(0)
     return rows.withColumns({
         "boundary_recall": ratio(F.col("boundary_hits"), F.col("gold_boundaries")),
         "boundary_precision": ratio(F.col("pred_hits"), F.col("pred_boundaries")),
@@ -155,20 +165,24 @@ def gates(metrics: DataFrame, g: Gates = Gates()) -> DataFrame:
 
 
 def evaluate(gold: DataFrame, pred: DataFrame, g: Gates = Gates()) -> DataFrame:
-    """One row of pooled metrics and gates."""
-    confusion = depth_confusion(gold, pred).persist()
+    """One row of pooled metrics and gates. Logs and confusion are written once, as several steps read them."""
+    gold, pred = cut(gold), cut(pred)
+    confusion = cut(depth_confusion(gold, pred))
     row = pooled(per_site(gold, pred, confusion, g.boundary_tolerance_m))
     return gates(row.join(F.broadcast(macro_f1(confusion)), F.lit(True)), g)
 
 
-def report(metrics: DataFrame, bands: DataFrame, sites: DataFrame, source: str) -> tuple[str, str]:
-    """(markdown, JSON) of a metric row, the bands and the site rows, of which there are as many as gold sites."""
+def report(metrics: DataFrame, bands: DataFrame, source: str) -> tuple[str, str]:
+    """(markdown, JSON) of a metric row and the bands; site_report has a row for each site."""
     m, b = metrics.first().asDict(), {r.band: r.n for r in bands.collect()}
-    rows = [r.asDict() for r in sites.orderBy("bgs_id").collect()]
     share = lambda v: "n/a" if v is None else f"{100 * v:.1f}%"
     names = ("boundary_recall", "boundary_precision", "depth_accuracy", "lithology_f1")
     lines = [f"# Evaluation of {source}", "", f"Gold sites: {m['n_gold']}. Gates {'passed' if m['gates_passed'] else 'not passed'}.", "", "| metric | value |", "|-|-|"]
     lines += [f"| {n} | {share(m[n])} |" for n in names]
-    lines += ["", "Confidence: " + ", ".join(f"{k} {b.get(k, 0)}" for k in BANDS), "", "| site | recall | precision | accuracy | samples |", "|-|-|-|-|-|"]
-    lines += [f"| {r['bgs_id']} | {share(r['boundary_recall'])} | {share(r['boundary_precision'])} | {share(r['depth_accuracy'])} | {r['samples']} |" for r in rows]
-    return "\n".join(lines) + "\n", json.dumps({"source": source, **m, "confidence_bands": b, "sites": rows}, indent=1)
+    lines += ["", "Confidence: " + ", ".join(f"{k} {b.get(k, 0)}" for k in BANDS)]
+    return "\n".join(lines) + "\n", json.dumps({"source": source, **m, "confidence_bands": b}, indent=1)
+
+
+def site_report(sites: DataFrame, path: str) -> None:
+    """Writes the rows of per_site, by site, as JSON lines under path; nulls stay out."""
+    sites.orderBy("bgs_id").write.json(path)

@@ -1,16 +1,31 @@
-"""Cutting a plan's lineage between rounds."""
+"""Cutting a plan's lineage: tables written to the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own_dir: str | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a folder of our own if all of Spark runs in this process,
+    as in tests; on a cluster that is an error, since executors don't see each other's disks."""
+    global _own_dir
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if _own_dir is None:
+        _own_dir = "file://" + tempfile.mkdtemp(prefix="spark-coreloom-", dir="/tmp")
+    return _own_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the folder of spark.checkpoint.dir; a folder of our own only where that is unset,
-    as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-coreloom-", dir="/tmp"))
-    return df.checkpoint()
+    """df written as a table to the shared folder and read from there: what follows starts anew, and a lost executor
+    costs only the work done since."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

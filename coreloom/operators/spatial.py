@@ -105,30 +105,31 @@ def vote(weights: DataFrame, prior: float = PRIOR) -> DataFrame:
     return rows.select("lh", "lv", "qid", "evidence", (-F.col("best.c")).cast("int").alias("cls"), of(F.col("best.w"), F.col("evidence")).alias("p_max"), (-(some + rest) / math.log(k)).alias("entropy"))
 
 
-def nearest_other(points: DataFrame, cell: float) -> DataFrame:
+def nearest_other(points: DataFrame, cell: float | None = None) -> DataFrame:
     """bgs_id, nearest: for each point (bgs_id, x, y) the nearest point of another id; ties to the smaller id.
 
-    Rounds of cell joins: what lies within one cell's width is found among the cells around; points without such try
-    again with cells four times as wide, so the few isolated ones never cost a cross join. One point alone has none.
+    Rounds of cell joins: what lies within one cell's width is found among the cells around. The first width is that of
+    a circle of about seven points at the mean density, so few points are left for the rounds after it, of cells four
+    times as wide. One point alone has none.
     """
-    spark, span = points.sparkSession, points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    reach = math.hypot(*(float(s or 0.0) for s in span))
+    row = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
+    w, h, n = float(row[0] or 0.0), float(row[1] or 0.0), row[2]
+    reach = math.hypot(w, h)
+    cell = cell or 1.5 * math.sqrt(max(w * h, reach, 1.0) / max(n, 1))
     left, found = points, None  # rounds grow by the logarithm of the extent
     while True:
         pairs = near_pairs(left, points, {"x": cell, "y": cell}).where("bgs_id <> p_bgs_id")
         d2 = F.pow(F.col("x") - F.col("p_x"), 2) + F.pow(F.col("y") - F.col("p_y"), 2)
         best = pairs.groupBy("bgs_id").agg(F.min(F.struct(d2.alias("d2"), F.col("p_bgs_id").alias("id"))).alias("b")).select("bgs_id", F.col("b.id").alias("nearest"), "b.d2")
         last = cell > reach
-        sure = (best if last else best.where(F.col("d2") <= cell * cell)).select("bgs_id", "nearest")
-        sure = cut(sure)
+        sure = cut((best if last else best.where(F.col("d2") <= cell * cell)).select("bgs_id", "nearest"))
         found = sure if found is None else found.unionByName(sure)
-        left = cut(left.join(sure, "bgs_id", "left_anti"))
-        if last or left.isEmpty():
+        if last or (rest := left.join(sure, "bgs_id", "left_anti")).isEmpty():
             return found
-        cell *= 4
+        left, cell = cut(rest), cell * 4
 
 
-def baseline(samples: DataFrame, cell: float = 500.0) -> DataFrame:
+def baseline(samples: DataFrame, cell: float | None = None) -> DataFrame:
     """qid, cls of each sample by its horizontally nearest other site: the class there at the nearest z (ties to the
     shallower), if within BASELINE_DZ. samples: qid, bgs_id, ord, x, y, z, cls; a site has one place."""
     places = samples.groupBy("bgs_id").agg(F.min_by("x", "ord").alias("x"), F.min_by("y", "ord").alias("y"))

@@ -10,7 +10,7 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import AIR, EVIDENCE, UNCONSTRAINED, class_name
@@ -73,16 +73,22 @@ def bake(grid: Grid, samples: DataFrame, sites: DataFrame, lh: float = 300.0, lv
 
 
 def lookup(voxels: DataFrame, grid: Grid, points: DataFrame) -> DataFrame:
-    """points (pid, x, y, z) with status (outside, air, unconstrained, class), lith_class, entropy and constrained. The
-    stored flag says what is constrained, not the rounded entropy."""
+    """points (pid, x, y, z) with status (outside, air, unconstrained, class), lith_class, certainty, entropy, constrained,
+    surface, and the voxel's centre and z range. The stored flag says what is constrained, not the rounded entropy; an
+    unconstrained voxel has certainty 0, air none; outside all is null."""
     at = points.withColumns({
         "i": F.floor((F.col("x") - grid.x0) / grid.cell_xy).cast("int"), "j": F.floor((F.col("y") - grid.y0) / grid.cell_xy).cast("int"), "k": F.floor((F.col("z") - grid.z0) / grid.cell_z).cast("int"),
     })
-    got = at.join(voxels.select("i", "j", "k", "class_idx", "entropy", "constrained"), ["i", "j", "k"], "left")
+    got = at.join(voxels.select("i", "j", "k", "class_idx", "entropy", "constrained", "surface"), ["i", "j", "k"], "left")
     c = F.col("class_idx")
     status = F.when(c.isNull(), "outside").when(c == AIR, "air").when(c == UNCONSTRAINED, "unconstrained").otherwise("class")
-    known = status == "class"
-    return got.select("pid", status.alias("status"), F.when(known, class_name(c)).alias("lith_class"), F.when(known, F.col("entropy")).alias("entropy"), F.coalesce(F.col("constrained"), F.lit(False)).alias("constrained"))
+    known, solid = status == "class", status.isin("class", "unconstrained")
+    return got.select(
+        "pid", status.alias("status"), F.when(known, class_name(c)).alias("lith_class"), F.when(known, F.round(1 - F.col("entropy"), 2)).when(solid, F.lit(0.0)).alias("certainty"),
+        F.when(solid, F.col("entropy")).alias("entropy"), F.coalesce(F.col("constrained"), F.lit(False)).alias("constrained"), "surface",
+        F.when(solid, grid.x0 + (F.col("i") + 0.5) * grid.cell_xy).alias("voxel_easting"), F.when(solid, grid.y0 + (F.col("j") + 0.5) * grid.cell_xy).alias("voxel_northing"),
+        F.when(solid, grid.z0 + F.col("k") * grid.cell_z).alias("z_base"), F.when(solid, grid.z0 + (F.col("k") + 1) * grid.cell_z).alias("z_top"),
+    )
 
 
 def visible(voxels: DataFrame, grid: Grid, peel: float, max_entropy: float) -> DataFrame:
@@ -109,16 +115,62 @@ def grid_bounds(samples: DataFrame, sites: DataFrame, cell_z: float) -> DataFram
     return rows.select((F.floor(F.col("lo") / cell_z) * cell_z).alias("z0"), (F.ceil(F.greatest("hi", F.coalesce("top", "hi")) / cell_z) * cell_z).alias("z1"), "mean_gl")
 
 
+def layers(voxels: DataFrame) -> DataFrame:
+    """k, class_idx and entropy (arrays in order of idx, rounded as the viewer has them) and the counts of each layer."""
+    one = F.struct("idx", "class_idx", F.round("entropy", 2).alias("e"))
+    rows = voxels.groupBy("k").agg(F.array_sort(F.collect_list(one)).alias("v"), F.count_if("constrained").alias("constrained"), F.count_if(F.col("class_idx") != AIR).alias("below"))
+    return rows.select("k", F.col("v.class_idx").alias("class_idx"), F.col("v.e").alias("entropy"), "constrained", "below")
+
+
 def export_json(voxels: DataFrame, grid: Grid, path: str, name: str = "model", frame: str = "elevation", params: dict | None = None) -> None:
-    """The compact JSON form for a viewer, written by the driver: a file holds one grid, whose size the grid fixes."""
-    rows = voxels.select("idx", "class_idx", F.round("entropy", 2).alias("e"), F.round("surface", 1).alias("s"), "constrained").orderBy("idx").collect()
-    body = {
-        "synthetic": False, "name": name, "frame": frame, "origin_bng": [grid.x0, grid.y0], "cell_xy": grid.cell_xy, "cell_z": grid.cell_z,
-        "nx": grid.nx, "ny": grid.ny, "nz": grid.nz, "z0": grid.z0, "classes": list(EVIDENCE), "class_idx": [r.class_idx for r in rows], "entropy": [r.e for r in rows],
-        "surface": [r.s for r in rows[: grid.nx * grid.ny]], "constrained_voxels": sum(r.constrained for r in rows), "below_ground_voxels": sum(r.class_idx != AIR for r in rows), "params": params or {},
+    """The compact JSON form for a viewer, one file. Layers are put together on executors and pass through the driver one
+    by one."""
+    ordered = layers(voxels).orderBy("k")
+    counts = ordered.agg(F.sum("constrained"), F.sum("below")).first()
+    surface = [r.s for r in voxels.where("k = 0").orderBy("idx").select(F.round("surface", 1).alias("s")).toLocalIterator()]
+    head = {
+        "synthetic": False, "name": name, "frame": frame, "origin_bng": [grid.x0, grid.y0], "cell_xy": grid.cell_xy, "cell_z": grid.cell_z, "nx": grid.nx, "ny": grid.ny, "nz": grid.nz, "z0": grid.z0,
+        "classes": list(EVIDENCE), "constrained_voxels": counts[0] or 0, "below_ground_voxels": counts[1] or 0, "params": params or {}, "surface": surface,
     }
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(body, f, separators=(",", ":"))
+        f.write(json.dumps(head, separators=(",", ":"))[:-1])
+        for field in ("class_idx", "entropy"):
+            f.write(f',"{field}":[')
+            for at, r in enumerate(ordered.select("k", F.to_json(field).alias("j")).toLocalIterator()):
+                f.write("," * (at > 0) + r.j[1:-1])
+            f.write("]")
+        f.write("}")
+
+
+def preview(spark: SparkSession, grid: Grid, seed: int = 1) -> DataFrame:
+    """A made-up grid in the form of bake, for trying a viewer: layers that dip and wave under a rolling surface, and less
+    certain with distance from a few made-up sites."""
+    def dice(*salt: object) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), *(s if isinstance(s, Column) else F.lit(s) for s in salt)), F.lit(1000)) / 1000.0
+
+    order = [EVIDENCE.index(c) for c in ("TOPSOIL", "CLAY", "SAND", "MARL", "LIMESTONE", "MUDSTONE")]
+    u, v = F.col("i") / F.lit(float(grid.nx)), F.col("j") / F.lit(float(grid.ny))
+    height = grid.z1 - grid.z0
+    columns = grid.columns(spark).select("qid", "i", "j", (grid.z0 + height * (0.75 + 0.12 * F.sin(3 * u + 2 * dice("a")) * F.cos(2 * v))).alias("surface"), (1.5 * F.sin(5 * u) + 4 * v).alias("dip"))
+    rows = columns.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(grid.nz - 1))))
+    top = grid.z0 + (F.col("k") + 1) * grid.cell_z
+    place = F.least(F.greatest(F.floor((F.col("surface") - top + F.col("dip")) / F.lit(height / len(order) / 1.5)), F.lit(0)), F.lit(len(order) - 1)).cast("int")
+    far = F.least(*(F.hypot(u - dice("x", n), v - dice("y", n)) for n in range(6)))
+    below, known = top <= F.col("surface") + SKIN, far < 0.35
+    return rows.select(
+        "i", "j", "k", (F.col("qid") + F.lit(grid.nx * grid.ny).cast("long") * F.col("k")).alias("idx"), "surface",
+        F.when(~below, AIR).when(~known, UNCONSTRAINED).otherwise(F.element_at(F.lit(order).cast("array<int>"), place + 1)).alias("class_idx"),
+        F.when(below & known, F.round(F.least(far * 2 + 0.1 * dice("e", F.col("qid"), F.col("k")), F.lit(0.99)), 4)).otherwise(1.0).alias("entropy"), (below & known).alias("constrained"),
+    )
+
+
+def decode(stacked: DataFrame, grid: Grid) -> DataFrame:
+    """idx, i, j, k, class_idx, entropy of layers; a layer whose arrays don't have the grid's size is an error."""
+    n = grid.nx * grid.ny
+    bad = F.raise_error(F.lit("array lengths differ from the grid")).cast("array<int>")
+    rows = stacked.withColumn("class_idx", F.when((F.size("class_idx") == n) & (F.size("entropy") == n), F.col("class_idx")).otherwise(bad))
+    at = rows.select("k", F.posexplode(F.arrays_zip("class_idx", "entropy")).alias("at", "v"))
+    return at.select((F.col("at") + F.lit(n).cast("long") * F.col("k")).alias("idx"), (F.col("at") % grid.nx).alias("i"), F.floor(F.col("at") / grid.nx).cast("int").alias("j"), "k", "v.class_idx", "v.entropy")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

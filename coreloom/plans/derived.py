@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.vocab import CLASSES, EVIDENCE
+from ..operators.lineage import cut
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _NAMES = "CASE cls " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLASSES)) + " END"
@@ -77,9 +78,18 @@ VIEWS: dict[str, str] = {
     "gap_sites": "SELECT bgs_id, easting, northing, CASE WHEN bgs_id % 7 = 0 THEN NULL ELSE ground_level_m END AS ground_level_m FROM {world_sites}",
     "world": """
         SELECT g.bgs_id, g.seq, k, s.easting AS x, s.northing AS y, s.ground_level_m - (g.top_cm / 100.0D + 0.25D + 0.5D * k) AS z, g.top_cm
-        FROM {gold} g JOIN {world_sites} s ON g.bgs_id = s.bgs_id, {steps} t
+        FROM {gold} g JOIN {world_sites} s ON g.bgs_id = s.bgs_id LATERAL VIEW explode(sequence(0L, CAST(floor((g.base_cm - g.top_cm) / 50) AS BIGINT))) t AS k
         WHERE g.top_cm / 100.0D + 0.25D + 0.5D * k < g.base_cm / 100.0D""",
-    "steps": "SELECT CAST(n_nationkey AS BIGINT) AS k FROM {nation}",
+    # the same world as stored logs: an interval has the class of its middle, or none that is evidence; some logs state
+    # no place and some no ground level
+    "world_meta": """
+        SELECT bgs_id, 'gold:ags' AS source, CASE WHEN bgs_id % 4 = 0 THEN NULL ELSE easting END AS easting, CASE WHEN bgs_id % 4 = 0 THEN NULL ELSE northing END AS northing,
+               CASE WHEN bgs_id % 7 = 0 THEN NULL ELSE ground_level_m END AS ground_level_m
+        FROM {world_sites} WHERE bgs_id % 6 <> 1""",
+    "world_logs": """
+        SELECT g.bgs_id, 'gold:ags' AS source, CAST(g.seq - 1 AS BIGINT) AS seq, g.top_cm / 100.0D AS top_m, g.base_cm / 100.0D AS base_m,
+               CASE WHEN g.cls >= 15 THEN 'UNKNOWN' WHEN s.ground_level_m - (g.top_cm + g.base_cm) / 200.0D > 85.0D THEN 'LIMESTONE' WHEN s.ground_level_m - (g.top_cm + g.base_cm) / 200.0D > 80.0D THEN 'MARL' ELSE 'MUDSTONE' END AS lith_class
+        FROM {gold} g JOIN {world_sites} s ON g.bgs_id = s.bgs_id""",
     "samples": f"""
         SELECT bgs_id * 1000000 + seq * 100 + k AS qid, bgs_id, seq * 100 + k AS ord, x, y, z, CASE WHEN z > 85.0D THEN {EVIDENCE.index('LIMESTONE')} WHEN z > 80.0D THEN {EVIDENCE.index('MARL')} ELSE {EVIDENCE.index('MUDSTONE')} END AS cls
         FROM {{world}}""",
@@ -101,7 +111,8 @@ def duck(sql: str) -> str:
     for x in re.findall(r"\{(\w+)\}", sql):
         if x in VIEWS:
             used += [y for y in (*needs(x), x) if y not in used]
-    plain = lambda s: re.sub(r"\b(\d+(?:\.\d+)?)D\b", r"\1::DOUBLE", re.sub(r"\{(\w+)\}", r"\1", s))
+    each = lambda s: re.sub(r"LATERAL VIEW explode\(sequence\(0L, (.+)\)\) (\w+) AS (\w+)", r", LATERAL (SELECT unnest(range(0, 1 + \1)) AS \3) \2", s)
+    plain = lambda s: re.sub(r"\b(\d+(?:\.\d+)?)D\b", r"\1::DOUBLE", re.sub(r"\{(\w+)\}", r"\1", each(s)))
     views = ",\n".join(f"{x} AS ({plain(VIEWS[x])})" for x in used)
     body = plain(sql).strip()
     if not views:
@@ -127,6 +138,11 @@ class Frames:
                 self._known[name] = self.spark.sql(VIEWS[name], **{x: getattr(self, x) for x in used})
         return self._known[name]
 
+    @cached_property
+    def samples_once(self) -> DataFrame:
+        """The view samples, written once for the joins that read it twice."""
+        return cut(self.samples)
+
     @cached_property
     def area(self) -> tuple[float, float, float, float]:
         return (383000.0, 203000.0, 386000.0, 206500.0)

@@ -112,7 +112,7 @@ def zip_pairs(f: Frames) -> DataFrame:
 @query(f"""
     SELECT g.bgs_id, g.seq - 1 AS seq, k, round(s.easting, 6) AS x, round(s.northing, 6) AS y, CAST(g.cls AS INT) AS cls,
            round(coalesce(s.ground_level_m - (g.top_cm + 25 + 50 * k) / 100.0D, -(g.top_cm + 25 + 50 * k) / 100.0D), 6) AS z
-    FROM {{gold}} g JOIN {{sites}} s ON g.bgs_id = s.bgs_id, {{steps}} t
+    FROM {{gold}} g JOIN {{sites}} s ON g.bgs_id = s.bgs_id LATERAL VIEW explode(sequence(0L, CAST(floor((g.base_cm - g.top_cm) / 50) AS BIGINT))) t AS k
     WHERE g.top_cm + 25 + 50 * k < g.base_cm AND g.cls < {len(EVIDENCE)} AND g.bgs_id % 6 <> 1""")
 def discretise(f: Frames) -> DataFrame:
     found = intervals.discretise(gold(f), f.sites)
@@ -200,7 +200,8 @@ def whole(f: Frames, name: str) -> DataFrame:
 
 @query(_EVAL + "SELECT bgs_id, gold_boundaries AS n, boundary_hits AS hits FROM gh")
 def boundary_match(f: Frames) -> DataFrame:
-    return evaluate.boundary_hits(evaluate.depth_marks(whole(f, "gold")), evaluate.depth_marks(whole(f, "pred")), TOLERANCE + 1e-9)
+    found = evaluate.boundary_counts(whole(f, "gold"), whole(f, "pred"), TOLERANCE + 1e-9)
+    return found.select("bgs_id", F.col("gold_boundaries").alias("n"), F.col("boundary_hits").alias("hits"))
 
 
 _NAME = "CASE {0} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLASSES)) + f" ELSE '{MISSING}' END"

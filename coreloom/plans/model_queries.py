@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import to_grid, to_wgs84
-from ..functions.vocab import CLASSES
-from ..operators import spatial, voxels
-from .derived import Frames
+from ..functions.vocab import CLASSES, EVIDENCE
+from ..operators import flow, spatial, voxels
+from ..operators.lineage import cut
+from .derived import VIEWS, Frames
 from .registry import query
 
 LH, LV = 600.0, 2.5
@@ -74,13 +75,13 @@ _LOO = _vote_sql("SELECT * FROM {samples}", LH, LV, "AND q.bgs_id <> s.bgs_id")
 
 
 def _loo_votes(f: Frames) -> DataFrame:
-    s = f.samples.persist()
+    s = f.samples_once
     return spatial.vote(spatial.weigh(s, s, [(LH, LV)], exclude_own=True))
 
 
 @query(f"SELECT qid, CAST(cls AS INT) AS cls, round(w, 6) AS w FROM ({_weigh_sql('SELECT * FROM {samples}', 300.0, LV)}) k")
 def kernel_vote(f: Frames) -> DataFrame:
-    s = f.samples.persist()
+    s = f.samples_once
     return rounded(spatial.weigh(s, s, [(300.0, LV)]).select("qid", "cls", "w"), "w")
 
 
@@ -105,7 +106,7 @@ _BASE = """
 
 @query(f"SELECT qid, CAST(cls AS INT) AS cls FROM ({_BASE}) b")
 def nn_baseline(f: Frames) -> DataFrame:
-    return spatial.baseline(f.samples.persist())
+    return spatial.baseline(f.samples_once)
 
 
 _LOO_ROW = f"""
@@ -119,7 +120,7 @@ _LOO_OUT = "n_sites, n_points, " + ", ".join(f"round({'100 * (accuracy - baselin
 
 
 def _loo_row(f: Frames) -> DataFrame:
-    return spatial.leave_one_out(f.samples.persist(), [(LH, LV)])
+    return spatial.leave_one_out(f.samples_once, [(LH, LV)])
 
 
 @query(_LOO_ROW + f"SELECT {_LOO_OUT} FROM t")
@@ -135,14 +136,14 @@ def model_gates(f: Frames) -> DataFrame:
 
 @query()
 def tune(f: Frames) -> DataFrame:
-    return spatial.tune(f.samples.persist())
+    return spatial.tune(f.samples_once)
 
 
 # --- voxels
 
 _CENTRES = f"SELECT CAST(qid + {GRID.nx * GRID.ny} * k AS BIGINT) AS qid, i, j, k, easting AS x, northing AS y, surface, {GRID.z0} + (k + 0.5) * {GRID.cell_z} AS z, {GRID.z0} + (k + 1) * {GRID.cell_z} <= surface + 1e-9 AS below FROM ({_surface_sql('{world_sites}')}) s, range({GRID.nz}) r(k)"
 _VOXELS = f"""
-    SELECT CAST(c.i AS INT) AS i, CAST(c.j AS INT) AS j, CAST(c.k AS INT) AS k, c.qid AS idx, CASE WHEN NOT below THEN 255 WHEN v.cls IS NULL THEN 254 ELSE v.cls END AS class_idx, coalesce(v.entropy, 1.0) AS entropy, v.cls IS NOT NULL AS constrained
+    SELECT CAST(c.i AS INT) AS i, CAST(c.j AS INT) AS j, CAST(c.k AS INT) AS k, c.qid AS idx, c.surface, CASE WHEN NOT below THEN 255 WHEN v.cls IS NULL THEN 254 ELSE v.cls END AS class_idx, coalesce(v.entropy, 1.0) AS entropy, v.cls IS NOT NULL AS constrained
     FROM ({_CENTRES}) c LEFT JOIN (SELECT * FROM ({_vote_sql(f'SELECT * FROM ({_CENTRES}) e WHERE below', LH, LV)}) w WHERE evidence >= 0.05) v ON c.qid = v.qid"""
 
 
@@ -166,15 +167,49 @@ def class_histogram(f: Frames) -> DataFrame:
 
 
 _POINTS = "SELECT bgs_id AS pid, easting - 500.0D AS x, northing AS y, 50.0D + (bgs_id % 60) AS z FROM {sites}"
+_AT = ("surface", "entropy", "voxel_easting", "voxel_northing", "z_base", "z_top")
 
 
 @query(f"""
     SELECT p.pid, CASE WHEN v.class_idx IS NULL THEN 'outside' WHEN v.class_idx = 255 THEN 'air' WHEN v.class_idx = 254 THEN 'unconstrained' ELSE 'class' END AS status,
            CASE CASE WHEN v.class_idx < 254 THEN v.class_idx END {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLASSES))} END AS lith_class,
-           CASE WHEN v.class_idx < 254 THEN round(v.entropy, 6) END AS entropy, coalesce(v.constrained, false) AS constrained
+           CASE WHEN v.class_idx < 254 THEN round(1 - round(v.entropy, 6), 2) WHEN v.class_idx = 254 THEN 0.0 END::DOUBLE AS certainty,
+           CASE WHEN v.class_idx < 255 THEN round(v.entropy, 6) END AS entropy, coalesce(v.constrained, false) AS constrained, round(v.surface, 6) AS surface,
+           CASE WHEN v.class_idx < 255 THEN round({GRID.x0} + (v.i + 0.5) * {GRID.cell_xy}, 6)::DOUBLE END AS voxel_easting, CASE WHEN v.class_idx < 255 THEN round({GRID.y0} + (v.j + 0.5) * {GRID.cell_xy}, 6)::DOUBLE END AS voxel_northing,
+           CASE WHEN v.class_idx < 255 THEN round({GRID.z0} + v.k * {GRID.cell_z}, 6)::DOUBLE END AS z_base, CASE WHEN v.class_idx < 255 THEN round({GRID.z0} + (v.k + 1) * {GRID.cell_z}, 6)::DOUBLE END AS z_top
     FROM ({_POINTS}) p LEFT JOIN ({_VOXELS}) v ON floor((p.x - {GRID.x0}) / {GRID.cell_xy}) = v.i AND floor((p.y - {GRID.y0}) / {GRID.cell_xy}) = v.j AND floor((p.z - {GRID.z0}) / {GRID.cell_z}) = v.k""")
 def subsurface_at(f: Frames) -> DataFrame:
-    return rounded(voxels.lookup(_baked(f), GRID, f.spark.sql(_POINTS, sites=f.sites)), "entropy")
+    baked = rounded(_baked(f), "entropy")
+    return rounded(voxels.lookup(baked, GRID, f.spark.sql(_POINTS, sites=f.sites)), *_AT)
+
+
+@query(f"""WITH v AS ({_VOXELS}) SELECT idx, i, j, k, CAST(class_idx AS INT) AS class_idx, round(entropy, 2) AS entropy FROM v""")
+def model_decode(f: Frames) -> DataFrame:
+    """The voxels after a round trip through layers of arrays, as the viewer's file has them."""
+    return voxels.decode(voxels.layers(rounded(_baked(f), "entropy")), GRID).withColumn("entropy", F.round("entropy", 2))
+
+
+# --- from stored logs to gates
+
+AREA = (383_300.0, 0.0, 414_000.0, 1e12)
+_AREA_SITES = f"SELECT * FROM (SELECT m.bgs_id, coalesce(m.easting, b.easting) AS easting, coalesce(m.northing, b.northing) AS northing, m.ground_level_m FROM {{world_meta}} m LEFT JOIN {{world_sites}} b ON m.bgs_id = b.bgs_id) q WHERE easting BETWEEN {AREA[0]} AND {AREA[2]} AND northing BETWEEN {AREA[1]} AND {AREA[3]}"
+#: In SQL alone; Spark takes the operators' way.
+VIEWS["area_sites"] = _AREA_SITES
+VIEWS["area_filled"] = f"SELECT s.bgs_id, s.easting, s.northing, coalesce(s.ground_level_m, e.m) AS ground_level_m, s.ground_level_m IS NOT NULL AS stated FROM {{area_sites}} s LEFT JOIN (SELECT * FROM ({_mean_sql('SELECT bgs_id AS qid, easting, northing FROM {area_sites} WHERE ground_level_m IS NULL', 'SELECT * FROM {area_sites} WHERE ground_level_m IS NOT NULL', LH)}) x WHERE w >= 0.05) e ON s.bgs_id = e.qid WHERE coalesce(s.ground_level_m, e.m) IS NOT NULL"
+VIEWS["area_samples"] = f"""
+    SELECT g.bgs_id * 1000000 + g.seq * 100 + k AS qid, g.bgs_id, g.seq * 1000000 + k AS ord, s.easting AS x, s.northing AS y, s.ground_level_m - (g.top_m + 0.25D + 0.5D * k) AS z,
+           CASE g.lith_class WHEN 'LIMESTONE' THEN {EVIDENCE.index('LIMESTONE')} WHEN 'MARL' THEN {EVIDENCE.index('MARL')} ELSE {EVIDENCE.index('MUDSTONE')} END AS cls
+    FROM {{world_logs}} g JOIN {{area_filled}} s ON g.bgs_id = s.bgs_id LATERAL VIEW explode(sequence(0L, CAST(floor((g.base_m - g.top_m) * 2) AS BIGINT))) t AS k
+    WHERE g.top_m + 0.25D + 0.5D * k < g.base_m AND g.lith_class <> 'UNKNOWN'"""
+
+
+@query(_LOO_ROW.replace("{samples}", "{area_samples}") + f"""SELECT {LH}::DOUBLE AS lh, {LV}::DOUBLE AS lv, {_LOO_OUT}, coalesce(100 * (accuracy - baseline_accuracy) >= 5, false) AS gain_ok, coalesce(calibration >= 0.75, false) AS calibration_ok, n_sites >= 30 AS enough_sites,
+    coalesce(100 * (accuracy - baseline_accuracy) >= 5, false) AND coalesce(calibration >= 0.75, false) AND n_sites >= 30 AS gates_passed, 'elevation' AS frame,
+    (SELECT CAST(count(*) FILTER (stated) AS BIGINT) FROM {{area_filled}}) AS n_stated, (SELECT CAST(count(*) FILTER (NOT stated) AS BIGINT) FROM {{area_filled}}) AS n_estimated FROM t""")
+def model_flow(f: Frames) -> DataFrame:
+    s = flow.Settings(length_h=LH, length_v=LV)
+    sites = cut(flow.model_sites(f.world_meta, f.world_sites, "gold:ags", AREA, LH))
+    return rounded(flow.fitted_row(f.world_logs, sites, s), *_LOO_COLS)
 
 
 @query("SELECT bgs_id, round(max(z) - min(z) + 0.5, 6) AS extent_m FROM {samples} GROUP BY bgs_id")

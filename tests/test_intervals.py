@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,9 +86,30 @@ def test_empty_and_null_confidence(spark):
     assert same.collapsed
 
 
-def test_report(spark):
+def test_report(spark, tmp_path):
     gold = [(1, "g", 0.0, 1.0, "CLAY", None)]
     sites, _ = evaluated(spark, gold, gold)
     g = logs(spark, gold)
-    text, body = evaluate.report(evaluate.evaluate(g, g), evaluate.confidence_bands(g), sites, "test")
+    text, body = evaluate.report(evaluate.evaluate(g, g), evaluate.confidence_bands(g), "test")
     assert "100.0%" in text and '"n_gold": 1' in body
+    evaluate.site_report(sites, str(tmp_path / "sites"))
+    assert [(r.bgs_id, r.boundary_recall) for r in spark.read.json(str(tmp_path / "sites")).collect()] == [(1, 1.0)]
+
+
+def test_a_log_that_overlaps_itself_counts_each_depth_once(spark):
+    gold = [(1, "g", 0.0, 2.0, "CLAY", None)]
+    pred = [(1, "p", 0.0, 1.5, "CLAY", None), (1, "p", 1.0, 2.0, "SAND", None), (1, "p", 0.5, 1.2, "PEAT", None)]
+    _, confusion = evaluated(spark, gold, pred)
+    assert {r.pred_class: r.n for r in confusion.collect()} == {"CLAY": 15, "SAND": 5}
+
+
+def test_boundary_counts_against_brute_force(spark):
+    rng = random.Random(3)
+    side = lambda name: [(i, name, *sorted((round(rng.random() * 9, 2), round(rng.random() * 9, 2))), "CLAY", None) for i in range(30) for _ in range(rng.randint(0, 12))]
+    gold, pred = side("g"), side("p")
+    marks = lambda rows, i: {x for r in rows if r[0] == i for x in r[2:4]}
+    near = lambda a, b: sum(any(abs(x - y) <= 0.05 + 1e-9 for y in b) for x in a)
+    pairs = {i: (marks(gold, i), marks(pred, i)) for i in range(30)}
+    want = {i: (len(g), near(g, p), len(p), near(p, g)) for i, (g, p) in pairs.items() if g}
+    got = evaluate.boundary_counts(logs(spark, gold), logs(spark, pred), 0.05 + 1e-9).collect()
+    assert {r.bgs_id: (r.gold_boundaries, r.boundary_hits, r.pred_boundaries, r.pred_hits) for r in got} == want

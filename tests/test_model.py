@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coreloom.functions.geo import envelope, in_bbox, to_grid, to_wgs84
 from coreloom.functions.vocab import AIR, EVIDENCE, UNCONSTRAINED
-from coreloom.operators import corpus, spatial, voxels
+from coreloom.operators import corpus, flow, spatial, voxels
 
 LIME, MARL, MUD = (EVIDENCE.index(c) for c in ("LIMESTONE", "MARL", "MUDSTONE"))
 
@@ -160,3 +160,38 @@ def test_swap_in(spark, tmp_path, monkeypatch):
     (tmp_path / "t").rename(tmp_path / "t_old")  # as a driver lost between the moves leaves it
     corpus.swap_in(spark.range(2), path)
     assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t_old").exists()
+
+
+def test_model_flow_from_stored_logs(spark, world):
+    """The flat world as logs and meta rows: validated, gated, baked, and a run row; once more in the depth frame."""
+    logs, meta = [], []
+    for i, x, y, gl in (tuple(r) for r in world[0].collect()):
+        depth = 15 + (i * 7) % 25
+        tops = [0.0, gl - 85, gl - 80]
+        for seq, (a, z, c) in enumerate(zip(tops, [*tops[1:], depth], ("LIMESTONE", "MARL", "MUDSTONE"))):
+            if z > max(a, 0):
+                logs.append((i, "gold:ags", seq, max(a, 0.0), float(z), c))
+        meta.append((i, "gold:ags", x, y, None if i == 3 else gl))
+    logs = spark.createDataFrame(logs, "bgs_id long, source string, seq long, top_m double, base_m double, lith_class string")
+    meta = spark.createDataFrame([*meta, (99, "gold:ags", 0.0, 0.0, 1.0)], "bgs_id long, source string, easting double, northing double, ground_level_m double")
+    none = spark.createDataFrame([], "bgs_id long, easting double, northing double")
+    box, s = (382500.0, 202500.0, 387500.0, 207500.0), flow.Settings(length_h=600.0, cell_xy=500.0, cell_z=5.0)
+    got = flow.fit(logs, meta, none, "gold:ags", box, s)
+    row = got.metrics.first()
+    assert row.accuracy > 0.9 and row.gain_pp > 5 and row.calibration > 0.9 and row.gates_passed and row.frame == "elevation"
+    assert (row.n_sites, row.n_stated, row.n_estimated) == (40, 39, 1)
+    assert (got.grid.nx, got.grid.ny) == (10, 10) and got.baked.count() == 100 * got.grid.nz
+    run = got.run_rows("gold:ags", "m.json").first()
+    assert run.source == "gold:ags" and run.model_path == "m.json" and run.accuracy == row.accuracy
+    deep = flow.fit(logs, meta.withColumn("ground_level_m", F.lit(None).cast("double")), none, "gold:ags", box, s, force=True)
+    assert deep.metrics.first().frame == "depth" and deep.grid.z1 == 0.0 and deep.baked.agg({"surface": "max"}).first()[0] == 0.0
+    with pytest.raises(ValueError, match="no logs of gold:x"):
+        flow.fit(logs, meta, none, "gold:x", box, s)
+
+
+def test_preview(spark):
+    grid = voxels.Grid(0.0, 0.0, 1000.0, 800.0, 100.0, 5.0, 0.0, 100.0)
+    rows = voxels.preview(spark, grid, seed=3).collect()
+    assert len(rows) == grid.nx * grid.ny * grid.nz == len({r.idx for r in rows}) and len({r.class_idx for r in rows}) > 3
+    assert all(r.constrained == (r.class_idx not in (AIR, UNCONSTRAINED)) and (r.constrained or r.entropy == 1.0) for r in rows)
+    assert sorted(rows) == sorted(voxels.preview(spark, grid, seed=3).collect())
