@@ -321,6 +321,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     order = Window.partitionBy("query").orderBy(F.desc("score"), "row")
     near = met.groupBy("query", "row").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * k + 2)
     pairs = scratch.put("pairs", near.select("query", "row"))
+    scratch.drop("curves", "visits", "large")
     enough = pairs.groupBy("query").count().where(F.col("count") >= min(k, n - 1))
     short = scratch.put("short", shown.where("is_query").join(enough, shown.row == enough["query"], "left_anti").select("row", "id", "vec"))
     last = -1

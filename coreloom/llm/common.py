@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_dir
+
 #: White space of all word rules: space and U+0009 to U+000D, as a pattern and as characters.
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: str | None = None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    global _own_dir
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="spark-coreloom-", dir="/tmp")
-    return _own_dir
-
-
 class Scratch:
     """Tables written to the shared folder. Writing one cuts the lineage: an executor that is lost
     later costs only the work done since."""
@@ -44,7 +32,12 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing will read any more."""
+        for name in names:
+            self._drop(name)
+
+    def _drop(self, name: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -32,8 +32,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(roots, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(roots.select("a", "m")).distinct()
         after = scratch.put(f"links-{k}", small)
         was, mark, now = mark, _mark(after), after
-        for name in (f"links-{k - 1}", f"least-{k}", f"large-{k}", f"roots-{k}"):
-            scratch.drop(name)
+        scratch.drop(f"links-{k - 1}", f"least-{k}", f"large-{k}", f"roots-{k}")
         if was == mark:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

@@ -297,6 +297,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, split: int = 7, held: i
     counts = scratch.put("counts", count_words(docs, ~held_out))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     scored = scratch.put("scored", word_scores(counts, train(counts, load_vocabulary(vocabulary))))
+    scratch.drop("counts")
     common = common_words(scored)
     sent = sc.broadcast(common)
 

@@ -55,6 +55,7 @@ def dropped(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     streamed = dealt.withColumn("first", F.first("doc").over(order))
     if hot:
         streamed = scratch.put("streamed", streamed)
+        scratch.drop("rows")
         firsts = streamed.where("salt >= 0").groupBy("h1", "h2").agg(F.min("first").alias("least"))  # a row for each hot line
         common = streamed.where("salt >= 0").join(F.broadcast(firsts), ["h1", "h2"]).withColumn("first", F.col("least")).drop("least")
         streamed = streamed.where("salt < 0").unionByName(common)

@@ -72,6 +72,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, sizes: DataFrame |
     cut = upto.where((F.col("words") > 0) & (F.col("sum") - F.col("words") / 2 <= F.col("rest")) & (F.col("rest") > 0)).groupBy("source").agg(F.max("bin").alias("cut"))
     c = cut.alias("c")
     plan = scratch.put("plan", goal.alias("g").join(c, F.col("g.source").eqNullSafe(F.col("c.source")), "left").select(F.col("g.source").alias("_source"), "source_size", "target", F.col("whole").alias("_whole"), F.coalesce("cut", F.lit(-1)).alias("_cut")))
+    scratch.drop("bins", "goal", "weights", "sources")
     kept = docs.drop("source_size", "target", "repeats")
     joined = kept.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
     once_more = (dice(F.col("doc_id"), seed) <= F.col("_cut")).cast("int")

@@ -379,10 +379,12 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cols: tu
     rest = [F.min(c).alias(c) for c in ("text_hash", "size", "wide", *(f"fp{k}" for k in range(WORDS)))]
     nodes = scratch.put("nodes", fps.groupBy("set").agg(F.min("doc_id").alias("first"), *rest))
     live, radius, most = nodes.where("size > 0"), radius_of(similarity, BITS, 0.5), radius_of(similarity, WORDS * BITS, 4)
-    met = [Scratch(spark, "similar").put("met", links(live.select(F.col(f"fp{k}").alias("fp"), "wide"), radius, Scratch(spark, "similar"), most)) for k in range(WORDS)]
+    met = [scratch.put(f"met-{k}", links(live.select(F.col(f"fp{k}").alias("fp"), "wide"), radius, Scratch(spark, "similar"), most)) for k in range(WORDS)]
     near = components(reduce(DataFrame.union, met), Scratch(spark, "similar"))
     groups = near.join(nodes, near.node == nodes.set).select("root", "set", "text_hash")
+    scratch.drop(*(f"met-{k}" for k in range(WORDS)))
     same = components(compared(docs, groups, shingle, similarity, scratch), Scratch(spark, "similar"))
+    scratch.drop("groups", "sets")
     named = scratch.put("named", nodes.join(same, nodes.set == same.node, "left").select("set", "first", F.coalesce("root", "set").alias("root")))
     least = scratch.put("least", named.groupBy("root").agg(F.min("first").alias("component_id")))
     return fps.join(named.join(least, "root").select("set", "root", "component_id"), "set").select(*cols, "root", "component_id")
