@@ -234,12 +234,14 @@ def coverage_km2(sites: DataFrame, profiles: DataFrame, min_depth: float = 5.0)
 
 
 def verify_scans(scans: DataFrame, boreholes: DataFrame) -> DataFrame:
-    """scans (bgs_id, stamp_id, stamp_reference, stamp_easting, stamp_northing, and row ids) with `outcome`: unstamped,
-    other_id, other_reference, other_place or verified; the first check that fails decides."""
+    """scans (bgs_id, stamp_id, stamp_reference, stamp_easting, stamp_northing, and row ids) with `outcome`: missing (where
+    scans has the column `found` and it isn't true: no such file), unstamped, other_id, other_reference, other_place or
+    verified; the first check that fails decides."""
+    gone = ~F.coalesce(F.col("found"), F.lit(False)) if "found" in scans.columns else F.lit(False)
     b = boreholes.select("bgs_id", F.col("reference").alias("_ref"), F.col("easting").alias("_e"), F.col("northing").alias("_n"))
     far = F.hypot(F.col("stamp_easting") - F.col("_e"), F.col("stamp_northing") - F.col("_n")) > 1.0
     outcome = (
-        F.when(F.col("stamp_id").isNull(), "unstamped").when(F.col("stamp_id") != F.col("bgs_id"), "other_id")
+        F.when(gone, "missing").when(F.col("stamp_id").isNull(), "unstamped").when(F.col("stamp_id") != F.col("bgs_id"), "other_id")
         .when((F.col("_ref") != "") & (F.col("stamp_reference") != F.col("_ref")), "other_reference").when(far, "other_place").otherwise("verified")
     )
     return scans.join(b, "bgs_id", "left").withColumn("outcome", outcome).drop("_ref", "_e", "_n")
