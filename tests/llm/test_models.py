@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -274,6 +275,78 @@ def test_toxicity_without_labels(spark):
     assert toxicity.classify(d.limit(0), none).count() == 0
 
 
+def plain_ftrl(rows, prior):
+    """Weights by place and the bias, from (words, toxic) in order, written from the formulas with dictionaries."""
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    z, n = {"bias": -prior * b / a}, {}
+
+    def weight(i):
+        if i == "bias":
+            return -z[i] * a / (b + math.sqrt(n.get(i, 0.0)))
+        x = z.get(i, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((b + math.sqrt(n.get(i, 0.0))) / a + l2)
+
+    for places, toxic in rows:
+        w = {i: weight(i) for i in (*places, "bias")}
+        p = 1 / (1 + math.exp(-sum(w.values())))
+        g = (p - 1) * toxicity.TOXIC_WEIGHT if toxic else p
+        for i in w:
+            old = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / a * w[i]
+            n[i] = old + g * g
+    return {i: weight(i) for i in z}
+
+
+def plain_places(text):
+    """Hashed places of words, stems, and pairs of words one to three apart, of a text of lower-case words."""
+    words, h = text.split(), lambda w: xxhash.xxh64_intdigest(w.encode(), 7)
+    found = [h(w) for w in words] + [h("^" + w[: toxicity.STEM]) for w in words if len(w) > toxicity.STEM]
+    found += [((h(words[i]) + gap) * 0xC2B2AE3D27D4EB4F ^ h(words[i + gap])) for gap in toxicity.SKIPS for i in range(len(words) - gap)]
+    return sorted({(x * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - toxicity.BITS for x in found})
+
+
+def test_toxicity_weights_are_those_of_plain_ftrl(spark):
+    docs, labels = toxic_corpus(60, 9)
+    d, lab = spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = [(i, t.replace(",", "").replace(".", ""), s) for i, t, s in docs]
+    order = [r.doc_id for r in d.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect()]
+    truth, n, k = dict(labels), len(docs), sum(t for _, t in labels)
+    want = plain_ftrl([(plain_places(docs[i][1]), truth[i]) for i in order], math.log((k + 1) / (n - k + 10)))
+    at, w, bias = toxicity.train(d, lab)
+    kept = {i: v for i, v in want.items() if i != "bias" and v}
+    assert len(kept) > 3 and set(at.tolist()) == set(kept)
+    assert dict(zip(at.tolist(), w.tolist())) == pytest.approx(kept) and bias == pytest.approx(want["bias"])
+
+
+def naive_best_fit(sizes, lengths, quadratic):
+    """Bins as lists of places and their capacities, by looking through all open bins each time."""
+    cost = {c: c + quadratic * c * c / max(lengths) for c in lengths}
+    order, bins = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)), []
+    for at, k in enumerate(order):
+        size, left = sizes[k], [sizes[j] for j in order[at + 1 :]]
+        fits = [b for b in bins if b["room"] >= size]
+        if fits:
+            least = min(b["room"] for b in fits)
+            b = max((b for b in fits if b["room"] == least), key=lambda b: b["turn"])
+        else:
+            holds = lambda c: size + min(c - size, sum(x for x in left if x <= c - size))  # noqa: E731, B023
+            c = min((c for c in lengths if c >= size), key=lambda c: (cost[c] / holds(c), c))
+            bins.append(b := {"room": c, "capacity": c, "own": []})
+        b["own"].append(k)
+        b["room"] -= size
+        b["turn"] = at
+    return {(tuple(sorted(b["own"])), min(c for c in lengths if c >= b["capacity"] - b["room"])) for b in bins}
+
+
+def test_best_fit_against_a_naive_one():
+    rng = np.random.default_rng(8)
+    for n, top in ((1, 9), (60, 128), (200, 40), (300, 128)):
+        sizes = rng.integers(1, top + 1, n)
+        bins, _, capacity = packing.best_fit(sizes, (128, 16, 64))
+        got = {(tuple(np.flatnonzero(bins == b).tolist()), int(capacity[b])) for b in range(len(capacity))}
+        assert got == naive_best_fit(sizes.tolist(), (16, 64, 128), packing.QUADRATIC)
+
+
 def test_best_fit():
     rng = np.random.default_rng(2)
     sizes = np.concatenate((rng.integers(1, 60, 400), rng.integers(1, 1025, 200)))
