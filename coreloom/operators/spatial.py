@@ -36,7 +36,8 @@ def near_pairs(queries: DataFrame, points: DataFrame, widths: dict[str, float])
     left = queries
     for k, (c, w) in cells.items():
         left = left.withColumn(k, F.explode(_around(_cell(F.col(c), w))))
-    return left.join(right, list(cells)).drop(*cells)
+    # by sorting: what explode makes is many times the size that its input's files suggest, too much to broadcast
+    return left.join(right.hint("merge"), list(cells)).drop(*cells)
 
 
 def kernel_mean(queries: DataFrame, known: DataFrame, length: float, value: str) -> DataFrame:

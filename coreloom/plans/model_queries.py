@@ -183,7 +183,7 @@ def subsurface_at(f: Frames) -> DataFrame:
     return rounded(voxels.lookup(baked, GRID, f.spark.sql(_POINTS, sites=f.sites)), *_AT)
 
 
-@query(f"""WITH v AS ({_VOXELS}) SELECT idx, i, j, k, CAST(class_idx AS INT) AS class_idx, round(entropy, 2) AS entropy FROM v""")
+@query(f"""WITH v AS ({_VOXELS}) SELECT idx, i, j, k, CAST(class_idx AS INT) AS class_idx, round(round(entropy, 6), 2) AS entropy FROM v""")
 def model_decode(f: Frames) -> DataFrame:
     """The voxels after a round trip through layers of arrays, as the viewer's file has them."""
     return voxels.decode(voxels.layers(rounded(_baked(f), "entropy")), GRID).withColumn("entropy", F.round("entropy", 2))
