@@ -82,7 +82,7 @@ ORACLE_SQL: dict[str, str] = {
                      array_to_string(list_filter(l, lambda y: NOT (
                         length(regexp_replace(y, '[^!#*$%&|<>{{}}=_~^\\]+', '', 'g')) * 100 > length(y) * {quality.MARK_PERCENT}
                         OR len(regexp_extract_all(y, '[\x20\t][|>/•·»][\x20\t]')) >= {quality.SEPARATOR_COUNT}
-                        OR regexp_matches(y, '(?i){"|".join(quality.BOILERPLATE).replace("'", "''")}')
+                        OR regexp_matches(y, '(?i){quality.PHRASES.replace("'", "''")}')
                         OR len(list_filter(regexp_extract_all(y, '[^\x20\x09-\x0D]+'), lambda v, i: i > 1 AND v = regexp_extract_all(y, '[^\x20\x09-\x0D]+')[i - 1])) * 2 > len(regexp_extract_all(y, '[^\x20\x09-\x0D]+'))
                         OR (len(regexp_extract_all(y, '[^\x20\x09-\x0D]+')) BETWEEN 1 AND {quality.SHORT - 1} AND NOT regexp_matches(y, '{quality.ENDS.replace("'", "''")}')))), chr(10)) AS clean
               FROM d LEFT JOIN c USING (doc_id))
