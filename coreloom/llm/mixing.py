@@ -2,11 +2,11 @@
 
 Each source gets its weight's share of all words, but at most `max_epochs` times its own; the excess goes to the
 others by weight until no source is above. A source's documents are all repeated floor(target / size) times; the
-rest is one more repetition of a seeded sample: documents in the order of a hash of their id, up to the point that
-comes nearest to the target.
+rest is one more repetition of a seeded sample: documents in the order of a hash of their id and size, up to the point
+that comes nearest to the target.
 
 A null source is a source of its own, after all others; a null text or size counts 0 words; a null doc_id hashes as
-the empty text. Repeated rows are sampled alike. A source without words has target 0. An empty table gives no rows.
+the empty text. Rows that agree in doc_id and size are sampled alike. A source without words has target 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def dice(doc_id: Column, seed: int) -> Column:
-    """0 to BINS - 1, by doc_id and seed."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def dice(doc_id: Column, size: Column, seed: int) -> Column:
+    """0 to BINS - 1, by doc_id, size and seed."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(size, F.lit(0)).cast("string"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 4), 16, 10).cast("int")
 
 
@@ -56,7 +56,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, sizes: DataFrame |
     sizes: doc_id, source and size of docs, where a table of these is cheaper to read than docs."""
     scratch = Scratch(docs.sparkSession, "mix")
     sized = (docs if sizes is None else sizes).select("doc_id", "source", F.coalesce("size", F.lit(0)).alias("size"))
-    bins = scratch.put("bins", sized.groupBy("source", dice(F.col("doc_id"), seed).alias("bin")).agg(F.sum("size").alias("words")))
+    bins = scratch.put("bins", sized.groupBy("source", dice(F.col("doc_id"), F.col("size"), seed).alias("bin")).agg(F.sum("size").alias("words")))
     goal = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs, scratch)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     goal = scratch.put("goal", goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, sizes: DataFrame |
     scratch.drop("bins", "goal", "weights", "sources")
     kept = docs.drop("source_size", "target", "repeats")
     joined = kept.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
-    once_more = (dice(F.col("doc_id"), seed) <= F.col("_cut")).cast("int")
+    once_more = (dice(F.col("doc_id"), F.col("size"), seed) <= F.col("_cut")).cast("int")
     return joined.withColumn("repeats", F.col("_whole") + once_more).drop("_source", "_whole", "_cut")
 
 

@@ -98,7 +98,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
     "op8_mixing": rf"""
-        WITH d AS (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INT AS bin FROM documents),
+        WITH d AS (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || len({SQL_WORDS})), 1, 4))::INT AS bin FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS most, sum(source_size) OVER () AS total FROM s),
         a AS (SELECT *, most / weight AS ratio, (total - coalesce(sum(most) OVER (ORDER BY most / weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE

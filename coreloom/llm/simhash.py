@@ -39,6 +39,8 @@ BUCKET = 2048
 WIDE_BUCKET = 1 << 16
 #: What shuffling a probe key costs, in verifications of a pair side by side in memory.
 KEY_COST = 2000.0
+#: Keys that a fingerprint may probe with, in a plan. Memory of a row only: which plan is cheapest is a matter of n.
+MOST_KEYS = 1 << 16
 #: Pairs of a bucket that are verified at once.
 PAIRS = 1 << 22
 #: Shingles whose bits are counted at once.
@@ -164,7 +166,7 @@ def plan(counts: np.ndarray, n: int, radius: int) -> list[tuple[int, list[int]]]
             for b in g:
                 dist = np.convolve(dist, [1 - differ[b], differ[b]])
             keys = np.cumsum([math.comb(len(g), t) for t in range(min(len(g), radius) + 1)])
-            costs.append([0.0] + [n * n / 2 * dist[: t + 1].sum() + KEY_COST * n * (1 + keys[t] / 2) if keys[t] <= 2000 else math.inf for t in range(len(keys))])
+            costs.append([0.0] + [n * n / 2 * dist[: t + 1].sum() + KEY_COST * n * (1 + keys[t] / 2) if keys[t] <= MOST_KEYS else math.inf for t in range(len(keys))])
         table = {0: (0.0, ())}  # budget used -> cost and thresholds
         for c in costs:
             after: dict[int, tuple[float, tuple]] = {}

@@ -103,6 +103,16 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_rows_without_ids(spark):
+    """A source whose rows all lack an id, or share one, still comes near its target."""
+    rows = [(None, "w " * i, "a") for i in range(1, 400)] + [(7, "w " * i, "b") for i in range(1, 400)] + [(i, "w " * 200, "c") for i in range(1000, 1900)]
+    got = mixing.mix(mixing.sized(spark.createDataFrame(rows, DOC))).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r["repeats"] * r["size"]
+    assert all(abs(taken[r.source] - r.target) <= 800 for r in got)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((30, 16))
