@@ -16,6 +16,8 @@ PRIOR = 1.0
 MIN_EVIDENCE, MIN_GL_WEIGHT, MIN_SURFACE_WEIGHT = 0.05, 0.05, 1e-6
 BASELINE_DZ = 3.0
 CALIBRATED = 0.8
+#: Height of a layer in which a query meets samples, in vertical reaches. Speed only.
+LAYERS = 3.0
 GRID_H, GRID_V = (150.0, 300.0, 600.0), (1.5, 2.5, 5.0)
 
 
@@ -73,10 +75,19 @@ def kernel_surface(columns: DataFrame, sites: DataFrame, length: float = 300.0,
 
 def weigh(queries: DataFrame, samples: DataFrame, params: list[tuple[float, float]], exclude_own: bool = False) -> DataFrame:
     """lh, lv, qid, cls, w: per pair of lengths, the kernel weight of each class at each query (qid, x, y, z, and bgs_id
-    where samples of the query's own site are excluded). One join at the largest lengths serves all of them."""
+    where samples of the query's own site are excluded). One join at the largest lengths serves all of them.
+
+    Many queries and samples stand above each other: places are paired first, and exactly; then each query meets the
+    samples at the places near its own, in layers of the depth.
+    """
     wide_h, wide_v = RADIUS * max(h for h, _ in params), RADIUS * max(v for _, v in params)
     cols = ["qid", "x", "y", "z", *(["bgs_id"] if exclude_own else [])]
-    pairs = near_pairs(queries.select(*cols), samples.select("x", "y", "z", "cls", "bgs_id"), {"x": wide_h, "y": wide_h, "z": wide_v})
+    near = near_pairs(queries.select("x", "y").distinct(), samples.select("x", "y").distinct(), {"x": wide_h, "y": wide_h})
+    near = near.where(F.pow((F.col("x") - F.col("p_x")) / wide_h, 2) + F.pow((F.col("y") - F.col("p_y")) / wide_h, 2) <= 1 + 1e-9)
+    layer = lambda z: _cell(z, LAYERS * wide_v)
+    asked = queries.select(*cols).join(near, ["x", "y"]).withColumn("_layer", F.explode(F.sequence(layer(F.col("z") - wide_v), layer(F.col("z") + wide_v))))
+    held = samples.select(F.col("x").alias("p_x"), F.col("y").alias("p_y"), F.col("z").alias("p_z"), F.col("cls").alias("p_cls"), F.col("bgs_id").alias("p_bgs_id"), layer(F.col("z")).alias("_layer"))
+    pairs = asked.join(held.hint("merge"), ["p_x", "p_y", "_layer"])  # by sorting, as in near_pairs
     if exclude_own:
         pairs = pairs.where("bgs_id <> p_bgs_id")
     d = {c: F.col(c) - F.col(f"p_{c}") for c in "xyz"}
