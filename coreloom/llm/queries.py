@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lattice, linededup, mixing, packing, pii, quality, simhash, toxicity, warc
+from . import ann, audit, fim, lattice, linededup, mixing, packing, pii, quality, sigtree, simhash, toxicity, warc
 from .common import Scratch, table
 
 
@@ -56,7 +56,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_quality_rules": op3_quality_rules, "op4_line_dedup": op4_line_dedup, "op5_hilbert_ann": op5_hilbert_ann, "op6_subword_lattice": op6_subword_lattice, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_packing": op9_packing, "op10_pii": op10_pii}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(table(spark, sf_dir, "documents"), unit="line", rate=100, spm=50, seed=7)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "audit")
+    return audit.audit(audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch), scratch)
+
+
+def op13_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.join(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_quality_rules": op3_quality_rules, "op4_line_dedup": op4_line_dedup, "op5_hilbert_ann": op5_hilbert_ann, "op6_subword_lattice": op6_subword_lattice, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_packing": op9_packing, "op10_pii": op10_pii, "op11_fim": op11_fim, "op12_filter_audit": op12_filter_audit, "op13_signature_tree": op13_signature_tree}
 
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 BASE32_SQL = " || ".join(f"substr('{warc.BASE32}', 1 + ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {s}) & 31)::INT, 1)" for i in range(8) for s in (15, 10, 5, 0))
@@ -111,4 +126,35 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT source, max(bin) AS cut FROM u WHERE words > 0 AND rest > 0 AND upto - words / 2 <= rest GROUP BY source)
         SELECT doc_id, size, source_size, round(target, 6) AS target, size * (whole + CASE WHEN bin <= coalesce(cut, -1) THEN 1 ELSE 0 END)::BIGINT AS taken
         FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source""",
+    "op11_fim": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        e AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS y,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+                          WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        f AS (SELECT *, array_to_string(u[:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS s FROM e),
+        g AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM f)
+        SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+               sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM g""",
+    "op12_filter_audit": rf"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {SQL_WORDS} AS w FROM documents),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                     || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+                     || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' ELSE '' END AS fails
+              FROM d LEFT JOIN l USING (doc_id)),
+        g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+        x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        o AS (SELECT a.c || b.c || c.c || d.c || e.c AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+        s AS (SELECT part, o AS filter_order, k::INT AS step, substr(o, k, 1) AS letter,
+                     sum(n) FILTER (translate(fails, left(o, k), '') = fails) AS kept,
+                     sum(n) FILTER (contains(fails, substr(o, k, 1)) AND translate(fails, left(o, k - 1), '') = fails) AS removed,
+                     sum(n) FILTER (contains(fails, substr(o, k, 1)) AND translate(fails, left(o, k - 1), '') <> fails) AS redundant,
+                     sum(n) FILTER (fails = substr(o, k, 1)) AS unique_fails,
+                     sum(good) FILTER (contains(fails, substr(o, k, 1)) AND translate(fails, left(o, k - 1), '') = fails) AS good_lost,
+                     sum(toxic) FILTER (contains(fails, substr(o, k, 1)) AND translate(fails, left(o, k - 1), '') = fails) AS toxic_lost
+              FROM g, o, (SELECT unnest(range(1, 6)) AS k) GROUP BY part, o, k)
+        SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM s""",
 }
