@@ -1,7 +1,8 @@
 """Predicted logs held against gold ones: boundaries within a tolerance, classes sampled along the depth, gates.
 
 gold and pred are intervals (bgs_id, seq, top_m, base_m, lith_class, confidence) of one source each. A gold site
-without a predicted log scores as all missing.
+without a predicted log scores as all missing. Each side is grouped by site once, its log an array (no log is longer than
+its 3,000 m), and all counts of a site come from the same pass over the two arrays.
 """
 
 from __future__ import annotations
@@ -9,18 +10,20 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.vocab import MISSING
 from .lineage import cut
+from .tiles import ramps
 
 # Confidence bands, and how many intervals make a collapsed scale worth a warning.
 BANDS = ("none", "<0.5", "0.5-0.8", "0.8-0.95", ">=0.95")
 COLLAPSE_N = 10
-#: Depth slots in which intervals meet. Speed only.
-SLOT_M = 10.0
+COUNTS = ("gold_boundaries", "boundary_hits", "pred_boundaries", "pred_hits", "samples", "correct")
 
 
 @dataclass(frozen=True)
@@ -31,67 +34,122 @@ class Gates:
     min_gold_boreholes: int = 20
 
 
-def boundary_counts(gold: DataFrame, pred: DataFrame, tolerance: float) -> DataFrame:
-    """bgs_id, gold_boundaries, boundary_hits, pred_boundaries, pred_hits: of the distinct boundaries (to the millimetre)
-    of either side, those with one of the other side within the tolerance; sites with a gold boundary.
-
-    One shuffle by site; sorted there, the nearest other boundary is the last one before or the next one after. A site
-    has at most a boundary for each millimetre of its depth.
-    """
-    side = lambda df, is_gold: df.select("bgs_id", F.explode(F.array(F.round("top_m", 3), F.round("base_m", 3))).alias("depth_m"), F.lit(is_gold).alias("gold"))
-    parts = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = side(gold, True).unionByName(side(pred, False)).where("depth_m is not null").repartition(parts, "bgs_id").dropDuplicates()
-    # rows up to the current one, in either direction, so that each is a running value
-    up = Window.partitionBy("bgs_id").orderBy("depth_m", "gold").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("bgs_id").orderBy(F.desc("depth_m"), F.desc("gold")).rowsBetween(Window.unboundedPreceding, 0)
-    other = lambda w: F.when(F.col("gold"), F.last(F.when(~F.col("gold"), F.col("depth_m")), True).over(w)).otherwise(F.last(F.when(F.col("gold"), F.col("depth_m")), True).over(w))
-    near = marks.withColumns({"before": other(up)}).withColumns({"after": other(down)})
-    hit = F.coalesce((F.col("depth_m") - F.col("before") <= tolerance), F.lit(False)) | F.coalesce((F.col("after") - F.col("depth_m") <= tolerance), F.lit(False))
-    rows = near.groupBy("bgs_id").agg(
-        F.count_if("gold").alias("gold_boundaries"), F.count_if(F.col("gold") & hit).alias("boundary_hits"), F.count_if(~F.col("gold")).alias("pred_boundaries"), F.count_if(~F.col("gold") & hit).alias("pred_hits")
-    )
-    return rows.where("gold_boundaries > 0")
-
-
-def samples_above(depth: Column, step: float) -> Column:
+class _Logs:
+    """The intervals of a batch of sites, end to end, in the order of site and seq: site, top, base, cls (codes), and the
+    distinct boundaries (of_site, mark), in order."""
+
+    def __init__(self, arrays: pa.Array, names: pa.Array):
+        at = arrays.offsets.to_numpy().astype(np.int64)
+        sizes = np.where(arrays.is_valid().to_numpy(zero_copy_only=False), np.diff(at), 0)
+        rows = arrays.flatten()
+        value = lambda c: pc.fill_null(rows.field(c), np.nan).to_numpy(zero_copy_only=False).astype(float)
+        self.n, self.site = len(arrays), np.repeat(np.arange(len(arrays)), sizes)
+        self.cls = pc.index_in(rows.field("cls"), value_set=names).to_numpy(zero_copy_only=False)
+        self.top, self.base = value("top"), value("base")
+        of, mark = np.concatenate((self.site, self.site)), np.concatenate((value("top_mark"), value("base_mark")))
+        order = np.lexsort((mark, of))
+        of, mark = of[order], mark[order]
+        keep = ~np.isnan(mark) & np.concatenate(([True] * (len(of) > 0), (of[1:] != of[:-1]) | (mark[1:] != mark[:-1])))
+        self.of_site, self.mark = of[keep], mark[keep]
+
+    def clip(self) -> None:
+        """Takes from each interval what earlier ones of its log (by seq) reach below: each depth belongs to the first
+        interval that has it, as long as logs go downwards."""
+        values, rank = np.unique(self.base, return_inverse=True)  # ranks, so that no depth is rounded
+        reach = np.maximum.accumulate(self.site * (len(values) + 1) + rank) if len(rank) else rank
+        above = np.concatenate((self.base[:0], np.full(min(1, len(rank)), np.nan), values[(reach[:-1] - self.site[:-1] * (len(values) + 1))]))
+        above[np.concatenate(([True] * (len(rank) > 0), self.site[1:] != self.site[:-1]))] = np.nan
+        top = np.fmax(self.top, above)
+        keep = top < self.base
+        self.site, self.top, self.base, self.cls = self.site[keep], top[keep], self.base[keep], self.cls[keep]
+
+    def per_site(self, rows: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(rows, weights, minlength=self.n).astype(np.int64)
+
+
+def _hits(a: _Logs, b: _Logs, tolerance: float) -> np.ndarray:
+    """How many boundaries of each site's log in a have one of b within the tolerance."""
+    if not len(a.mark) or not len(b.mark):
+        return np.zeros(a.n, np.int64)
+    low = min(a.mark.min(), b.mark.min())
+    span = 2 * (max(a.mark.max(), b.mark.max()) - low) + 1
+    at = np.searchsorted(b.of_site * span + (b.mark - low), a.of_site * span + (a.mark - low))
+    hit = np.zeros(len(a.mark), bool)
+    for k in (-2, -1, 0, 1):  # a rounded key may be one off
+        j = np.clip(at + k, 0, len(b.mark) - 1)
+        hit |= (b.of_site[j] == a.of_site) & (np.abs(b.mark[j] - a.mark) <= tolerance)
+    return a.per_site(a.of_site[hit])
+
+
+def samples_above(depth: np.ndarray, step: float) -> np.ndarray:
     """How many depths k*step (to six decimals, k from 0) lie above `depth`."""
-    k = F.floor(depth / step)
-    last = [((k + d >= 0) & (F.round((k + d) * F.lit(step), 6) < depth)).cast("long") for d in (-1, 0, 1)]
-    return F.greatest(k - 1, F.lit(0)) + last[0] + last[1] + last[2]
-
-
-def clipped(intervals: DataFrame) -> DataFrame:
-    """intervals without what earlier ones of their log (by seq) reach below: each depth belongs to the first interval
-    that has it, as long as logs go downwards."""
-    above = F.max("base_m").over(Window.partitionBy("bgs_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return intervals.withColumn("top_m", F.greatest("top_m", above)).where("top_m < base_m")
+    k = np.floor(depth / step)
+    return np.maximum(k - 1, 0) + sum(((k + d >= 0) & (np.round((k + d) * step, 6) < depth)).astype(float) for d in (-1, 0, 1))
+
+
+def _confusion(g: _Logs, p: _Logs, step: float, k: int) -> np.ndarray:
+    """Rows (site, gold code, predicted code or k, samples) of the classes at the samples of gold, each once, in order."""
+    def between(top: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return np.maximum(samples_above(base, step) - samples_above(top, step), 0)
+
+    g.clip(), p.clip()
+    keys, n = [(g.site * k + g.cls) * (k + 1) + k], [between(g.top, g.base)]
+    if len(p.site) and len(g.site):
+        low = min(g.top.min(), p.top.min())
+        span = 2 * (max(g.base.max(), p.base.max()) - low) + 1
+        # those whose base is below the gold top and whose top is above the gold base: a run, a row wider for rounding
+        a = np.searchsorted(p.site * span + (p.base - low), g.site * span + (g.top - low)) - 1
+        z = np.searchsorted(p.site * span + (p.top - low), g.site * span + (g.base - low)) + 1
+        a, z = np.maximum(a, 0), np.minimum(z, len(p.site))
+        size = np.maximum(z - a, 0)
+        i, j = np.repeat(np.arange(len(g.site)), size), np.repeat(a, size) + ramps(size)
+        top, base = np.maximum(g.top[i], p.top[j]), np.minimum(g.base[i], p.base[j])
+        meet = (g.site[i] == p.site[j]) & (top < base)
+        i, j, shared = i[meet], j[meet], between(top[meet], base[meet])
+        keys += [(g.site[i] * k + g.cls[i]) * (k + 1) + p.cls[j], (g.site[i] * k + g.cls[i]) * (k + 1) + k]
+        n += [shared, -shared]
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate(n), minlength=len(found)).astype(np.int64)
+    found, total = found[total > 0], total[total > 0]
+    return np.stack((found // (k + 1) // k, found // (k + 1) % k, found % (k + 1), total))
+
+
+def compared(gold: DataFrame, pred: DataFrame, tolerance: float = 0.25, step: float = 0.1) -> DataFrame:
+    """bgs_id, COUNTS and confusion (an array of gold_class, pred_class, n) of each gold site.
+
+    Boundaries are distinct to the millimetre; a hit is one with a boundary of the other side within the tolerance.
+    Depths are sampled every `step` in gold by the classes there; gaps in gold aren't sampled, and where a log overlaps
+    itself, its first interval counts. Samples are counted, not made: a gold and a predicted interval share those between
+    the deeper top and the shallower base. Intervals without both depths have no samples.
+    """
+    @F.arrow_udf("struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ", confusion: array<struct<gold_class: string, pred_class: string, n: bigint>>>")
+    def count(gold: pa.Array, pred: pa.Array) -> pa.Array:
+        names = pc.unique(pa.concat_arrays([pc.drop_null(x.flatten().field("cls")) for x in (gold, pred)]))
+        names = pa.concat_arrays([names, pa.nulls(1, pa.string())])
+        g, p, k = _Logs(gold, names), _Logs(pred, names), len(names)
+        marks = (g.per_site(g.of_site), _hits(g, p, tolerance), p.per_site(p.of_site), _hits(p, g, tolerance))
+        site, a, b, n = _confusion(g, p, step, k)
+        cells = pa.StructArray.from_arrays([names.take(pa.array(a)), pa.concat_arrays([names, pa.array([MISSING])]).take(pa.array(b)), pa.array(n)], ["gold_class", "pred_class", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(site, np.arange(g.n + 1)), pa.int32()), cells)
+        counts = (*marks, g.per_site(site, n), g.per_site(site[a == b], n[a == b]))
+        return pa.StructArray.from_arrays([*(pa.array(c) for c in counts), lists], [*COUNTS, "confusion"])
+
+    def logs(df: DataFrame, name: str) -> DataFrame:
+        one = F.struct("seq", F.col("top_m").alias("top"), F.col("base_m").alias("base"), F.col("lith_class").alias("cls"), F.round("top_m", 3).alias("top_mark"), F.round("base_m", 3).alias("base_mark"))
+        return df.groupBy("bgs_id").agg(F.sort_array(F.collect_list(one)).alias(name))
+
+    both = logs(gold, "_gold").join(logs(pred, "_pred"), "bgs_id", "left")
+    return both.select("bgs_id", count("_gold", "_pred").alias("c")).select("bgs_id", "c.*")
 
 
-def _slots(intervals: DataFrame) -> DataFrame:
-    """A row for each depth slot that an interval reaches into."""
-    slot = lambda c: F.floor(F.col(c) / SLOT_M).cast("int")
-    return intervals.withColumn("slot", F.explode(F.sequence(slot("top_m"), slot("base_m"))))
+def boundary_counts(gold: DataFrame, pred: DataFrame, tolerance: float) -> DataFrame:
+    """bgs_id, gold_boundaries, boundary_hits, pred_boundaries, pred_hits of each site with a gold boundary."""
+    return compared(gold, pred, tolerance).where("gold_boundaries > 0").select("bgs_id", *COUNTS[:4])
 
 
 def depth_confusion(gold: DataFrame, pred: DataFrame, step: float = 0.1) -> DataFrame:
-    """bgs_id, gold_class, pred_class, n: depths sampled every `step` in gold by the classes there; gaps in gold aren't
-    sampled. Where a log overlaps itself, its first interval counts.
-
-    Samples are counted, not made: a pair of a gold and a predicted interval shares those between the deeper top and
-    the shallower base. Pairs meet in depth slots, so long logs aren't paired in full.
-    """
-    gold, pred = clipped(gold), clipped(pred)
-    g = gold.select("bgs_id", F.col("top_m").alias("gt"), F.col("base_m").alias("gb"), F.col("lith_class").alias("gold_class"))
-    between = lambda top, base: F.greatest(samples_above(base, step) - samples_above(top, step), F.lit(0))
-    total = g.groupBy("bgs_id", "gold_class").agg(F.sum(between(F.col("gt"), F.col("gb"))).alias("n"))
-    p = _slots(pred).select("bgs_id", "slot", F.col("top_m").alias("pt"), F.col("base_m").alias("pb"), F.col("lith_class").alias("pred_class"))
-    both = _slots(gold).select("bgs_id", "slot", F.col("top_m").alias("gt"), F.col("base_m").alias("gb"), F.col("lith_class").alias("gold_class")).join(p, ["bgs_id", "slot"])
-    top, base = F.greatest("gt", "pt"), F.least("gb", "pb")
-    meet = both.where((top < base) & (F.floor(top / SLOT_M) == F.col("slot")))
-    shared = meet.groupBy("bgs_id", "gold_class", "pred_class").agg(F.sum(between(top, base)).alias("n"))
-    unmet = total.unionByName(shared.select("bgs_id", "gold_class", (-F.col("n")).alias("n"))).groupBy("bgs_id", "gold_class").agg(F.sum("n").alias("n"))
-    rows = shared.unionByName(unmet.select("bgs_id", "gold_class", F.lit(MISSING).alias("pred_class"), "n"))
-    return rows.where("n > 0")
+    """bgs_id, gold_class, pred_class, n: how many samples of a site have these classes."""
+    return compared(gold, pred, step=step).select("bgs_id", F.inline("confusion"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -108,10 +166,9 @@ def macro_f1(confusion: DataFrame) -> DataFrame:
     return rows.agg(F.avg(f1).alias("lithology_f1"))
 
 
-def per_site(gold: DataFrame, pred: DataFrame, confusion: DataFrame, tolerance: float) -> DataFrame:
-    """A row of counts and ratios for each gold site."""
-    depth = confusion.groupBy("bgs_id").agg(F.sum("n").alias("samples"), F.coalesce(F.sum(F.when(F.col("gold_class") == F.col("pred_class"), F.col("n"))), F.lit(0)).alias("correct"))
-    rows = boundary_counts(gold, pred, tolerance).join(depth, "bgs_id", "left").fillna(0)
+def per_site(sites: DataFrame) -> DataFrame:
+    """A row of counts and ratios for each site of `compared` that has a gold boundary."""
+    rows = sites.where("gold_boundaries > 0").select("bgs_id", *COUNTS)
     return rows.withColumns({
         "boundary_recall": ratio(F.col("boundary_hits"), F.col("gold_boundaries")),
         "boundary_precision": ratio(F.col("pred_hits"), F.col("pred_boundaries")),
@@ -165,11 +222,18 @@ def gates(metrics: DataFrame, g: Gates = Gates()) -> DataFrame:
 
 
 def evaluate(gold: DataFrame, pred: DataFrame, g: Gates = Gates()) -> DataFrame:
-    """One row of pooled metrics and gates. Logs and confusion are written once, as several steps read them."""
-    gold, pred = cut(gold), cut(pred)
-    confusion = cut(depth_confusion(gold, pred))
-    row = pooled(per_site(gold, pred, confusion, g.boundary_tolerance_m))
-    return gates(row.join(F.broadcast(macro_f1(confusion)), F.lit(True)), g)
+    """One row of pooled metrics and gates. One pass over the logs: a site's counts and its confusion are rows of one
+    aggregation, of a row for each pair of classes and one for the counts, which is written."""
+    sites = compared(gold, pred, g.boundary_tolerance_m)
+    own = F.struct(F.lit(None).cast("string").alias("gold_class"), F.lit(None).cast("string").alias("pred_class"), F.lit(None).cast("long").alias("n"), *COUNTS)
+    cell = lambda c: F.struct(c["gold_class"].alias("gold_class"), c["pred_class"].alias("pred_class"), c["n"].alias("n"), *(F.lit(None).cast("long").alias(x) for x in COUNTS))
+    rows = sites.select(F.inline(F.concat(F.filter(F.array(own), lambda x: x["gold_boundaries"] > 0), F.transform("confusion", cell))))
+    sums = cut(rows.groupBy("gold_class", "pred_class").agg(F.count("gold_boundaries").alias("n_gold"), F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in COUNTS)))
+    row = sums.agg(
+        F.coalesce(F.sum("n_gold"), F.lit(0)).alias("n_gold"), ratio(F.sum("boundary_hits"), F.sum("gold_boundaries")).alias("boundary_recall"),
+        ratio(F.sum("pred_hits"), F.sum("pred_boundaries")).alias("boundary_precision"), ratio(F.sum("correct"), F.sum("samples")).alias("depth_accuracy"),
+    )
+    return gates(row.join(F.broadcast(macro_f1(sums.where("n is not null"))), F.lit(True)), g)
 
 
 def report(metrics: DataFrame, bands: DataFrame, source: str) -> tuple[str, str]:

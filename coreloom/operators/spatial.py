@@ -1,14 +1,24 @@
-"""Spatial joins by equi-joins on grid cells, and the kernel regressions and votes on top of them."""
+"""Kernel regressions and votes over places near each other, and the baseline of the nearest other site.
+
+Samples stand above each other at few places: what is dealt out and paired is places, each one row with its samples as
+arrays, and sums run inside these arrays.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vocab import EVIDENCE
 from .lineage import cut
+from .tiles import flat, in_units, nearest_other, ramps, stacked
 
 # Kernel cut-off in scaled units, prior, and the weights below which nothing is said.
 RADIUS = 3.0
@@ -16,41 +26,32 @@ PRIOR = 1.0
 MIN_EVIDENCE, MIN_GL_WEIGHT, MIN_SURFACE_WEIGHT = 0.05, 0.05, 1e-6
 BASELINE_DZ = 3.0
 CALIBRATED = 0.8
-#: Height of a layer in which a query meets samples, in vertical reaches. Speed only.
-LAYERS = 3.0
+#: Pairs of a query and a sample that are weighed at once.
+PAIRS = 1 << 20
 GRID_H, GRID_V = (150.0, 300.0, 600.0), (1.5, 2.5, 5.0)
 
 
-def _cell(c: Column, width: float) -> Column:
-    return F.floor(c / F.lit(width)).cast("long")
-
-
-def _around(cell: Column) -> Column:
-    return F.array(cell - 1, cell, cell + 1)
-
-
-def near_pairs(queries: DataFrame, points: DataFrame, widths: dict[str, float]) -> DataFrame:
-    """Pairs of rows whose coordinates each differ by the given width at most, cell by cell: every query looks into the
-    cells around its own. Columns of points come with the prefix p_."""
-    right = points.select(*(F.col(c).alias(f"p_{c}") for c in points.columns))
-    cells = {f"_c{i}": (c, w) for i, (c, w) in enumerate(widths.items())}
-    right = right.withColumns({k: _cell(F.col(f"p_{c}"), w) for k, (c, w) in cells.items()})
-    left = queries
-    for k, (c, w) in cells.items():
-        left = left.withColumn(k, F.explode(_around(_cell(F.col(c), w))))
-    # by sorting: what explode makes is many times the size that its input's files suggest, too much to broadcast
-    return left.join(right.hint("merge"), list(cells)).drop(*cells)
-
-
 def kernel_mean(queries: DataFrame, known: DataFrame, length: float, value: str) -> DataFrame:
     """qid, weight, mean: Gaussian mean of known's value over what lies within RADIUS lengths of each query
-    (qid, easting, northing); queries without such are left out."""
-    width = RADIUS * length
-    pairs = near_pairs(queries.select("qid", "easting", "northing"), known.select("easting", "northing", value), {"easting": width, "northing": width})
-    d2 = (F.pow((F.col("easting") - F.col("p_easting")) / length, 2) + F.pow((F.col("northing") - F.col("p_northing")) / length, 2))
-    w = F.exp(-F.col("d2"))
-    rows = pairs.withColumn("d2", d2).where(F.col("d2") <= RADIUS**2)
-    return rows.groupBy("qid").agg(F.sum(w).alias("weight"), (F.sum(w * F.col(f"p_{value}")) / F.sum(w)).alias("mean"))
+    (qid, easting, northing); queries without such are left out. Values of one place are summed before anything is paired,
+    and queries of one place are one."""
+    at = [F.col("easting").cast("double").alias("x"), F.col("northing").cast("double").alias("y")]
+    asked = cut(queries.select(*at).where("x is not null and y is not null").distinct())
+    held = cut(known.select(*at, F.col(value).alias("v")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")))
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        x, y, n, total = p.x.to_numpy(), p.y.to_numpy(), p.n.to_numpy(float), p.total.to_numpy()
+        qx, qy = q.x.to_numpy(), q.y.to_numpy()
+        w, t, step = np.zeros(len(q)), np.zeros(len(q)), max(1, PAIRS // len(p))
+        for i in range(0, len(q), step):
+            d2 = np.square((qx[i : i + step, None] - x) / length) + np.square((qy[i : i + step, None] - y) / length)
+            k = np.where(d2 <= RADIUS**2, np.exp(-d2), 0.0)
+            w[i : i + step], t[i : i + step] = k @ n, k @ total
+        return pd.DataFrame({"x": qx, "y": qy, "w": w, "t": t})[w > 0]
+
+    parts = in_units(asked, held, RADIUS * length, run, "x double, y double, w double, t double", block=2048)
+    found = parts.groupBy("x", "y").agg(F.sum("w").alias("weight"), (F.sum("t") / F.sum("w")).alias("mean"))
+    return queries.select("qid", *at).join(found, ["x", "y"]).select("qid", "weight", "mean")
 
 
 def estimate_ground_levels(sites: DataFrame, length: float = 300.0, min_weight: float = MIN_GL_WEIGHT) -> DataFrame:
@@ -73,33 +74,79 @@ def kernel_surface(columns: DataFrame, sites: DataFrame, length: float = 300.0,
     return joined.withColumn("surface", F.coalesce("mean", "all_mean")).drop("weight", "mean", "all_mean")
 
 
-def weigh(queries: DataFrame, samples: DataFrame, params: list[tuple[float, float]], exclude_own: bool = False) -> DataFrame:
-    """lh, lv, qid, cls, w: per pair of lengths, the kernel weight of each class at each query (qid, x, y, z, and bgs_id
-    where samples of the query's own site are excluded). One join at the largest lengths serves all of them.
+def _shares(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of sizes in runs whose sizes sum to PAIRS at most, or of one place."""
+    ends, start = sizes.cumsum(), 0
+    while start < len(sizes):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+        yield np.arange(start, stop)
+        start = stop
 
-    Many queries and samples stand above each other: places are paired first, and exactly; then each query meets the
-    samples at the places near its own, in layers of the depth.
-    """
+
+def _weights(q: pd.DataFrame, p: pd.DataFrame, params: list[tuple[float, float]], exclude_own: bool) -> pd.DataFrame:
+    """Of each stack of queries (_id, x, y, zs, and bgs_id), arrays of places in it, classes, and for each pair of lengths
+    the weight of the class at the query, by samples of the stacks p (x, y, bgs_id, zs, clss, in order of z)."""
+    q_at, qz = flat(q.zs, float)
+    p_at, pz = flat(p.zs, float)
+    pc = flat(p.clss, np.int64)[1]
     wide_h, wide_v = RADIUS * max(h for h, _ in params), RADIUS * max(v for _, v in params)
-    cols = ["qid", "x", "y", "z", *(["bgs_id"] if exclude_own else [])]
-    near = near_pairs(queries.select("x", "y").distinct(), samples.select("x", "y").distinct(), {"x": wide_h, "y": wide_h})
-    near = near.where(F.pow((F.col("x") - F.col("p_x")) / wide_h, 2) + F.pow((F.col("y") - F.col("p_y")) / wide_h, 2) <= 1 + 1e-9)
-    layer = lambda z: _cell(z, LAYERS * wide_v)
-    asked = queries.select(*cols).join(near, ["x", "y"]).withColumn("_layer", F.explode(F.sequence(layer(F.col("z") - wide_v), layer(F.col("z") + wide_v))))
-    held = samples.select(F.col("x").alias("p_x"), F.col("y").alias("p_y"), F.col("z").alias("p_z"), F.col("cls").alias("p_cls"), F.col("bgs_id").alias("p_bgs_id"), layer(F.col("z")).alias("_layer"))
-    pairs = asked.join(held.hint("merge"), ["p_x", "p_y", "_layer"])  # by sorting, as in near_pairs
+    dx, dy = (np.subtract.outer(q[c].to_numpy(), p[c].to_numpy()) for c in "xy")
+    near = np.square(dx / wide_h) + np.square(dy / wide_h) <= 1 + 1e-9
     if exclude_own:
-        pairs = pairs.where("bgs_id <> p_bgs_id")
-    d = {c: F.col(c) - F.col(f"p_{c}") for c in "xyz"}
-    pairs = pairs.select("qid", F.col("p_cls").alias("cls"), *(v.alias(f"d{c}") for c, v in d.items()))
-    # one sum for each pair of lengths; these become rows only after the aggregation
-    d2 = [F.pow(F.col("dx") / h, 2) + F.pow(F.col("dy") / h, 2) + F.pow(F.col("dz") / v, 2) for h, v in params]
-    sums = [F.sum(F.when(x <= RADIUS**2, F.exp(-x)).otherwise(0.0)).alias(f"w{i}") for i, x in enumerate(d2)]
-    summed = pairs.groupBy("qid", "cls").agg(*sums)
-    each = F.array(*(F.struct(F.lit(h).alias("lh"), F.lit(v).alias("lv"), F.col(f"w{i}").alias("w")) for i, (h, v) in enumerate(params)))
+        near &= q.bgs_id.to_numpy()[:, None] != p.bgs_id.to_numpy()[None]
+    i, j = np.nonzero(near)
+    x, y, n = dx[i, j], dy[i, j], np.diff(q_at)[i]
+    # a key by which the samples of a stack within the vertical reach are a run
+    low = min(qz.min(), pz.min()) - 2 * wide_v
+    span = max(qz.max(), pz.max()) + 2 * wide_v - low
+    keys = np.repeat(np.arange(len(p)), np.diff(p_at)) * span + (pz - low)
+    k = int(pc.max()) + 1
+    sums = np.zeros((len(params), len(qz) * k))
+    for some in _shares(n):  # pairs of stacks
+        one, pair = np.repeat(q_at[i[some]], n[some]) + ramps(n[some]), np.repeat(some, n[some])  # each query with each stack near its own
+        a = np.searchsorted(keys, j[pair] * span + (qz[one] - wide_v - 1e-5 - low))
+        size = np.searchsorted(keys, j[pair] * span + (qz[one] + wide_v + 1e-5 - low), side="right") - a
+        for c in _shares(size):  # queries, each with the run of samples that it meets in a stack
+            m, s = np.repeat(c, size[c]), np.repeat(a[c], size[c]) + ramps(size[c])
+            dz, to = qz[one[m]] - pz[s], one[m] * k + pc[s]
+            for r, (h, v) in enumerate(params):
+                d2 = np.square(x[pair[m]] / h) + np.square(y[pair[m]] / h) + np.square(dz / v)
+                inside = d2 <= RADIUS**2
+                sums[r] += np.bincount(to[inside], np.exp(-d2[inside]), minlength=len(qz) * k)
+    some = np.flatnonzero((sums > 0).any(0))
+    cuts = np.searchsorted(some, q_at * k)
+    stack = [slice(x, y) for x, y in zip(cuts[:-1], cuts[1:])]
+    first = np.repeat(q_at[:-1], np.diff(cuts))
+    at, cls = some // k - first, some % k
+    out = {"_id": q._id.to_numpy(), "at": [at[x] for x in stack], "cls": [cls[x] for x in stack]}
+    return pd.DataFrame(out | {f"w{r}": [sums[r, some[x]] for x in stack] for r in range(len(params))})[np.diff(cuts) > 0]
+
+
+def _stacks(df: DataFrame, place: list[str], fields: list[str]) -> DataFrame:
+    return cut(stacked(df, place, fields).withColumn("_id", F.monotonically_increasing_id()))
+
+
+def _weigh(queries: DataFrame, samples: DataFrame, params: list[tuple[float, float]], exclude_own: bool) -> DataFrame:
+    """As weigh, over stacks."""
+    fields = "_id long, at array<int>, cls array<int>, " + ", ".join(f"w{r} array<double>" for r in range(len(params)))
+    asked = queries.select("_id", "x", "y", "zs", *(["bgs_id"] if exclude_own else []))
+    held = samples.select(F.lit(-1).cast("long").alias("_id"), "x", "y", "bgs_id", "zs", "clss")
+    parts = in_units(asked, held, RADIUS * max(h for h, _ in params), lambda q, p: _weights(q, p, params, exclude_own), fields, block=256)
+    names = [f"w{r}" for r in range(len(params))]
+    rows = parts.join(queries.select("_id", "qids"), "_id").select("qids", F.inline(F.arrays_zip("at", "cls", *names)))
+    summed = rows.groupBy(F.get("qids", F.col("at")).alias("qid"), "cls").agg(*(F.sum(n).alias(n) for n in names))
+    each = F.array(*(F.struct(F.lit(float(h)).alias("lh"), F.lit(float(v)).alias("lv"), F.col(f"w{i}").alias("w")) for i, (h, v) in enumerate(params)))
     return summed.select("qid", "cls", F.inline(each)).where("w > 0").select("lh", "lv", "qid", "cls", "w")
 
 
+def weigh(queries: DataFrame, samples: DataFrame, params: list[tuple[float, float]], exclude_own: bool = False) -> DataFrame:
+    """lh, lv, qid, cls, w: per pair of lengths, the kernel weight of each class at each query (qid, x, y, z, and bgs_id
+    where samples of the query's own site are excluded). All pairs of lengths come from one pass at the largest."""
+    asked = _stacks(queries, ["x", "y", *(["bgs_id"] if exclude_own else [])], ["z", "qid"])
+    return _weigh(asked, _stacks(samples, ["x", "y", "bgs_id"], ["z", "cls"]), params, exclude_own)
+
+
 def vote(weights: DataFrame, prior: float = PRIOR) -> DataFrame:
     """lh, lv, qid, evidence, cls (ties to the lowest), p_max, entropy (0 to 1) of each query that has any weight.
 
@@ -117,54 +164,64 @@ def vote(weights: DataFrame, prior: float = PRIOR) -> DataFrame:
     return rows.select("lh", "lv", "qid", "evidence", (-F.col("best.c")).cast("int").alias("cls"), of(F.col("best.w"), F.col("evidence")).alias("p_max"), (-(some + rest) / math.log(k)).alias("entropy"))
 
 
-def nearest_other(points: DataFrame, cell: float | None = None) -> DataFrame:
-    """bgs_id, nearest: for each point (bgs_id, x, y) the nearest point of another id; ties to the smaller id.
-
-    Rounds of cell joins: what lies within one cell's width is found among the cells around. The first width is that of
-    a circle of about seven points at the mean density, so few points are left for the rounds after it, of cells four
-    times as wide. One point alone has none.
-    """
-    row = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
-    w, h, n = float(row[0] or 0.0), float(row[1] or 0.0), row[2]
-    reach = math.hypot(w, h)
-    cell = cell or 1.5 * math.sqrt(max(w * h, reach, 1.0) / max(n, 1))
-    left, found = points, None  # rounds grow by the logarithm of the extent
-    while True:
-        pairs = near_pairs(left, points, {"x": cell, "y": cell}).where("bgs_id <> p_bgs_id")
-        d2 = F.pow(F.col("x") - F.col("p_x"), 2) + F.pow(F.col("y") - F.col("p_y"), 2)
-        best = pairs.groupBy("bgs_id").agg(F.min(F.struct(d2.alias("d2"), F.col("p_bgs_id").alias("id"))).alias("b")).select("bgs_id", F.col("b.id").alias("nearest"), "b.d2")
-        last = cell > reach
-        sure = cut((best if last else best.where(F.col("d2") <= cell * cell)).select("bgs_id", "nearest"))
-        found = sure if found is None else found.unionByName(sure)
-        if last or (rest := left.join(sure, "bgs_id", "left_anti")).isEmpty():
-            return found
-        left, cell = cut(rest), cell * 4
-
-
-def baseline(samples: DataFrame, cell: float | None = None) -> DataFrame:
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _class_there(z: pa.Array, other: pa.Array, ord: pa.Array, cls: pa.Array) -> pa.Array:
+    """For each z of a stack the class of the nearest of the other stack's (in order of z, then ord), ties to the smaller
+    ord; -1 beyond BASELINE_DZ."""
+    q_at, p_at = (a.offsets.to_numpy().astype(np.int64) - a.offsets[0].as_py() for a in (z, other))
+    qz, pz, po, pc = (a.flatten().to_numpy(zero_copy_only=False) for a in (z, other, ord, cls))
+    row, out = np.repeat(np.arange(len(z)), np.diff(q_at)), np.full(len(qz), -1, np.int32)
+    if len(qz) and len(pz):
+        low = min(qz.min(), pz.min()) - 2 * BASELINE_DZ
+        span = max(qz.max(), pz.max()) + 2 * BASELINE_DZ - low
+        keys = np.repeat(np.arange(len(z)), np.diff(p_at)) * span + (pz - low)
+        at = np.searchsorted(keys, row * span + (qz - low))  # near the first that isn't above; a rounded key may be one off
+        best, by = np.full(len(qz), np.inf), np.full(len(qz), np.iinfo(np.int64).max)
+        left, back = p_at[row], np.clip(at - 1, 0, len(pz) - 1)
+        # the first of those as high as the next above; likewise below
+        runs = np.concatenate(([True], (keys[1:] != keys[:-1]))).nonzero()[0]
+        start = runs[np.searchsorted(runs, np.arange(len(pz)), side="right") - 1]
+        for s in (start[back], np.clip(at, 0, len(pz) - 1), start[np.clip(at - 2, 0, len(pz) - 1)], np.clip(at + 1, 0, len(pz) - 1)):
+            ok = (s >= left) & (s < p_at[row + 1])
+            dz = np.where(ok, np.abs(qz - pz[s]), np.inf)
+            closer = (dz < best) | (dz == best) & (po[s] < by)
+            best, by, out = np.where(closer, dz, best), np.where(closer, po[s], by), np.where(closer & (dz <= BASELINE_DZ), pc[s], np.where(closer, -1, out)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(q_at, pa.int32()), pa.array(out, pa.int32()))
+
+
+def _baseline(sites: DataFrame) -> DataFrame:
+    """As baseline, over stacks of sites (bgs_id, x, y, zs, ords, clss, qids)."""
+    near = nearest_other(sites.select("bgs_id", "x", "y"))
+    other = sites.select(F.col("bgs_id").alias("nearest"), F.col("zs").alias("oz"), F.col("ords").alias("oord"), F.col("clss").alias("ocls"))
+    both = sites.select("bgs_id", "zs", "qids").join(near, "bgs_id").join(other, "nearest")
+    there = both.select(F.inline(F.arrays_zip(F.col("qids").alias("qid"), _class_there("zs", "oz", "oord", "ocls").alias("cls"))))
+    return there.where("cls >= 0")
+
+
+def _sites(samples: DataFrame, qid: Column) -> DataFrame:
+    rows = samples.select("bgs_id", "x", "y", F.col("z").cast("double").alias("z"), F.col("ord").cast("long").alias("ord"), F.col("cls").cast("int").alias("cls"), qid.alias("qid"))
+    return _stacks(rows, ["bgs_id", "x", "y"], ["z", "ord", "cls", "qid"])
+
+
+def baseline(samples: DataFrame) -> DataFrame:
     """qid, cls of each sample by its horizontally nearest other site: the class there at the nearest z (ties to the
     shallower), if within BASELINE_DZ. samples: qid, bgs_id, ord, x, y, z, cls; a site has one place."""
-    places = samples.groupBy("bgs_id").agg(F.min_by("x", "ord").alias("x"), F.min_by("y", "ord").alias("y"))
-    other = samples.select(F.col("bgs_id").alias("nearest"), F.col("z").alias("oz"), F.col("cls").alias("ocls"), "ord", _cell(F.col("z"), BASELINE_DZ).alias("_c"))
-    asked = samples.select("qid", "bgs_id", "z").join(nearest_other(places, cell), "bgs_id").withColumn("_c", F.explode(_around(_cell(F.col("z"), BASELINE_DZ))))
-    dz = F.abs(F.col("z") - F.col("oz"))
-    near = asked.join(other, ["nearest", "_c"]).withColumn("dz", dz).where(F.col("dz") <= BASELINE_DZ)
-    return near.groupBy("qid").agg(F.min(F.struct("dz", "ord", "ocls")).alias("b")).select("qid", F.col("b.ocls").alias("cls"))
+    return _baseline(_sites(samples, F.col("qid")))
 
 
 def leave_one_out(samples: DataFrame, params: list[tuple[float, float]], min_evidence: float = MIN_EVIDENCE) -> DataFrame:
     """A row (lh, lv, n_sites, n_points, accuracy, baseline_accuracy, gain_pp, calibration, confident_fraction,
     constrained_fraction) per pair of lengths. The site of a point is left out for it; points without enough evidence
     count as wrong. samples: qid, bgs_id, ord, x, y, z, cls."""
-    truth = samples.select("qid", "bgs_id", F.col("cls").alias("truth"))
+    sites = _sites(samples, F.struct("qid", F.col("cls").cast("int").alias("truth")))  # the truth goes along, so that nothing joins it
     grid = samples.sparkSession.createDataFrame([(float(h), float(v)) for h, v in params], "lh double, lv double")
-    voted = vote(weigh(samples, samples, params, exclude_own=True)).where(F.col("evidence") >= min_evidence)
-    judged = voted.join(truth, "qid").withColumn("hit", F.col("cls") == F.col("truth")).withColumn("sure", F.col("p_max") >= CALIBRATED)
+    judged = vote(_weigh(sites, sites, params, exclude_own=True)).where(F.col("evidence") >= min_evidence)
+    judged = judged.withColumn("hit", F.col("cls") == F.col("qid.truth")).withColumn("sure", F.col("p_max") >= CALIBRATED)
     got = judged.groupBy("lh", "lv").agg(
         F.count(F.lit(1)).alias("constrained"), F.count_if("hit").alias("correct"), F.count_if("sure").alias("confident"), F.count_if(F.col("hit") & F.col("sure")).alias("confident_correct")
     )
-    plain = baseline(samples).join(truth, "qid").agg(F.count_if(F.col("cls") == F.col("truth")).alias("base_correct"))
-    total = truth.agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct("bgs_id").alias("n_sites"))
+    plain = _baseline(sites).agg(F.count_if(F.col("cls") == F.col("qid.truth")).alias("base_correct"))
+    total = sites.agg(F.coalesce(F.sum(F.size("zs")), F.lit(0)).alias("n_points"), F.countDistinct("bgs_id").alias("n_sites"))
     rows = grid.join(got, ["lh", "lv"], "left").fillna(0).join(F.broadcast(total), F.lit(True)).join(F.broadcast(plain), F.lit(True))
     share = lambda a: F.when(F.col("n_points") > 0, F.col(a) / F.col("n_points"))
     rows = rows.withColumns({"accuracy": share("correct"), "baseline_accuracy": share("base_correct"), "confident_fraction": share("confident"), "constrained_fraction": share("constrained")})

@@ -219,8 +219,7 @@ def macro_f1(f: Frames) -> DataFrame:
 
 
 def _per_site(f: Frames) -> DataFrame:
-    g, p = whole(f, "gold"), whole(f, "pred")
-    return evaluate.per_site(g, p, evaluate.depth_confusion(g, p), TOLERANCE + 1e-9)
+    return evaluate.per_site(evaluate.compared(whole(f, "gold"), whole(f, "pred"), TOLERANCE + 1e-9))
 
 
 @query(_EVAL + """SELECT *, round(boundary_hits / nullif(gold_boundaries, 0), 9) AS boundary_recall, round(pred_hits / nullif(pred_boundaries, 0), 9) AS boundary_precision, round(correct / nullif(samples, 0), 9) AS depth_accuracy FROM per""")

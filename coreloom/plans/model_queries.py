@@ -30,12 +30,26 @@ def _mean_sql(queries: str, known: str, length: float) -> str:
         JOIN (SELECT *, floor(easting / {r}) AS cx, floor(northing / {r}) AS cy FROM ({known}) k) s ON q.cx = s.cx AND q.cy = s.cy WHERE {d2} <= 9 GROUP BY q.qid"""
 
 
-@query(f"""
-    SELECT s.bgs_id, round(coalesce(s.ground_level_m, e.m), 6) AS ground_level_m, s.ground_level_m IS NULL AND e.m IS NOT NULL AS gl_estimated
-    FROM {{gap_sites}} s LEFT JOIN (SELECT * FROM ({_mean_sql('SELECT bgs_id AS qid, easting, northing FROM {gap_sites} WHERE ground_level_m IS NULL', 'SELECT * FROM {gap_sites} WHERE ground_level_m IS NOT NULL', 300.0)}) x WHERE w >= 0.05) e ON s.bgs_id = e.qid""")
+def _filled_sql(sites: str) -> str:
+    known, missing = f"SELECT * FROM {sites} WHERE ground_level_m IS NOT NULL", f"SELECT bgs_id AS qid, easting, northing FROM {sites} WHERE ground_level_m IS NULL"
+    return f"""SELECT s.bgs_id, round(coalesce(s.ground_level_m, e.m), 6) AS ground_level_m, s.ground_level_m IS NULL AND e.m IS NOT NULL AS gl_estimated
+    FROM {sites} s LEFT JOIN (SELECT * FROM ({_mean_sql(missing, known, 300.0)}) x WHERE w >= 0.05) e ON s.bgs_id = e.qid"""
+
+
+def _filled(sites: DataFrame) -> DataFrame:
+    return rounded(spatial.estimate_ground_levels(sites).select("bgs_id", "ground_level_m", "gl_estimated"), "ground_level_m")
+
+
+@query(_filled_sql("{sites}"))
 def estimate_gl(f: Frames) -> DataFrame:
-    found = spatial.estimate_ground_levels(f.gap_sites)
-    return rounded(found.select("bgs_id", "ground_level_m", "gl_estimated"), "ground_level_m")
+    """In a fixed box, denser as there are more sites."""
+    return _filled(f.sites)
+
+
+@query(_filled_sql("{gap_sites}"))
+def estimate_gl_even(f: Frames) -> DataFrame:
+    """At the same density, however many sites there are."""
+    return _filled(f.gap_sites)
 
 
 _COLUMNS = f"SELECT CAST(i + {GRID.nx} * j AS BIGINT) AS qid, i, j, {GRID.x0} + (i + 0.5) * {GRID.cell_xy} AS easting, {GRID.y0} + (j + 0.5) * {GRID.cell_xy} AS northing FROM range({GRID.nx}) a(i), range({GRID.ny}) b(j)"

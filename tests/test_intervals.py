@@ -53,8 +53,7 @@ def test_discretise_stops_below_the_base(spark):
 
 def evaluated(spark, gold, pred, tolerance=0.25):
     g, p = logs(spark, gold), logs(spark, pred)
-    c = evaluate.depth_confusion(g, p)
-    return evaluate.per_site(g, p, c, tolerance), c
+    return evaluate.per_site(evaluate.compared(g, p, tolerance)), evaluate.depth_confusion(g, p)
 
 
 def test_evaluation_by_hand(spark):
