@@ -37,6 +37,16 @@ class Fitted:
     grid: voxels.Grid | None = None
     baked: DataFrame | None = None
 
+    def publish(self, source: str, model_path: str, runs_path: str, name: str = "model") -> None:
+        """Writes the voxels, if there are any, as the viewer's file, with whether the gates were passed and the metrics of the
+        validation in it, and appends the run's row to the table of runs."""
+        row = self.metrics.first().asDict()
+        if self.baked is not None:
+            said = {k: v for k, v in row.items() if k not in ("frame", "gates_passed")}
+            lengths = {"length_h": row["lh"], "length_v": row["lv"]}
+            voxels.export_json(self.baked, self.grid, model_path, name, row["frame"], lengths, gates_passed=row["gates_passed"], validation=said)
+        corpus.append_rows(self.run_rows(source, model_path if self.baked is not None else None), runs_path, at="ran_at")
+
     def run_rows(self, source: str, model_path: str | None = None) -> DataFrame:
         return corpus.run_rows(self.metrics.withColumn("model_path", F.lit(model_path).cast("string")), source)
 

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass
+import uuid
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import AIR, EVIDENCE, UNCONSTRAINED, class_name
+from ..sources import files
+from ..sources.lines import carried, counted, file_lines
+from .lineage import cut, shared_dir
 from .spatial import MIN_EVIDENCE, kernel_surface, vote, weigh
 
 SKIN = 1e-9
@@ -115,6 +119,41 @@ def grid_bounds(samples: DataFrame, sites: DataFrame, cell_z: float) -> DataFram
     return rows.select((F.floor(F.col("lo") / cell_z) * cell_z).alias("z0"), (F.ceil(F.greatest("hi", F.coalesce("top", "hi")) / cell_z) * cell_z).alias("z1"), "mean_gl")
 
 
+def morton(i: Column, j: Column, k: Column) -> Column:
+    """Place on the curve of interleaved bits of three indices below 2^20."""
+    def spread(c: Column) -> Column:
+        v = c.cast("long")
+        for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return spread(i).bitwiseOR(F.shiftleft(spread(j), 1)).bitwiseOR(F.shiftleft(spread(k), 2))
+
+
+def store(voxels: DataFrame, grid: Grid, path: str, block_bytes: int = 1 << 20) -> None:
+    """Writes baked voxels as a table at path, in the order of a curve through the grid: files and their row groups are
+    small boxes of it, so that what looks a place up reads few. The grid is written beside it."""
+    spark = voxels.sparkSession
+    laid = voxels.withColumn("at", morton(F.col("i"), F.col("j"), F.col("k")))
+    ordered = laid.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "at").sortWithinPartitions("at")
+    ordered.write.mode("overwrite").option("parquet.block.size", block_bytes).option("parquet.page.size", 1 << 16).parquet(f"{path}/voxels")
+    files.create(spark, f"{path}/grid.json", json.dumps(asdict(grid)))
+
+
+def stored(spark: SparkSession, path: str) -> tuple[Grid, DataFrame]:
+    """(grid, voxels) of a table that `store` has written."""
+    return Grid(**json.loads(files.read_text(spark, f"{path}/grid.json"))), spark.read.parquet(f"{path}/voxels")
+
+
+def at_point(voxels: DataFrame, grid: Grid, x: float, y: float, z: float) -> DataFrame:
+    """As lookup, of one point; the stored table's statistics leave a row group or so to read."""
+    point = voxels.sparkSession.createDataFrame([(0, x, y, z)], "pid long, x double, y double, z double")
+    at = [math.floor((v - o) / c) for v, o, c in ((x, grid.x0, grid.cell_xy), (y, grid.y0, grid.cell_xy), (z, grid.z0, grid.cell_z))]
+    inside = all(0 <= a < n for a, n in zip(at, (grid.nx, grid.ny, grid.nz)))
+    here = sum((a >> b & 1) << 3 * b + d for d, a in enumerate(at) for b in range(20)) if inside else -1
+    return lookup(voxels.where(F.col("at") == here), grid, point)
+
+
 def layers(voxels: DataFrame) -> DataFrame:
     """k, class_idx and entropy (arrays in order of idx, rounded as the viewer has them) and the counts of each layer."""
     one = F.struct("idx", "class_idx", F.round("entropy", 2).alias("e"))
@@ -122,24 +161,38 @@ def layers(voxels: DataFrame) -> DataFrame:
     return rows.select("k", F.col("v.class_idx").alias("class_idx"), F.col("v.e").alias("entropy"), "constrained", "below")
 
 
-def export_json(voxels: DataFrame, grid: Grid, path: str, name: str = "model", frame: str = "elevation", params: dict | None = None) -> None:
-    """The compact JSON form for a viewer, one file. Layers are put together on executors and pass through the driver one
-    by one."""
-    ordered = layers(voxels).orderBy("k")
-    counts = ordered.agg(F.sum("constrained"), F.sum("below")).first()
-    surface = [r.s for r in voxels.where("k = 0").orderBy("idx").select(F.round("surface", 1).alias("s")).toLocalIterator()]
+#: Values of a line of the JSON form.
+LINE = 4096
+
+
+def _array(values: DataFrame, path: str) -> list[str]:
+    """Writes the column v of values (idx, v) in order of idx (from 0, without gaps), LINE values a line, with commas between; the files, in
+    order. A line is the longest row of it."""
+    spark = values.sparkSession
+    line = F.floor(F.col("idx") / LINE).alias("line")
+    rows = values.groupBy(line).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col("v").cast("string").alias("v")))), lambda x: x["v"]), ",").alias("value"))
+    text = rows.select("line", F.when(F.col("line") > 0, F.concat(F.lit(","), F.col("value"))).otherwise(F.col("value")).alias("value"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text.repartitionByRange(parts, "line").sortWithinPartitions("line").select("value").write.text(path)
+    return [f"{path}/{n}" for n in files.names(spark, path) if n.startswith("part-")]
+
+
+def export_json(voxels: DataFrame, grid: Grid, path: str, name: str = "model", frame: str = "elevation", params: dict | None = None, **more: object) -> None:
+    """The compact JSON form for a viewer, one file. Executors write the arrays as lines; their files are put end to end,
+    byte by byte. more: further fields."""
+    spark = voxels.sparkSession
+    counts = voxels.agg(F.count_if("constrained"), F.count_if(F.col("class_idx") != AIR)).first()
     head = {
         "synthetic": False, "name": name, "frame": frame, "origin_bng": [grid.x0, grid.y0], "cell_xy": grid.cell_xy, "cell_z": grid.cell_z, "nx": grid.nx, "ny": grid.ny, "nz": grid.nz, "z0": grid.z0,
-        "classes": list(EVIDENCE), "constrained_voxels": counts[0] or 0, "below_ground_voxels": counts[1] or 0, "params": params or {}, "surface": surface,
+        "classes": list(EVIDENCE), "constrained_voxels": counts[0], "below_ground_voxels": counts[1], "params": params or {}, **more,
     }
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(head, separators=(",", ":"))[:-1])
-        for field in ("class_idx", "entropy"):
-            f.write(f',"{field}":[')
-            for at, r in enumerate(ordered.select("k", F.to_json(field).alias("j")).toLocalIterator()):
-                f.write("," * (at > 0) + r.j[1:-1])
-            f.write("]")
-        f.write("}")
+    scratch = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    arrays = {"surface": voxels.where("k = 0").select("idx", F.round("surface", 1).alias("v")), "class_idx": voxels.select("idx", F.col("class_idx").alias("v")), "entropy": voxels.select("idx", F.round("entropy", 2).alias("v"))}
+    parts: list[str | list[str]] = [json.dumps(head, separators=(",", ":"))[:-1]]
+    for field, values in arrays.items():
+        parts += [f',"{field}":[', _array(values, f"{scratch}/{field}"), "]"]
+    files.create(spark, path, *parts, "}\n")
+    files.delete(spark, scratch)
 
 
 def preview(spark: SparkSession, grid: Grid, seed: int = 1) -> DataFrame:
@@ -174,12 +227,26 @@ def decode(stacked: DataFrame, grid: Grid) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """idx, i, j, k, class_idx, entropy of a grid in JSON form; arrays of the wrong length are an error."""
-    fields = "nx int, ny int, nz int, class_idx array<int>, entropy array<double>, surface array<double>"
-    raw = spark.read.schema(fields).option("multiLine", True).json(path)
-    n = F.col("nx") * F.col("ny") * F.col("nz")
-    ok = (F.size("class_idx") == n) & (F.size("entropy") == n) & (F.size("surface") == F.col("nx") * F.col("ny"))
-    bad = F.raise_error(F.lit("array lengths differ from the grid")).cast("array<int>")
-    rows = raw.withColumn("class_idx", F.when(ok, F.col("class_idx")).otherwise(bad)).select("nx", "ny", "entropy", F.posexplode("class_idx").alias("idx", "class_idx"))
+    """idx, i, j, k, class_idx, entropy of a grid in JSON form; arrays of the wrong length are an error.
+
+    The file is read as the texts between its commas, in as many tasks as it has splits; a text that opens an array names
+    the field of those after it. So no task holds an array, whether it stands on one line or on many.
+    """
+    texts = file_lines(spark, path, ",")
+    opened = F.nullif(F.regexp_extract("line", r'"(\w+)"\s*:\s*\[', 1), F.lit(""))
+    named = carried(texts.withColumn("one", F.regexp_extract("line", r'"(\w+)"\s*:\s*[-\d{\[]', 1)), "at", field=opened)
+    number = F.regexp_extract("line", r'(-?\d[-+.0-9eE]*)[\s\]}]*$', 1).try_cast("double")
+    size = {r.one: int(r.v) for r in named.where(F.col("one").isin("nx", "ny", "nz")).select("one", number.alias("v")).collect()}
+    n, layer = size["nx"] * size["ny"] * size["nz"], size["nx"] * size["ny"]
+
+    def values(field: str) -> DataFrame:
+        own = (F.col("field") == field) & number.isNotNull() & ((F.col("one") == "") | (F.col("one") == field))
+        rows = counted(named.where(own).select("path", "chunk", "at", number.alias(field)), "at", "idx", F.lit(1).cast("long"))
+        return cut(rows.select((F.col("idx") - 1).alias("idx"), field))
+
+    found = {f: values(f) for f in ("class_idx", "entropy", "surface")}
+    if [found[f].count() for f in found] != [n, n, layer]:
+        raise ValueError("array lengths differ from the grid")
     at = F.col("idx")
-    return rows.select("idx", (at % F.col("nx")).alias("i"), (F.floor(at / F.col("nx")) % F.col("ny")).cast("int").alias("j"), F.floor(at / (F.col("nx") * F.col("ny"))).cast("int").alias("k"), "class_idx", F.get("entropy", at).alias("entropy"))
+    rows = found["class_idx"].join(found["entropy"], "idx")
+    return rows.select("idx", (at % size["nx"]).cast("int").alias("i"), (F.floor(at / size["nx"]) % size["ny"]).cast("int").alias("j"), F.floor(at / layer).cast("int").alias("k"), F.col("class_idx").cast("int").alias("class_idx"), "entropy")

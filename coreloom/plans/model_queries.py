@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import to_grid, to_wgs84
 from ..functions.vocab import CLASSES, EVIDENCE
 from ..operators import flow, spatial, voxels
-from ..operators.lineage import cut
+from ..operators.lineage import cut, shared_dir
 from .derived import VIEWS, Frames
 from .registry import query
 
@@ -193,8 +195,11 @@ _AT = ("surface", "entropy", "voxel_easting", "voxel_northing", "z_base", "z_top
            CASE WHEN v.class_idx < 255 THEN round({GRID.z0} + v.k * {GRID.cell_z}, 6)::DOUBLE END AS z_base, CASE WHEN v.class_idx < 255 THEN round({GRID.z0} + (v.k + 1) * {GRID.cell_z}, 6)::DOUBLE END AS z_top
     FROM ({_POINTS}) p LEFT JOIN ({_VOXELS}) v ON floor((p.x - {GRID.x0}) / {GRID.cell_xy}) = v.i AND floor((p.y - {GRID.y0}) / {GRID.cell_xy}) = v.j AND floor((p.z - {GRID.z0}) / {GRID.cell_z}) = v.k""")
 def subsurface_at(f: Frames) -> DataFrame:
-    baked = rounded(_baked(f), "entropy")
-    return rounded(voxels.lookup(baked, GRID, f.spark.sql(_POINTS, sites=f.sites)), *_AT)
+    """From the stored table of voxels, which is made once for all points."""
+    path = f"{shared_dir(f.spark)}/voxels-{uuid.uuid4().hex}"
+    voxels.store(rounded(_baked(f), "entropy"), GRID, path)
+    grid, table = voxels.stored(f.spark, path)
+    return rounded(voxels.lookup(table, grid, f.spark.sql(_POINTS, sites=f.sites)), *_AT)
 
 
 @query(f"""WITH v AS ({_VOXELS}) SELECT idx, i, j, k, CAST(class_idx AS INT) AS class_idx, round(round(entropy, 6), 2) AS entropy FROM v""")

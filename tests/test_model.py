@@ -1,13 +1,16 @@
+import json
 import math
 import random
+import threading
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from coreloom.functions.geo import envelope, in_bbox, to_grid, to_wgs84
 from coreloom.functions.vocab import AIR, EVIDENCE, UNCONSTRAINED
-from coreloom.operators import corpus, flow, spatial, voxels
+from coreloom.operators import corpus, flow, spatial, tables, tiles, voxels
 
 LIME, MARL, MUD = (EVIDENCE.index(c) for c in ("LIMESTONE", "MARL", "MUDSTONE"))
 
@@ -89,9 +92,83 @@ def test_baked_grid(spark, world, tmp_path):
     got = {r.pid: (r.status, r.lith_class) for r in voxels.lookup(baked, grid, points).collect()}
     assert got == {1: ("class", "LIMESTONE"), 2: ("air", None), 3: ("outside", None)}
     path = str(tmp_path / "m.json")
-    voxels.export_json(baked, grid, path)
-    back = {(r.i, r.j, r.k): r.class_idx for r in voxels.read_json(spark, path).collect()}
-    assert back == {(r.i, r.j, r.k): r.class_idx for r in rows}
+    voxels.export_json(baked, grid, path, gates_passed=True)
+    body = json.loads((tmp_path / "m.json").read_text())
+    by_idx = sorted(rows, key=lambda r: r.idx)
+    assert body["class_idx"] == [r.class_idx for r in by_idx] and body["entropy"] == [round(r.entropy, 2) for r in by_idx] and len(body["surface"]) == 400
+    assert body["gates_passed"] is True and body["below_ground_voxels"] == sum(r.class_idx != AIR for r in rows) and body["constrained_voxels"] == sum(r.constrained for r in rows)
+    back = {r.idx: (r.i, r.j, r.k, r.class_idx, r.entropy) for r in voxels.read_json(spark, path).collect()}
+    assert back == {r.idx: (r.i, r.j, r.k, r.class_idx, round(r.entropy, 2)) for r in rows}
+    (tmp_path / "line.json").write_text(json.dumps(body, separators=(", ", " : ")))  # all on one line
+    assert {r.idx: (r.i, r.j, r.k, r.class_idx, r.entropy) for r in voxels.read_json(spark, str(tmp_path / "line.json")).collect()} == back
+    (tmp_path / "bad.json").write_text(json.dumps(body | {"entropy": body["entropy"][1:]}))
+    with pytest.raises(ValueError, match="array lengths"):
+        voxels.read_json(spark, str(tmp_path / "bad.json"))
+
+
+def test_voxel_store(spark, world, tmp_path):
+    """Kept in the order of a curve: a lookup reads the boxes about its points, and needs no kernel."""
+    grid, path = voxels.Grid(0.0, 0.0, 6400.0, 6400.0, 100.0, 5.0, 0.0, 80.0), str(tmp_path / "store")
+    made = voxels.preview(spark, grid, seed=2)
+    voxels.store(made, grid, path, block_bytes=1 << 14)
+    again, table = voxels.stored(spark, path)
+    assert again == grid and table.count() == grid.nx * grid.ny * grid.nz
+    rng = random.Random(1)
+    rows = [(n, rng.uniform(-50, 6500), rng.uniform(0, 6400), rng.uniform(0, 79)) for n in range(60)] + [(60, -1.0, 5.0, 5.0), (61, 5.0, 5.0, 80.0)]
+    points = spark.createDataFrame(rows, "pid long, x double, y double, z double")
+    want = sorted(voxels.lookup(made, grid, points).collect())
+    assert sorted(voxels.lookup(table, grid, points).collect()) == want and {r.status for r in want} >= {"outside", "air", "class"}
+    for n, x, y, z in rows[:3]:
+        found = voxels.at_point(table, grid, x, y, z)
+        assert [tuple(r)[1:] for r in found.collect()] == [tuple(r)[1:] for r in want if r.pid == n]
+    assert "PushedFilters: [IsNotNull(at), EqualTo(at," in found._jdf.queryExecution().toString()
+    codes = [r.at for r in table.select("at").collect()]
+    assert len(set(codes)) == len(codes)
+    import pyarrow.parquet as pq
+    groups = [pq.ParquetFile(f).metadata.num_row_groups for f in (tmp_path / "store" / "voxels").glob("*.parquet")]
+    assert sum(groups) > 8
+
+
+def test_dense_places_are_even_units(spark):
+    """A third of all places in one spot: no unit has more rows of a side than its block, and sums are exact."""
+    rng = random.Random(2)
+    known = [(0.5 * rng.random(), 0.5 * rng.random(), float(i % 7)) for i in range(1500)] + [(rng.uniform(0, 5000), rng.uniform(0, 5000), float(i % 5)) for i in range(3000)] + [(7.0, 7.0, 2.0)] * 500
+    asked = [(i, x, y) for i, (x, y, _) in enumerate(known[::9])]
+    k = spark.createDataFrame(known, "easting double, northing double, v double")
+    q = spark.createDataFrame(asked, "qid long, easting double, northing double")
+    got = {r.qid: (r.weight, r["mean"]) for r in spatial.kernel_mean(q, k, 100.0, "v").collect()}
+    for i, x, y in asked[::5]:
+        w = [(math.exp(-d2), v) for a, b, v in known if (d2 := ((x - a) / 100) ** 2 + ((y - b) / 100) ** 2) <= 9]
+        assert got[i] == pytest.approx((sum(a for a, _ in w), sum(a * v for a, v in w) / sum(a for a, _ in w)))
+    places = lambda df: df.select(F.col("easting").alias("x"), F.col("northing").alias("y")).distinct()
+    sizes = tiles.in_units(places(q), places(k), 300.0, lambda a, b: pd.DataFrame({"n": [len(a)], "m": [len(b)]}), "n int, m int", block=64).collect()
+    assert max(r.n for r in sizes) <= 3 * 64 and max(r.m for r in sizes) <= 3 * 64
+
+
+def test_nearest_other_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(0, 1000), rng.uniform(0, 50)) for i in range(600)] + [(1000 + i, 5.0, 5.0) for i in range(300)] + [(2000 + i, float(i % 20), float(i // 20)) for i in range(200)] + [(5000, 1e6, 1e6)]
+    want = {i: min(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in rows if j != i)[1] for i, x, y in rows}
+    df = spark.createDataFrame(rows, "bgs_id long, x double, y double")
+    for tile in (20, 5000):
+        assert {r.bgs_id: r.nearest for r in tiles.nearest_other(df, tile).collect()} == want
+    assert tiles.nearest_other(df.limit(0)).count() == 0
+
+
+def test_baseline_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for b in range(40):
+        x, y, top = rng.uniform(0, 500), rng.uniform(0, 500), rng.choice([10.0, 12.5, 40.0])
+        rows += [(b * 1000 + k, b, k, x, y, top - 0.5 * (k // 2) if b % 3 else top + 0.7 * k, rng.randrange(4)) for k in range(rng.randint(1, 30))]
+    want, place = {}, {r[1]: r[3:5] for r in rows}
+    for q, b, _, x, y, z, _ in rows:
+        other = min(((x - px) ** 2 + (y - py) ** 2, j) for j, (px, py) in place.items() if j != b)[1]
+        dz, _, cls = min((abs(z - r[5]), r[2], r[6]) for r in rows if r[1] == other)
+        if dz <= 3:
+            want[q] = cls
+    df = spark.createDataFrame(rows, "qid long, bgs_id long, ord long, x double, y double, z double, cls int").repartition(5)
+    assert {r.qid: r.cls for r in spatial.baseline(df).collect()} == want
 
 
 def test_grid_transform(spark):
@@ -162,7 +239,49 @@ def test_swap_in(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t_old").exists()
 
 
-def test_model_flow_from_stored_logs(spark, world):
+def test_versioned_tables(spark, tmp_path):
+    path = str(tmp_path / "t")
+    t = tables.Table(spark, path, part="source")
+    with pytest.raises(FileNotFoundError):
+        t.read()
+    rows = lambda *r: spark.createDataFrame(r, "id long, source string")
+    t.replace(rows((1, "a"), (2, "b"), (3, None)))
+    old = t.read()
+    parts = t.manifest()["parts"]
+    t.replace(rows((7, "b"), (8, "c")))
+    assert {tuple(r) for r in t.read().collect()} == {(1, "a"), (3, None), (7, "b"), (8, "c")}
+    assert {tuple(r) for r in old.collect()} == {(1, "a"), (2, "b"), (3, None)}  # a reader goes on with its version
+    assert t.manifest()["parts"]["a"] == parts["a"]  # its rows weren't rewritten
+    t.replace(rows((9, "c")), also=("a",))
+    assert {tuple(r) for r in t.read().collect()} == {(3, None), (7, "b"), (9, "c")}
+    t.append(rows((10, "z")))
+    assert t.read().count() == 4 and t.read(1).count() == 3
+    before = t.manifest()
+    t.append(rows((11, "z")))
+    with pytest.raises(RuntimeError, match="changed meanwhile"):
+        t._commit(before, t.read().schema, before["parts"])  # what another writer began with
+    t.vacuum(keep=1)
+    assert len(t.versions()) == 1 and t.read().count() == 5 and len(list((tmp_path / "t" / "data").iterdir())) == len(t.manifest()["parts"])
+
+
+def test_readers_meet_a_table_at_any_time(spark, tmp_path):
+    t, seen, stop = tables.Table(spark, str(tmp_path / "t")), [], threading.Event()
+    t.replace(spark.range(1))
+
+    def read():
+        while not stop.is_set():
+            seen.append(t.read().count())
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in range(2, 22):
+        t.replace(spark.range(n))
+    stop.set()
+    reader.join()
+    assert seen and seen == sorted(seen) and set(seen) <= set(range(1, 22)) and t.read().count() == 21
+
+
+def test_model_flow_from_stored_logs(spark, world, tmp_path):
     """The flat world as logs and meta rows: validated, gated, baked, and a run row; once more in the depth frame."""
     logs, meta = [], []
     for i, x, y, gl in (tuple(r) for r in world[0].collect()):
@@ -181,6 +300,11 @@ def test_model_flow_from_stored_logs(spark, world):
     assert row.accuracy > 0.9 and row.gain_pp > 5 and row.calibration > 0.9 and row.gates_passed and row.frame == "elevation"
     assert (row.n_sites, row.n_stated, row.n_estimated) == (40, 39, 1)
     assert (got.grid.nx, got.grid.ny) == (10, 10) and got.baked.count() == 100 * got.grid.nz
+    got.publish("gold:ags", str(tmp_path / "m.json"), str(tmp_path / "runs"), "Flat world")
+    body = json.loads((tmp_path / "m.json").read_text())
+    assert body["gates_passed"] is True and body["validation"]["accuracy"] == row.accuracy and body["frame"] == "elevation" and body["name"] == "Flat world" and len(body["class_idx"]) == 100 * got.grid.nz
+    kept = spark.read.parquet(str(tmp_path / "runs")).collect()
+    assert [(r.source, r.model_path, r.gates_passed) for r in kept] == [("gold:ags", str(tmp_path / "m.json"), True)]
     run = got.run_rows("gold:ags", "m.json").first()
     assert run.source == "gold:ags" and run.model_path == "m.json" and run.accuracy == row.accuracy
     deep = flow.fit(logs, meta.withColumn("ground_level_m", F.lit(None).cast("double")), none, "gold:ags", box, s, force=True)
