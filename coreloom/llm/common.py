@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import shared_dir
+from ..operators.lineage import owned, shared_dir
 
 #: White space of all word rules: space and U+0009 to U+000D, as a pattern and as characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 class Scratch:
     """Tables written to the shared folder. Writing one cuts the lineage: an executor that is lost
-    later costs only the work done since."""
+    later costs only the work done since. lineage.release deletes what is left of them once results are consumed."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, owned(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -82,3 +84,20 @@ def with_position(df: DataFrame, keys: list[str], scratch: Scratch, name: str, p
         before += n
     offset = spark.createDataFrame(offsets or [(0, 0)], "_part int, _before long")
     return ordered.join(F.broadcast(offset), "_part").withColumn("position", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Further 64 bits from each hash: the splitmix64 finaliser of the hash plus `turn` steps."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * turn & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def set_id(hashes: np.ndarray) -> int:
+    """Signed 64-bit id of a set of shingles, from its sorted distinct hashes."""
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), 42))

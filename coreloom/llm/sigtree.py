@@ -11,8 +11,8 @@ share leave less overlap possible than the similarity needs. What is left at the
 Classes are what makes large groups of near copies cheap: before the trees are visited, each set is verified against one
 representative of each of its cells, and what these links connect is one class, inside which no pair is visited.
 
-Tokens are 64-bit hashes, sets are known by 64-bit hashes of all their tokens. The order of tokens comes from a table of
-2^20 counts over all rows, whatever their number. It, classes and representatives change cost only; every two sets of the
+Tokens are 64-bit hashes, sets are known by 64-bit hashes of all their tokens. Tokens are ordered by the
+count of their rarest word, from a table of 2^20 counts over all rows, whatever their number. It, classes and representatives change cost only; every two sets of the
 similarity or more end in one class.
 
 A text of fewer words than a shingle is one shingle; a null text, or one without words, is empty and linked with nothing.
@@ -22,25 +22,37 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Scratch, with_position
+from .common import SPACES, Scratch, remixed, set_id, with_position
 from .graph import components
-from .simhash import remixed, set_id, shingle_hashes
 
-#: log2 of the table of token counts, which goes to every task.
+#: log2 of the table of word counts, which goes to every task.
 COUNT_BITS, SEGMENT = 20, 4096
-#: Bits of a set's bitmap.
-BITS = 2048
+#: Bits of a set's bitmap, and of the narrower one that trees have.
+BITS, NARROW = 2048, 512
 #: Sets of a top node, which is one task's work with itself and with each other node that isn't pruned; children of a node.
 BLOCK, FAN = 2048, 8
+#: A cell's representatives are the sets that come first in these orders; sets are verified against those of the cells of
+#: their first tokens of those that others have too. Speed only.
+ORDERS, EARLY = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F), 8
+#: How far representatives' links are followed for classes. Speed only.
+STEPS = 3
 #: Pairs of bitmaps that are held against each other at once.
 PAIRS = 1 << 15
+#: Rows that a task turns to arrays at once.
+ROWS = 1000
+#: Bytes of text whose words are hashed at once, if no single text is longer; words of so many bytes are hashed one by one.
+TEXTS, LONG = 1 << 20, 256
+SPACE_BYTES = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), np.uint8))
 #: Up to so many sets that have to be read again are sent to every task as a filter; more are joined by a shuffle. Speed only.
 SENT = 1 << 20
 #: What stands for a null doc_id.
@@ -57,14 +69,78 @@ def n_first(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def token_heat(docs: DataFrame, shingle: int) -> np.ndarray:
-    """By the lowest COUNT_BITS bits of a token, the binary order of how much more often than the mean such tokens occur."""
+def word_hashes(b: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each word, of its bytes eight at a time. b: bytes, with eight after the last word."""
+    eight = np.ndarray((len(b) - 7,), "<u8", b, strides=(1,))
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    h = remixed(remixed(sizes.astype(np.uint64), 1) ^ eight[starts] & masks[np.minimum(sizes, 8)], 2)
+    more, at = np.flatnonzero(sizes > 8), 8
+    while len(more) and at < LONG:
+        h[more] = remixed(h[more] ^ eight[starts[more] + at] & masks[np.minimum(sizes[more] - at, 8)], 3)
+        at += 8
+        more = more[sizes[more] > at]
+    for i in more:
+        h[i] = xxhash.xxh64_intdigest(b[starts[i] : starts[i] + sizes[i]].tobytes(), 42)
+    return h
+
+
+def texts_at_once(texts: Iterable[bytes | None]) -> Iterator[list[bytes]]:
+    part: list[bytes] = []
+    size = 0
+    for t in texts:
+        if part and size + len(t or b"") > TEXTS:
+            yield part
+            part, size = [], 0
+        part.append(t or b"")
+        size += len(part[-1])
+    if part:
+        yield part
+
+
+def words_of_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, place of each text's first word and the number of all)."""
+    b = np.frombuffer((b" ".join(texts) + b" " * 8).lower(), np.uint8)  # lower() of bytes: A-Z alone
+    edge = np.flatnonzero(np.diff(SPACE_BYTES[b], prepend=True))  # words begin and end by turns
+    starts = edge[::2]
+    return word_hashes(b, starts, edge[1::2] - starts), np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+
+
+def token_sets(texts: Iterable[bytes | None], shingle: int, heat: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(sorted distinct tokens, heat of each) of each text: a shingle's hash is made of its words' hashes and their places,
+    its heat is that of its rarest word."""
+    for part in texts_at_once(texts):
+        h, first = words_of_texts(part)
+        warm = None if heat is None else heat[(h & np.uint64(len(heat) - 1)).astype(np.int64)]
+
+        def combined(a: int, z: int, k: int) -> tuple[np.ndarray, np.ndarray | None]:
+            n = z - a - k + 1
+            total = np.full(n, k, np.uint64)
+            for i in range(k):
+                total += remixed(h[a + i : a + i + n], i + 4)
+            low = None if warm is None else np.minimum.reduce([warm[a + i : a + i + n] for i in range(k)])
+            return remixed(total, 0), low
+
+        tokens, low = combined(0, len(h), shingle) if len(h) >= shingle else (h[:0], None)
+        for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+            k = min(shingle, z - a)
+            if not k:
+                yield h[:0], np.zeros(0, np.uint8)
+                continue
+            t, w = (tokens[a : z - k + 1], None if low is None else low[a : z - k + 1]) if k == shingle else combined(a, z, k)
+            if w is None:
+                yield np.unique(t), None
+            else:
+                t, at = np.unique(t, return_index=True)
+                yield t, w[at]
+
+
+def word_heat(docs: DataFrame) -> np.ndarray:
+    """By the lowest COUNT_BITS bits of a word's hash, how often such words occur, in four steps for each power of two."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << COUNT_BITS, np.uint32)
+        total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
-            for t in b._text:
-                h = np.unique(shingle_hashes(t, shingle))
-                np.add.at(total, (h & np.uint64(len(total) - 1)).astype(np.int64), 1)
+            for part in texts_at_once(b._text):
+                total += np.bincount((words_of_texts(part)[0] & np.uint64(len(total) - 1)).astype(np.int64), minlength=len(total))
         parts = total.reshape(-1, SEGMENT)
         some = np.flatnonzero(parts.any(1))
         yield pd.DataFrame({"part": some.astype(np.int32), "counts": [parts[i].tobytes() for i in some]})
@@ -73,14 +149,20 @@ def token_heat(docs: DataFrame, shingle: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b.part.tolist(), b.counts):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int64)
         yield pd.DataFrame({"part": np.array(list(sums), np.int32), "counts": [x.tobytes() for x in sums.values()]})
 
     schema = "part int, counts binary"
     n = np.zeros(1 << COUNT_BITS, np.int64)
     for part, counts in docs.select(F.col("text").cast("binary").alias("_text")).mapInPandas(count, schema).repartition("part").mapInPandas(add, schema).collect():  # 2^COUNT_BITS numbers
         n[part * SEGMENT : (part + 1) * SEGMENT] = np.frombuffer(counts, np.int64)
-    return np.log2(np.maximum(n / max(1.0, n.mean()), 1)).astype(np.uint8)
+    return (4 * np.log2(n + 1)).astype(np.uint8)
+
+
+def few_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), ROWS):
+            yield b.iloc[at : at + ROWS]
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -92,38 +174,55 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 def shingled(docs: DataFrame, shingle: int, percent: int, heat: np.ndarray) -> DataFrame:
     """Of every row of docs: doc_id, text_hash, set (its id), size, first (the tokens that come first) and bits."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets, first, bits = [np.unique(shingle_hashes(t, shingle)) for t in b.pop("_text")], [], []
-            for h in sets:
-                order = heat[(h & np.uint64(len(heat) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | remixed(h, 5) >> np.uint64(6)
+        for b in few_rows(batches):
+            sets, first, bits = [], [], []
+            for h, warm in token_sets(b._text, shingle, heat):
+                order = warm.astype(np.uint64) << np.uint64(56) | remixed(h, 5) >> np.uint64(8)
+                sets.append(h)
                 first.append(h[np.argsort(order, kind="stable")[: n_first(len(h), percent)]].view(np.int64) if len(h) else np.zeros(0, np.int64))
                 bits.append(bitmap(h))
-            yield b.assign(set=np.array([set_id(h) for h in sets], np.int64), size=np.array([len(h) for h in sets], np.int64), first=first, bits=bits)
+            yield b.drop(columns="_text").assign(set=np.array([set_id(h) for h in sets], np.int64), size=np.array([len(h) for h in sets], np.int64), first=first, bits=bits)
 
     src = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("_text"))
     return src.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, set long, size long, first array<long>, bits array<long>")
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """set and tokens of the sets wanted (set, and the doc and text_hash of one row that has it)."""
+def _shared_bits(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda n, k: n + k)
+
+
+def _enough(x: str, y: str, percent: int) -> Column:
+    """May sets of nodes x and y (prefixes of size0, size1, spare and bits) overlap enough?"""
+    c = lambda p, n: F.col(f"{p}_{n}")
+    most = _shared_bits(f"{x}_bits", f"{y}_bits") + F.least(c(x, "spare"), c(y, "spare"))
+    return _fits(c(x, "size0"), c(x, "size1"), c(y, "size0"), c(y, "size1"), percent) & (most * (100 + percent) >= percent * (c(x, "size0") + c(y, "size0")))
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of sets that their sizes and bitmaps leave."""
+    side = lambda k, p: nodes.select(F.col("set").alias(k), *(F.col(c).alias(f"{p}_{n}") for n, c in (("size0", "size"), ("size1", "size"), ("spare", "spare"), ("bits", "bits"))))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_enough("x", "y", percent)).select("a", "b")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are similar; the texts of their sets are read once more."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.pop("_text")]
+        for b in few_rows(batches):
+            sets = [h for h, _ in token_sets(b._text, shingle)]
             right = np.array([set_id(h) for h in sets], np.int64) == b.set.to_numpy()
-            yield b.assign(tokens=[h.view(np.int64) for h in sets])[right]
+            yield b[["set"]].assign(tokens=[h.view(np.int64) for h in sets])[right]
 
+    wanted = scratch.put(f"{name}-wanted", pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(nodes.select("set", "doc", "text_hash"), "set"))
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("_text"))
     sent = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-    return texts.join(sent, ["doc", "text_hash"]).select("set", "_text").mapInPandas(run, "set long, tokens array<long>").dropDuplicates(["set"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are similar."""
+    found = texts.join(sent, ["doc", "text_hash"]).select("set", "_text").mapInPandas(run, "set long, tokens array<long>")
+    sets = scratch.put(f"{name}-sets", found.dropDuplicates(["set"]))  # of rows that repeat a doc_id and its text
     left, right = sets.select(F.col("set").alias("a"), F.col("tokens").alias("_x")), sets.select(F.col("set").alias("b"), F.col("tokens").alias("_y"))
-    both = pairs.join(left, "a").join(right, "b")
     # apart, so that the overlap is counted once
-    counted = both.select("a", "b", F.size("_x").alias("x"), F.size("_y").alias("y"), F.explode(F.array(F.size(F.array_intersect("_x", "_y")))).alias("shared"))
-    return counted.where(F.col("shared") * 100 >= percent * (F.col("x") + F.col("y") - F.col("shared"))).select("a", "b")
+    counted = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("_x").alias("x"), F.size("_y").alias("y"), F.explode(F.array(F.size(F.array_intersect("_x", "_y")))).alias("shared"))
+    links = scratch.put(f"{name}-links", counted.where(F.col("shared") * 100 >= percent * (F.col("x") + F.col("y") - F.col("shared"))).select("a", "b"))
+    scratch.drop(f"{name}-wanted", f"{name}-sets")
+    return links
 
 
 def _fits(lo_a, hi_a, lo_b, hi_b, percent: int):
@@ -178,29 +277,30 @@ def meet(x: Tree, y: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that the trees leave. members: token (the cell), set, size, cls and bits."""
-    placed = with_position(members, ["token", "cls", "size", "set"], scratch, "placed")
-    placed = scratch.put("leaves", placed.withColumn("block", F.floor(F.col("position") / F.lit(BLOCK))))
-    words = range(BITS // 64)
-    spare = F.col("size") - F.aggregate("bits", F.lit(0), lambda n, w: n + F.bit_count(w))
-    tops = placed.withColumn("spare", spare).groupBy("block").agg(
-        *(f(c).alias(f"{c}{k}") for c in ("token", "size", "cls") for k, f in enumerate((F.min, F.max))), F.max("spare").alias("spare"), *(F.bit_or(F.get("bits", F.lit(w))).alias(f"w{w}") for w in words))
+    """Pairs (a, b) of sets that the trees leave. members: token (the cell), head (a set of it by which alike cells lie side
+    by side, so that a pair that meets in several of them is one), set, size, cls and bits."""
+    words, times = range(NARROW // 64), BITS // NARROW
+    narrow = F.array(*(reduce(Column.bitwiseOR, [F.get("bits", F.lit(w + t * len(words))) for t in range(times)]) for w in words))
+    spare = F.col("size") - sum((F.bit_count(F.get("bits", F.lit(w))) for w in words), F.lit(0))  # tokens that share their bit with another of their set
+    rows = members.withColumn("bits", narrow).withColumn("spare", spare)
+    placed = with_position(rows, ["head", "token", "cls", "size", "set"], scratch, "placed").withColumn("block", F.floor(F.col("position") / F.lit(BLOCK)))
+    ends = [f("token", "position").alias(f"token{k}") for k, f in enumerate((F.min_by, F.max_by))]
+    tops = placed.groupBy("block").agg(*ends, *(f(c).alias(f"{c}{k}") for c in ("size", "cls") for k, f in enumerate((F.min, F.max))), F.max("spare").alias("spare"), *(F.bit_or(F.get("bits", F.lit(w))).alias(f"w{w}") for w in words))
     tops = scratch.put("tops", tops.withColumn("bits", F.array(*(f"w{w}" for w in words))).drop(*(f"w{w}" for w in words)))
     # in the order of cells, two nodes have at most one cell in common: the last of one, the first of the other
     x, y = (tops.select(*(F.col(c).alias(f"{p}_{c}") for c in tops.columns)) for p in "xy")
     pairs = x.join(y, (F.col("x_token1") == F.col("y_token0")) & (F.col("x_block") < F.col("y_block")))
-    v = lambda c: F.col(c)
-    settled = (v("x_cls0") == v("x_cls1")) & (v("y_cls0") == v("y_cls1")) & (v("x_cls0") == v("y_cls0"))
-    shared = F.aggregate(F.zip_with("x_bits", "y_bits", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda n, k: n + k) + F.least("x_spare", "y_spare")
-    enough = shared * (100 + percent) >= percent * (v("x_size0") + v("y_size0"))
-    left = pairs.where(~settled & _fits(v("x_size0"), v("x_size1"), v("y_size0"), v("y_size1"), percent) & enough)
+    settled = (F.col("x_cls0") == F.col("x_cls1")) & (F.col("y_cls0") == F.col("y_cls1")) & (F.col("x_cls0") == F.col("y_cls0"))
+    left = pairs.where(~settled & _enough("x", "y", percent))
     units = tops.select(F.col("block").alias("i"), F.col("block").alias("j")).union(left.select("x_block", "y_block"))
     of_block = units.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     dealt = placed.join(of_block, "block").select("i", "j", "block", "position", "token", "set", "size", "cls", "bits")
 
     def visit(unit: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        token = unit.token.to_numpy()  # in order of position: a cell is a run
+        unit["cell"] = np.concatenate(([0], (token[1:] != token[:-1]).cumsum()))
         sides = [g for _, g in unit.groupby("block", sort=True)]
-        trees = [Tree(g.token.to_numpy(), g["size"].to_numpy(), g.cls.to_numpy(), np.stack(g.bits.to_list()).view(np.uint64)) for g in sides]
+        trees = [Tree(g.cell.to_numpy(), g["size"].to_numpy(), g.cls.to_numpy(), np.stack(g.bits.to_list()).view(np.uint64)) for g in sides]
         a, b = meet(trees[0], trees[-1], percent)
         p, q = sides[0].set.to_numpy()[a], sides[-1].set.to_numpy()[b]
         return [(np.minimum(p, q), np.maximum(p, q))]
@@ -226,29 +326,43 @@ def candidates(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     return dealt.repartition("i", "j").sortWithinPartitions("i", "j", "position").mapInPandas(run, "a long, b long").where("a <> b").distinct()
 
 
+def labelled(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label): of each set that has links, the least set within STEPS links. Two sets of one label are linked, if by
+    others; the converse needn't hold."""
+    both = links.union(links.select("b", "a"))
+    now = scratch.put("labels-0", both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+    for k in range(1, STEPS):
+        near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("label").alias("near"))
+        now = scratch.put(f"labels-{k}", now.join(near, now.node == near.a).select("node", F.least("label", "near").alias("label")))
+    return now
+
+
 def similar_sets(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): doc_id, set and size of every row of docs; and (node, root), the sets that have a link with one that
     stands for their class."""
     spark = docs.sparkSession
-    rows = scratch.put("rows", shingled(docs, shingle, percent, token_heat(docs, shingle)))
+    rows = scratch.put("rows", shingled(docs, shingle, percent, word_heat(docs)))
     of_set = rows.where("size > 0").groupBy("set").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_hash")).alias("row"), *(F.first(c).alias(c) for c in ("size", "first", "bits")))
-    nodes = scratch.put("nodes", of_set.select("set", "row.*", "size", "first", "bits"))
-    entries = nodes.select("set", "size", F.explode("first").alias("token"))
-    cells = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("head")).where("n > 1").drop("n")
-    met = scratch.put("met", entries.join(cells, "token"))
-    live = scratch.put("live", met.select("set").distinct().join(nodes.select("set", "doc", "text_hash"), "set"))
-    sets = scratch.put("sets", token_sets(docs, live, shingle))
-
-    to_heads = met.where("set <> head").select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct()
-    links = scratch.put("head-links", verified(to_heads, sets, percent))
-    classes = scratch.put("classes", components(links, Scratch(spark, "components")))
-    named = met.join(classes, met["set"] == classes.node, "left").select("token", "set", "size", F.coalesce("root", "set").alias("cls"))
-    named = scratch.put("named", named)
+    spare = F.col("size") - F.aggregate("bits", F.lit(0), lambda n, w: n + F.bit_count(w))  # tokens that share their bit with another of their set
+    nodes = scratch.put("nodes", of_set.select("set", "row.*", "size", "first", "bits", spare.alias("spare")))
+    entries = nodes.select("set", F.posexplode("first").alias("at", "token"))
+    orders = [F.min(F.col("set").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"h{i}") for i, x in enumerate(ORDERS)]
+    cells = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *orders).where("n > 1")
+    place = F.row_number().over(Window.partitionBy("set").orderBy("at"))  # of its tokens that are in cells
+    met = scratch.put("met", entries.join(cells, "token").join(nodes.select("set", "size"), "set").withColumn("at", place))
+
+    heads = F.explode(F.when(F.col("n") == 2, F.array("h0")).otherwise(F.array(*(f"h{i}" for i in range(len(ORDERS))))))
+    asked = met.where(F.col("at") <= EARLY).select("set", "size", heads.alias("head")).where("set <> head").distinct()
+    of_head = nodes.select(F.col("set").alias("head"), F.col("size").alias("head_size"))
+    to_heads = asked.join(of_head, "head").where(_fits(F.col("size"), F.col("size"), F.col("head_size"), F.col("head_size"), percent)).select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct()
+    links = verified(docs, nodes, scratch.put("to-heads", possible(to_heads, nodes, percent)), shingle, percent, scratch, "heads")
+    classes = labelled(links, scratch)
+    named = scratch.put("named", met.join(classes, met["set"] == classes.node, "left").select("token", F.col("h0").alias("head"), "set", "size", F.coalesce("label", "set").alias("cls")))
     mixed = named.groupBy("token").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").select("token")
     members = named.join(mixed, "token").join(nodes.select("set", "bits"), "set")
-    more = scratch.put("links", verified(candidates(members, scratch, percent), sets, percent))
+    more = verified(docs, nodes, scratch.put("left", possible(candidates(members, scratch, percent), nodes, percent)), shingle, percent, scratch, "trees")
     roots = components(links.union(more), Scratch(spark, "components"))
-    scratch.drop("met", "live", "sets", "named", "placed", "leaves", "tops", "classes")
+    scratch.drop("met", "to-heads", "named", "placed", "tops", "left", "nodes", *(f"labels-{k}" for k in range(STEPS)))
     return rows.select("doc_id", "set", "size"), roots
 
 

@@ -9,7 +9,7 @@ never all pairs.
 
 For similar rather than nearly equal texts the radius is wider, and 64 bits no longer tell strangers apart in a large
 corpus: `similar` takes four fingerprints of the distinct shingles, probes with each of them and holds all 256 bits
-against those of the texts met. What these links connect is then compared by the shingles themselves.
+against those of the texts met. What these links connect is then joined by the shingles themselves.
 
 Empty and null texts have fingerprint zero and link like any other. Repeated rows share a fingerprint. Rows whose
 doc_id is null take part; a component's id is its smallest doc_id that isn't null. An empty table gives no rows;
@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from . import sigtree
+from .common import Scratch, remixed, set_id, signed
 from .graph import components
 
 BITS = 64
@@ -47,8 +48,6 @@ PAIRS = 1 << 22
 CHUNK = 1 << 16
 #: Fingerprints of a text that may be similar to others.
 WORDS = 4
-#: Texts of a group that are compared by their shingles in one task. Speed only.
-BLOCK = 1024
 #: Up to so many texts that have to be read again are sent to every task; more are joined by a shuffle. Speed only.
 SENT = 1 << 20
 
@@ -74,14 +73,6 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
-    """Further 64 bits from each hash: the splitmix64 finaliser of the hash plus `turn` steps."""
-    x = hashes + np.uint64(0x9E3779B97F4A7C15 * turn & (1 << 64) - 1)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id and `fp` of every row of docs."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,11 +82,6 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("_text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def set_id(hashes: np.ndarray) -> int:
-    """Signed 64-bit id of a set of shingles, from its sorted distinct hashes."""
-    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
-
-
 def sketches(docs: DataFrame, shingle: int, cols: tuple[str, ...]) -> DataFrame:
     """`cols` of every row of docs, and of its distinct shingles: `set` (their id), `size`, `fp0` and so on (the WORDS
     fingerprints) and `wide` (these and the id as bytes); `text_hash`, by which to find the text again."""
@@ -180,10 +166,6 @@ def plan(counts: np.ndarray, n: int, radius: int) -> list[tuple[int, list[int]]]
     return best[1]
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def probe_keys(fp: Column, parts: list[tuple[int, list[int]]]) -> Column:
     """Array of (p, key, own): the value in each partition, and its variants within the threshold that are larger
     (of two values that differ, the smaller one probes)."""
@@ -310,71 +292,12 @@ def radius_of(similarity: float, bits: int, deviations: float) -> int:
     return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
-def alike(sets: list[np.ndarray], held: np.ndarray, similarity: float) -> np.ndarray:
-    """Of each set (of some distinct hashes) the first of its class, by place, where the sets that are `held` are
-    compared with all others."""
-    label, sizes = np.arange(len(sets)), np.array([len(h) for h in sets])
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate(([0], sizes.cumsum()[:-1]))
-    mark = np.zeros(len(values), bool)
-    for x in np.flatnonzero(held):
-        own = codes[starts[x] : starts[x] + sizes[x]]
-        mark[own] = True
-        shared = np.add.reduceat(mark[codes], starts, dtype=np.int64)
-        mark[own] = False
-        y = np.flatnonzero(shared >= similarity * (sizes[x] + sizes - shared) - 1e-9)
-        label = join_classes(label, np.full(len(y), x), y)
-        if not label.any():
-            break
-    return label
-
-
-def compared(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that connect whatever sets of a group are similar: groups has root, set and the text_hash of one
-    text. Every pair of a group counts; large groups are dealt into blocks, and each pair of blocks is a task's work."""
-    groups = scratch.put("groups", groups)
-    sent = F.broadcast(groups) if groups.count() <= SENT else groups
-
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.pop("_text")]
-            right = np.array([set_id(h) for h in sets], np.int64) == b.set.to_numpy()
-            yield b.assign(hashes=[h.tobytes() for h in sets])[right]
-
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("_text"))
-    found = texts.join(sent, "text_hash").select("root", "set", "_text").mapInPandas(shingles, "root long, set long, hashes binary")
-    sets = scratch.put("sets", found.groupBy("root", "set").agg(F.first("hashes").alias("hashes")))
-    sizes = sets.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = sets.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("held"), "set", "hashes")
-
-    def links_of(rows: list[tuple]) -> list[tuple[int, int]]:
-        held, ids, hashes = zip(*rows)
-        label = alike([np.frombuffer(h, np.uint64) for h in hashes], np.array(held), similarity)
-        return [(ids[x], ids[k]) for k, x in enumerate(label.tolist()) if k != x]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rows = None, []
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for root, i, j, *row in b.itertuples(index=False):
-                if (root, i, j) != now:
-                    out += links_of(rows) if rows else []
-                    now, rows = (root, i, j), []
-                rows.append(row)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-        if rows:
-            yield pd.DataFrame(links_of(rows), columns=["a", "b"], dtype=np.int64)
-
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(run, "a long, b long")
-
-
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`cols`, root and component_id (its smallest doc_id) of every row of docs (cols have doc_id): components of texts
     whose sets of shingles have that Jaccard similarity or more. Texts that meet in any of the WORDS fingerprints, with
     a radius that holds three of four pairs just at the similarity, and differ in few enough of all bits are
-    candidates; of a component of candidates, all pairs are compared. Texts without words are alike."""
+    candidates; what has a candidate goes through the exact join of signature trees, in which large groups of near copies
+    cost what their number does. Texts without words are alike."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
     fps = scratch.put("fps", sketches(docs, shingle, cols))
@@ -383,10 +306,13 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cols: tu
     live, radius, most = nodes.where("size > 0"), radius_of(similarity, BITS, 0.5), radius_of(similarity, WORDS * BITS, 4)
     met = [scratch.put(f"met-{k}", links(live.select(F.col(f"fp{k}").alias("fp"), "wide"), radius, Scratch(spark, "similar"), most)) for k in range(WORDS)]
     near = components(reduce(DataFrame.union, met), Scratch(spark, "similar"))
-    groups = near.join(nodes, near.node == nodes.set).select("root", "set", "text_hash")
+    groups = scratch.put("groups", near.join(nodes, near.node == nodes.set).select("set", "text_hash"))
     scratch.drop(*(f"met-{k}" for k in range(WORDS)))
-    same = components(compared(docs, groups, shingle, similarity, scratch), Scratch(spark, "similar"))
-    scratch.drop("groups", "sets")
+    sent = F.broadcast(groups) if groups.count() <= SENT else groups
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(sent, "text_hash").groupBy("set").agg(F.first("text").alias("text"))
+    texts = scratch.put("texts", texts.withColumnRenamed("set", "doc_id"))
+    same = scratch.put("same", sigtree.join(texts, shingle, round(100 * similarity)).select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")))
+    scratch.drop("groups", "texts")
     named = scratch.put("named", nodes.join(same, nodes.set == same.node, "left").select("set", "first", F.coalesce("root", "set").alias("root")))
     least = scratch.put("least", named.groupBy("root").agg(F.min("first").alias("component_id")))
     return fps.join(named.join(least, "root").select("set", "root", "component_id"), "set").select(*cols, "root", "component_id")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from coreloom.llm import linededup, quality, simhash
+from coreloom.llm import linededup, quality, sigtree, simhash
 from coreloom.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,7 +121,7 @@ def shingle_set(text, k=5):
 @pytest.mark.parametrize("block", [1024, 3])
 def test_similar_texts_are_those_by_brute_force(spark, monkeypatch, block):
     """Pairs of Jaccard similarity 0.7 to 0.95, a group that only a chain holds together, short texts."""
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(sigtree, "BLOCK", block)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     texts, pairs = [], []
