@@ -1,20 +1,21 @@
 """Approximate nearest neighbours along shifted space-filling curves.
 
-Vectors are scaled to length 1 and projected, differently for each ordering, to as many directions as the table is large
-(rows double, a direction more); a shifted threshold splits each direction, and the cells lie along the Hilbert curve.
-Each ordering is range-partitioned by key into blocks of neighbouring cells. A query visits windows of an ordering: its
-own cell and those others that a near vector is likely to be in, given how far the query lies from each threshold. The
-rows of all windows are held against it in eight-bit precision; the best of all orderings are merged, their vectors
-fetched by id, and reranked by the exact cosine.
+Vectors are scaled to length 1 and projected, differently for each ordering, to DIRECTIONS of several bits each, after a
+shift by a whole vector of the ordering's own; the rows lie along the Hilbert curve of these coordinates. Each ordering is
+range-partitioned by key and gives every row a rank; a query meets the rows whose rank differs from its own by the window
+at most. The rows of all windows are held against it in eight-bit precision; the best of all orderings are merged, their
+vectors fetched by id, and reranked by the exact cosine.
 
-How likely a cell must be to be visited is fitted: CALIBRATION queries, those of smallest hash, are answered by a scan of
-all rows, and the threshold is the one at which the windows hold the share AIM of their neighbours. Every row is indexed,
-every query answered. A query that finds fewer than k rows is answered by a scan, ROUND of them at a time.
+The window is fitted: CALIBRATION queries, those of smallest hash, are answered by a scan of all rows, and the window is the
+least that holds the share AIM of their neighbours in one ordering or another. So it adapts to how well the curves keep
+what is near together: closely, where vectors lie in groups; hardly, where they are spread evenly over many dimensions.
+Every row is indexed, every query answered; one that meets fewer than k rows of other ids meets all rows of an ordering.
 
 Of equal vectors only the k + 1 rows of smallest id can be among anybody's k nearest, so the others are left out of the
 curves; as queries, their nearest are the first k of their equals. Null vectors, vectors of zeros, and vectors with null
-or non-finite components take no part, nor do rows whose id is null; vectors must be of one length. Repeated ids are rows
-of their own, but a row is never a neighbour of its own id. An empty table gives no rows; other columns are ignored.
+or non-finite components take no part, nor do rows whose id is null, nor vectors of another length than most have (of two
+lengths as frequent, the larger counts). Repeated ids are rows of their own, but a row is never a neighbour of its own id.
+An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, with_position
 
-ORDERINGS = 16
-#: Rows that a cell has on average, about; cells of a block.
-CELL_ROWS, BLOCK_CELLS = 16, 128
-#: A block of more rows is dealt out over tasks. Speed only.
-LARGE_BLOCK = 8192
-#: Queries that the threshold is fitted to, and the share of their neighbours that windows must hold.
+#: Orderings, directions of each, and bits of a direction.
+ORDERINGS, DIRECTIONS, BITS = 16, 8, 6
+#: Rows of an ordering that one task holds at once, and queries that it holds against them at once.
+BLOCK, ASKED = 4096, 64
+#: Queries that the window is fitted to, and the share of their neighbours that windows must hold.
 CALIBRATION, AIM = 128, 0.95
-#: Queries that a scan of all rows answers at once.
-ROUND = 2048
 #: Candidates that a task gathers before it sorts them, and queries that it keeps count of.
 PENDING, SLOTS = 200_000, 1_000_000
 
@@ -71,43 +69,29 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curve:
-    """An ordering: its directions (orthonormal, where length allows) and thresholds."""
-
-    def __init__(self, ordering: int, length: int, bits: int, seed: int):
-        rng = np.random.default_rng([seed, ordering])
-        self.directions = np.concatenate([np.linalg.qr(rng.standard_normal((length, min(length, bits - at))))[0] for at in range(0, bits, length)], axis=1)
-        self.shift = rng.uniform(-0.2, 0.2, bits)
-
-    def project(self, unit: np.ndarray) -> np.ndarray:
-        """Places along the directions, in standard deviations of a random unit vector, from the thresholds on."""
-        return unit @ self.directions * math.sqrt(unit.shape[1]) - self.shift
-
-    def near(self, z: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities that a vector of that cosine to one projected to z is above each threshold, and below."""
-        up = (cosine * (z + self.shift) - self.shift) / math.sqrt(1 - cosine * cosine)
-        above = np.array([math.erfc(-x / math.sqrt(2)) / 2 for x in up.ravel()]).reshape(up.shape)
-        return np.log(np.clip(above, 1e-9, 1)), np.log(np.clip(1 - above, 1e-9, 1))
-
-    def visits(self, above: np.ndarray, below: np.ndarray, least: float) -> np.ndarray:
-        """Keys of the cells of log probability `least` or more; of the likeliest cell in any case."""
-        bits, cost = above >= below, np.abs(above - below)
-        budget = max(0.0, np.maximum(above, below).sum() - least)
-        spent, flips = np.zeros(1), np.zeros((1, len(cost)), bool)
-        for i in np.argsort(cost):
-            if cost[i] > budget:
-                break
-            more = spent + cost[i] <= budget
-            flipped = flips[more]
-            flipped[:, i] = True
-            spent, flips = np.concatenate((spent, spent[more] + cost[i])), np.concatenate((flips, flipped))
-        return hilbert((flips ^ bits).astype(np.int64), 1)
+    """An ordering: its directions, orthonormal among themselves and with those of its neighbours, and its shift."""
+
+    def __init__(self, ordering: int, length: int, seed: int):
+        d = min(DIRECTIONS, length)
+        per = length // d  # orderings that share one basis
+        basis = np.linalg.qr(np.random.default_rng([seed, ordering // per]).standard_normal((length, length)))[0]
+        self.directions = basis[:, ordering % per * d : (ordering % per + 1) * d] * math.sqrt(length)
+        self.shift = np.random.default_rng([seed, ordering, 1]).uniform(0, 1, d)
+
+    def key(self, unit: np.ndarray) -> np.ndarray:
+        """Keys of unit vectors: places along the directions, in standard deviations of a random one up to four, are
+        shifted by up to the whole range, and the range is twice as wide for it."""
+        place = (np.clip(unit @ self.directions / 8 + 0.5, 0, 1) + self.shift) / 2
+        return hilbert(np.minimum((place * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, vec (array<double>) of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: F.coalesce((F.abs(x) < float("inf")), F.lit(False)))
-    return rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda x: x != 0))
+    rows = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda x: x != 0))
+    lengths = rows.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).head(1)
+    return rows.where(F.size("vec") == lengths[0]["length"]) if lengths else rows
 
 
 def _matrix(col) -> np.ndarray:
@@ -124,6 +108,12 @@ def coded(unit: np.ndarray) -> np.ndarray:
     return np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)
 
 
+def decoded(codes: pd.Series) -> np.ndarray:
+    """Unit vectors of codes, in single precision."""
+    x = np.stack([np.frombuffer(c, np.int8) for c in codes]).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, in double precision."""
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
@@ -152,19 +142,19 @@ def scan(rows: DataFrame, asked: list, k: int) -> DataFrame:
     return near.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "row"))).where(F.col("n") <= k).drop("n")
 
 
-def fitted(rows: DataFrame, curves: list[Curve], k: int) -> tuple[float, float]:
-    """The cosine that neighbours have, and the least log probability of cells to visit."""
-    asked = rows.where("is_query").orderBy(F.xxhash64("id"), "row").limit(CALIBRATION).select("row", "id", "vec").collect()
-    near = scan(rows, asked, k).join(rows.select("row", "vec"), "row").select("ask", "vec", "score").collect()  # CALIBRATION x k rows
+def fitted(shown: DataFrame, placed: DataFrame, n: int, k: int) -> int:
+    """The window: a difference in rank. placed: ordering, rank and row of every row shown."""
+    asked = shown.where("is_query").orderBy(F.xxhash64("id"), "row").limit(CALIBRATION).select("row", "id", "vec").collect()
+    near = scan(shown, asked, k).collect() if asked else []  # CALIBRATION x k rows
     if not near:
-        return 0.5, -math.inf
-    ask, cosine = np.array([r.ask for r in near]), float(np.clip(np.median([r.score for r in near]), 0.05, 0.99))
-    q, x = units(_matrix([bytes(a.vec) for a in asked]))[ask], units(_matrix([bytes(r.vec) for r in near]))
-    most = np.full(len(near), -np.inf)
-    for c in curves:
-        above, below = c.near(c.project(q), cosine)
-        most = np.maximum(most, np.where(c.project(x) > 0, above, below).sum(axis=1))
-    return cosine, float(np.quantile(most, 1 - AIM)) - 1e-9
+        return n
+    pairs = [(asked[r.ask].row, r.row) for r in near]
+    wanted = shown.sparkSession.createDataFrame([(r,) for r in {x for p in pairs for x in p}], "row long")
+    rank: dict[int, np.ndarray] = {}
+    for r in placed.join(F.broadcast(wanted), "row").select("ordering", "rank", "row").collect():
+        rank.setdefault(r.row, np.zeros(ORDERINGS, np.int64))[r.ordering] = r["rank"]
+    apart = np.array([np.abs(rank[a] - rank[b]).min() for a, b in pairs])
+    return int(max(np.quantile(apart, AIM, method="higher"), 2 * k + 2))
 
 
 class Best:
@@ -216,42 +206,33 @@ class Best:
 
 def meet(dealt: DataFrame, few: int) -> DataFrame:
     """query, row, score: the best few that windows give each query. dealt: within partitions, block by block, the rows
-    (`asks` false) before the queries, these with the cells that they visit; rows in order of their cells."""
+    (`asks` false) before the queries, these with the ranks that they meet; both in order of rank."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best, now, held, table = Best(few), None, [], None
         for b in batches:
-            key = b[["ordering", "block", "salt", "asks"]].to_numpy(np.int64)
+            key = b[["ordering", "block", "asks"]].to_numpy(np.int64)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
-                part, group = b.iloc[lo:hi], tuple(key[lo, :3])
+                part, group = b.iloc[lo:hi], tuple(key[lo, :2])
                 if group != now:
                     now, held, table = group, [], None
-                if not key[lo, 3]:
-                    held.append(part[["row", "id", "code", "cell"]])
-                elif held:
-                    if table is None:
-                        have = pd.concat(held)
-                        code = np.stack([np.frombuffer(x, np.int8) for x in have.code]).astype(np.float32)
-                        code /= np.linalg.norm(code, axis=1, keepdims=True)
-                        cell = have.cell.to_numpy()
-                        table = have.row.to_numpy(np.int64), have.id.to_numpy(np.int64), code, np.searchsorted(cell, np.arange(BLOCK_CELLS + 1))
-                    rows, ids, code, starts = table
-                    q = np.stack([np.frombuffer(x, np.int8) for x in part.code]).astype(np.float32)
-                    q /= np.linalg.norm(q, axis=1, keepdims=True)
-                    slots, own = best.slots(part.row.to_numpy(np.int64)), part.id.to_numpy(np.int64)
-                    visits = [np.asarray(c, np.int64) for c in part.cells]
-                    who, cells = np.repeat(np.arange(len(q)), [len(c) for c in visits]), np.concatenate(visits)
-                    order = np.argsort(cells, kind="stable")
-                    who, ends = who[order], np.searchsorted(cells[order], np.arange(BLOCK_CELLS + 1))
-                    for c in np.unique(cells).tolist():
-                        i, j = starts[c], starts[c + 1]
-                        asked = who[ends[c] : ends[c + 1]]
-                        for a in range(i, j, 1024):
-                            z = min(j, a + 1024)
-                            s = q[asked] @ code[a:z].T
-                            x, y = np.nonzero((s > best.least[slots[asked]][:, None]) & (own[asked][:, None] != ids[a:z]))
-                            if len(x):
-                                best.add(slots[asked[x]], rows[a + y], s[x, y].astype(np.float64))
+                if not key[lo, 2]:
+                    held.append(part[["row", "id", "code", "rank"]])
+                    continue
+                if table is None:
+                    have = pd.concat(held)
+                    table = have.row.to_numpy(np.int64), have.id.to_numpy(np.int64), decoded(have.code), have["rank"].to_numpy(np.int64)
+                rows, ids, code, ranks = table
+                slots, own, first, last = best.slots(part.row.to_numpy(np.int64)), part.id.to_numpy(np.int64), part["first"].to_numpy(np.int64), part["last"].to_numpy(np.int64)
+                q = decoded(part.code)
+                for i in range(0, len(q), ASKED):
+                    c = slice(i, i + ASKED)
+                    a, z = np.searchsorted(ranks, first[c].min()), np.searchsorted(ranks, last[c].max(), side="right")
+                    s = q[c] @ code[a:z].T
+                    inside = (first[c, None] <= ranks[None, a:z]) & (ranks[None, a:z] <= last[c, None])
+                    x, y = np.nonzero(inside & (s > best.least[slots[c]][:, None]) & (own[c, None] != ids[None, a:z]))
+                    if len(x):
+                        best.add(slots[c][x], rows[a + y], s[x, y].astype(np.float64))
             if len(best.slot) > SLOTS:
                 yield best.take()
         yield best.take()
@@ -259,11 +240,22 @@ def meet(dealt: DataFrame, few: int) -> DataFrame:
     return dealt.mapInPandas(run, "query long, row long, score double")
 
 
+def visited(placed: DataFrame, asked: DataFrame, few: int) -> DataFrame:
+    """As meet. placed: ordering, rank, row, id and code of all rows; asked: the same of queries, with the first and last rank
+    that they meet."""
+    block = lambda c: F.floor(F.col(c) / F.lit(BLOCK)).cast("long")
+    cols = ["ordering", "block", "asks", "rank", "row", "id", "code", "first", "last"]
+    none = F.lit(None).cast("long")
+    held = placed.withColumns({"block": block("rank"), "asks": F.lit(False), "first": none, "last": none})
+    asks = asked.withColumns({"block": F.explode(F.sequence(block("first"), block("last"))), "asks": F.lit(True)})
+    order = ["ordering", "block", "asks", "rank"]
+    return meet(held.select(cols).union(asks.select(cols)).repartition("ordering", "block").sortWithinPartitions(*order), few)
+
+
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11, measured: dict | None = None) -> DataFrame:
     """query_id, rank, id, score: of each row of vectors for which is_query(id column) holds, the k nearest found.
     measured: gets the number of rows on the curves, of queries, and of rows that these meet in all their windows."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "ann")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def to_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -274,9 +266,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     place = F.row_number().over(Window.partitionBy("vec").orderBy("id", "row"))
     shown = scratch.put("shown", rows.withColumn("copy", place).where(F.col("copy") <= k + 1))
     n, length = shown.count(), next((len(r.vec) // 8 for r in shown.select("vec").head(1)), 1)
-    bits = max(8, round(math.log2(max(n, 1) / CELL_ROWS)))
-    curves = [Curve(o, length, bits, seed) for o in range(ORDERINGS)]
-    cosine, least = fitted(shown, curves, k)
+    curves = [Curve(o, length, seed) for o in range(ORDERINGS)]
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -284,51 +274,31 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
                 x = units(_matrix(b.vec))
                 code = [c.tobytes() for c in coded(x)]
                 for o, c in enumerate(curves):
-                    key = hilbert((c.project(x) > 0).astype(np.int64), 1)
-                    yield pd.DataFrame({"ordering": o, "block": key // BLOCK_CELLS, "cell": key % BLOCK_CELLS, "row": b.row, "id": b.id, "code": code})
-
-    def visiting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                x = units(_matrix(part.vec))
-                who = list(zip(part.row, part.id, (c.tobytes() for c in coded(x))))
-                for o, c in enumerate(curves):
-                    out: list[tuple] = []
-                    for w, above, below in zip(who, *c.near(c.project(x), cosine)):
-                        key = np.sort(c.visits(above, below, least))
-                        blocks, starts = np.unique(key // BLOCK_CELLS, return_index=True)
-                        out += [(o, block, *w, cells) for block, cells in zip(blocks.tolist(), np.split(key % BLOCK_CELLS, starts[1:]))]
-                    yield pd.DataFrame(out, columns=["ordering", "block", "row", "id", "code", "cells"])
-
-    placed = scratch.put("curves", shown.select("row", "id", "vec").mapInPandas(keyed, "ordering int, block long, cell int, row long, id long, code binary"))
-    asked = scratch.put("visits", shown.where("is_query").select("row", "id", "vec").mapInPandas(visiting, "ordering int, block long, row long, id long, code binary, cells array<int>"))
-    large = scratch.put("large", placed.groupBy("ordering", "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(LARGE_BLOCK)).cast("int").alias("salts")).where("salts > 1"))
-    salts = F.lit(1)
-    if large.head(1):
-        placed, asked, salts = placed.join(large, ["ordering", "block"], "left"), asked.join(large, ["ordering", "block"], "left"), F.coalesce("salts", F.lit(1))
-    cols = ["ordering", "block", "salt", "asks", "cell", "row", "id", "code", "cells"]
-    held = placed.withColumns({"salt": F.pmod(F.xxhash64("row"), salts).cast("int"), "asks": F.lit(False), "cells": F.lit(None).cast("array<int>")})
-    asks = asked.withColumns({"salt": F.explode(F.sequence(F.lit(0), salts - 1)), "asks": F.lit(True), "cell": F.lit(0)})
-    dealt = held.select(cols).union(asks.select(cols)).repartitionByRange(parts, "ordering", "block", "salt").sortWithinPartitions("ordering", "block", "salt", "asks", "cell")
-    met = meet(dealt, 2 * k + 2)
+                    yield pd.DataFrame({"ordering": o, "key": c.key(x), "row": b.row, "id": b.id, "is_query": b.is_query, "code": code})
+
+    keys = shown.select("row", "id", "vec", "is_query").mapInPandas(keyed, "ordering int, key long, row long, id long, is_query boolean, code binary")
+    ranked = with_position(keys, ["ordering", "key", "row"], scratch, "keys")  # n rows of each ordering, one after the other
+    placed = scratch.put("curves", ranked.select("ordering", (F.col("position") - F.col("ordering") * F.lit(n).cast("long")).alias("rank"), "row", "id", "is_query", "code"))
+    scratch.drop("keys")
+    window = fitted(shown, placed, n, k) if n else 0
+    most = F.lit(max(n - 1, 0)).cast("long")
+    asked = placed.where("is_query").withColumns({"first": F.greatest(F.col("rank") - window, F.lit(0)), "last": F.least(F.col("rank") + window, most)})
     if measured is not None:
-        cells = placed.groupBy("ordering", "block", "cell").agg(F.count(F.lit(1)).alias("n"))
-        rows_met = asked.select("ordering", "block", F.explode("cells").alias("cell")).join(cells, ["ordering", "block", "cell"]).agg(F.sum("n")).first()[0]
-        measured |= {"rows": n, "queries": shown.where("is_query").count(), "met": rows_met or 0}
+        met = asked.agg(F.sum(F.col("last") - F.col("first"))).first()[0]
+        measured |= {"rows": n, "queries": shown.where("is_query").count(), "met": met or 0, "window": window}
 
     # the best of all partitions; then exact scores of twice as many as are asked for
     order = Window.partitionBy("query").orderBy(F.desc("score"), "row")
-    near = met.groupBy("query", "row").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * k + 2)
-    pairs = scratch.put("pairs", near.select("query", "row"))
-    scratch.drop("curves", "visits", "large")
+    best = lambda met: met.groupBy("query", "row").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * k + 2).select("query", "row")
+    pairs = scratch.put("pairs", best(visited(placed, asked, 2 * k + 2)))
     enough = pairs.groupBy("query").count().where(F.col("count") >= min(k, n - 1))
-    short = scratch.put("short", shown.where("is_query").join(enough, shown.row == enough["query"], "left_anti").select("row", "id", "vec"))
-    last = -1
-    while some := short.where(F.col("row") > last).orderBy("row").limit(ROUND).collect():
-        last = some[-1].row
-        ask = spark.createDataFrame([(i, r.row) for i, r in enumerate(some)], "ask long, query long")
-        pairs = pairs.union(scan(shown, some, k).join(F.broadcast(ask), "ask").select("query", "row"))
+    short = scratch.put("short", shown.where("is_query").join(enough, shown.row == enough["query"], "left_anti").select("row"))
+    if 2 * window + 1 < n and short.head(1):
+        one = placed.where("ordering = 0")
+        whole = one.join(short, "row").withColumns({"first": F.lit(0).cast("long"), "last": most})
+        pairs = scratch.put("pairs-of-all", pairs.join(short, pairs["query"] == short.row, "left_anti").union(best(visited(one, whole, 2 * k + 2))))
+        scratch.drop("pairs")
+    scratch.drop("curves")
     copies = shown.groupBy("vec").agg(F.collect_list("row").alias("firsts"))  # k + 1 at most
     late = rows.where("is_query").join(shown.select("row"), "row", "left_anti").join(copies, "vec")
     pairs = pairs.union(late.select(F.col("row").alias("query"), F.explode("firsts").alias("row")))
