@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+#: Tables in the shared folder that this process has made and not yet deleted.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table to the shared folder and read from there: what follows starts anew, and a lost executor
     costs only the work done since."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = owned(f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def owned(path: str) -> str:
+    """path, which `release` will delete."""
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that operators have left in the shared folder, and gives their number. Results that operators gave
+    before read them, so whoever calls this has written or collected those; a job does after each of its steps."""
+    n = len(_made)
+    while _made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
