@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, Scratch, remixed, set_id, with_position
+from .common import SPACES, Scratch, remixed, rows_at_once, set_id, with_position
 from .graph import components
 
 #: log2 of the table of word counts, which goes to every task.
@@ -48,7 +48,7 @@ ORDERS, EARLY = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F),
 STEPS = 3
 #: Pairs of bitmaps that are held against each other at once.
 PAIRS = 1 << 15
-#: Rows that a task turns to arrays at once.
+#: Rows that a task is handed, and turns to arrays, at once.
 ROWS = 1000
 #: Bytes of text whose words are hashed at once, if no single text is longer; words of so many bytes are hashed one by one.
 TEXTS, LONG = 1 << 20, 256
@@ -154,7 +154,10 @@ def word_heat(docs: DataFrame) -> np.ndarray:
 
     schema = "part int, counts binary"
     n = np.zeros(1 << COUNT_BITS, np.int64)
-    for part, counts in docs.select(F.col("text").cast("binary").alias("_text")).mapInPandas(count, schema).repartition("part").mapInPandas(add, schema).collect():  # 2^COUNT_BITS numbers
+    counted = docs.select(F.col("text").cast("binary").alias("_text")).mapInPandas(count, schema).repartition("part").mapInPandas(add, schema)
+    with rows_at_once(docs.sparkSession, ROWS):
+        found = counted.collect()  # 2^COUNT_BITS numbers
+    for part, counts in found:
         n[part * SEGMENT : (part + 1) * SEGMENT] = np.frombuffer(counts, np.int64)
     return (4 * np.log2(n + 1)).astype(np.uint8)
 
@@ -216,12 +219,15 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("_text"))
     sent = F.broadcast(wanted) if wanted.count() <= SENT else wanted
     found = texts.join(sent, ["doc", "text_hash"]).select("set", "_text").mapInPandas(run, "set long, tokens array<long>")
-    sets = scratch.put(f"{name}-sets", found.dropDuplicates(["set"]))  # of rows that repeat a doc_id and its text
+    with rows_at_once(docs.sparkSession, ROWS):
+        sets = scratch.put(f"{name}-sets", found)
+    if not sets.groupBy("set").count().where("count > 1").isEmpty():  # rows that repeat a doc_id and its text
+        sets = scratch.put(f"{name}-once", sets.dropDuplicates(["set"]))
     left, right = sets.select(F.col("set").alias("a"), F.col("tokens").alias("_x")), sets.select(F.col("set").alias("b"), F.col("tokens").alias("_y"))
     # apart, so that the overlap is counted once
     counted = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("_x").alias("x"), F.size("_y").alias("y"), F.explode(F.array(F.size(F.array_intersect("_x", "_y")))).alias("shared"))
     links = scratch.put(f"{name}-links", counted.where(F.col("shared") * 100 >= percent * (F.col("x") + F.col("y") - F.col("shared"))).select("a", "b"))
-    scratch.drop(f"{name}-wanted", f"{name}-sets")
+    scratch.drop(f"{name}-wanted", f"{name}-sets", f"{name}-once")
     return links
 
 
@@ -341,18 +347,23 @@ def similar_sets(docs: DataFrame, shingle: int, percent: int, scratch: Scratch)
     """(rows, roots): doc_id, set and size of every row of docs; and (node, root), the sets that have a link with one that
     stands for their class."""
     spark = docs.sparkSession
-    rows = scratch.put("rows", shingled(docs, shingle, percent, word_heat(docs)))
+    heat = word_heat(docs)
+    with rows_at_once(spark, ROWS):
+        rows = scratch.put("rows", shingled(docs, shingle, percent, heat))
     of_set = rows.where("size > 0").groupBy("set").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_hash")).alias("row"), *(F.first(c).alias(c) for c in ("size", "first", "bits")))
     spare = F.col("size") - F.aggregate("bits", F.lit(0), lambda n, w: n + F.bit_count(w))  # tokens that share their bit with another of their set
     nodes = scratch.put("nodes", of_set.select("set", "row.*", "size", "first", "bits", spare.alias("spare")))
     entries = nodes.select("set", F.posexplode("first").alias("at", "token"))
     orders = [F.min(F.col("set").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"h{i}") for i, x in enumerate(ORDERS)]
-    cells = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *orders).where("n > 1")
+    cells = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), orders[0]).where("n > 1")
     place = F.row_number().over(Window.partitionBy("set").orderBy("at"))  # of its tokens that are in cells
     met = scratch.put("met", entries.join(cells, "token").join(nodes.select("set", "size"), "set").withColumn("at", place))
 
-    heads = F.explode(F.when(F.col("n") == 2, F.array("h0")).otherwise(F.array(*(f"h{i}" for i in range(len(ORDERS))))))
-    asked = met.where(F.col("at") <= EARLY).select("set", "size", heads.alias("head")).where("set <> head").distinct()
+    # most tokens are in one set alone, so the other representatives are of what is left
+    others = scratch.put("others", met.where("n > 2").groupBy("token").agg(*orders[1:]))
+    early = met.where(F.col("at") <= EARLY)
+    more_heads = early.where("n > 2").join(others, "token").select("set", "size", F.explode(F.array(*(f"h{i}" for i in range(1, len(ORDERS))))).alias("head"))
+    asked = early.select("set", "size", F.col("h0").alias("head")).union(more_heads).where("set <> head").distinct()
     of_head = nodes.select(F.col("set").alias("head"), F.col("size").alias("head_size"))
     to_heads = asked.join(of_head, "head").where(_fits(F.col("size"), F.col("size"), F.col("head_size"), F.col("head_size"), percent)).select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct()
     links = verified(docs, nodes, scratch.put("to-heads", possible(to_heads, nodes, percent)), shingle, percent, scratch, "heads")
@@ -362,7 +373,7 @@ def similar_sets(docs: DataFrame, shingle: int, percent: int, scratch: Scratch)
     members = named.join(mixed, "token").join(nodes.select("set", "bits"), "set")
     more = verified(docs, nodes, scratch.put("left", possible(candidates(members, scratch, percent), nodes, percent)), shingle, percent, scratch, "trees")
     roots = components(links.union(more), Scratch(spark, "components"))
-    scratch.drop("met", "to-heads", "named", "placed", "tops", "left", "nodes", *(f"labels-{k}" for k in range(STEPS)))
+    scratch.drop("met", "others", "to-heads", "named", "placed", "tops", "left", "nodes", *(f"labels-{k}" for k in range(STEPS)))
     return rows.select("doc_id", "set", "size"), roots
 
 

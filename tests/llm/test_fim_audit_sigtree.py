@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coreloom.llm import audit, fim, queries, sigtree
-from coreloom.llm.common import Scratch
+from coreloom.llm.common import Scratch, rows_at_once
 
 from ..oracle import compare
 from .test_dedup import WORD, lower, near_copies
@@ -218,3 +218,46 @@ def test_a_large_group_of_near_copies(spark):
     began = time.time()
     got = sigtree.join(spark.createDataFrame(rows, DOC).repartition(4)).select("component_id").distinct().collect()
     assert [r.component_id for r in got] == [0] and time.time() - began < 120
+
+
+def test_texts_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    """Each step of the join that hands whole texts to Python does so by ROWS rows; the session's own number is back afterwards."""
+    key, found, put = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, Scratch.put
+
+    def seen(self, name, df):
+        found[name] = spark.conf.get(key)
+        return put(self, name, df)
+
+    def lengths(batches):
+        for b in batches:
+            yield b.assign(id=len(b))
+
+    monkeypatch.setattr(Scratch, "put", seen)
+    was = spark.conf.get(key)
+    rows = [(i, " ".join(f"w{i // 3}-{k}" for k in range(60 - i % 3)), "s") for i in range(60)]
+    got = sigtree.join(spark.createDataFrame(rows, DOC)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 3 * 3 for i in range(60)}
+    assert {found[k] for k in ("rows", "heads-sets", "trees-sets")} == {str(sigtree.ROWS)} and spark.conf.get(key) == was
+    with rows_at_once(spark, 7):
+        assert spark.range(100).repartition(2).mapInPandas(lengths, "id long").agg(F.max("id")).first()[0] == 7
+    with pytest.raises(ValueError), rows_at_once(spark, 7):
+        raise ValueError
+    assert spark.conf.get(key) == was
+
+
+def test_a_row_is_read_again_once(spark, monkeypatch):
+    """Tokens are dealt out by set only for the join, but for rows that repeat a doc_id and its text."""
+    written, put = [], Scratch.put
+
+    def seen(self, name, df):
+        written.append(name)
+        return put(self, name, df)
+
+    monkeypatch.setattr(Scratch, "put", seen)
+    texts = [" ".join(f"w{i // 2}-{k}" for k in range(60 - i % 2)) for i in range(20)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    want = {i: i // 2 * 2 for i in range(20)}
+    assert {r.doc_id: r.component_id for r in sigtree.join(spark.createDataFrame(rows, DOC)).collect()} == want
+    assert "heads-sets" in written and "heads-once" not in written
+    got = sigtree.join(spark.createDataFrame(rows + rows[:4], DOC)).collect()
+    assert len(got) == 24 and {r.doc_id: r.component_id for r in got} == want and "heads-once" in written
