@@ -1,16 +1,22 @@
 """Jaccard join of texts on word n-grams, by signature trees.
 
 A text is the set of its distinct shingles. Sets that reach a similarity share a token among the first few of each, in any
-one order of all tokens (rare ones first, here), so every token that two sets or more have among their first is a cell, and
-the sets of a cell are the leaves of a signature tree: sorted by cell, class and size, each run of sets is a node, and runs
-of nodes are nodes again. A node holds the OR of its sets' token bitmaps and the range of their sizes, cells and classes.
-Pairs of nodes are visited from the top (Spark joins nodes of many sets) down (tasks go on within them); a pair is left
-where its cells or sizes can't fit, where all its sets are of one class already, or where the bits that the two bitmaps
-share leave less overlap possible than the similarity needs. What is left at the leaves is verified on the sets themselves.
+one order of all tokens (rare ones first, here). Every token that two sets or more have among their first has a head, the
+least of these sets, and the sets that have tokens of one head are a cell, so that sets that share many tokens meet in one
+cell or a few. The sets of a cell are the leaves of a signature tree: sorted by cell, class and size, each run of sets is a
+node, and runs of nodes are nodes again. A node holds the OR of its sets' token bitmaps and the range of their sizes, cells
+and classes. Pairs of nodes are visited from the top (Spark joins nodes of many sets) down (tasks go on within them); a pair
+is left where its cells or sizes can't fit, where all its sets are of one class already, or where the bits that the two
+bitmaps share leave less overlap possible than the similarity needs.
 
 Classes are what makes large groups of near copies cheap: before the trees are visited, each set is verified against one
 representative of each of its cells, and what these links connect is one class, inside which no pair is visited.
 
+Pairs never become rows. The first visit of two top nodes gives the sets of which a pair is left; their texts are read once
+more. A second visit leaves out pairs by bitmaps as wide as large sets need, a third verifies pairs on the sets themselves
+and gives no more links than connect what is similar: of a visit, fewer than it has sets. A pair whose sets are connected
+already, by classes or by earlier links, isn't verified.
+
 Tokens are 64-bit hashes, sets are known by 64-bit hashes of all their tokens. Tokens are ordered by the
 count of their rarest word, from a table of 2^20 counts over all rows, whatever their number. It, classes and representatives change cost only; every two sets of the
 similarity or more end in one class.
@@ -22,8 +28,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,10 +42,10 @@ from .graph import components
 
 #: log2 of the table of word counts, which goes to every task.
 COUNT_BITS, SEGMENT = 20, 4096
-#: Bits of a set's bitmap, and of the narrower one that trees have.
-BITS, NARROW = 2048, 512
+#: Bits of a set's bitmap, of the wider one at least.
+BITS = 2048
 #: Sets of a top node, which is one task's work with itself and with each other node that isn't pruned; children of a node.
-BLOCK, FAN = 2048, 8
+BLOCK, FAN = 512, 8
 #: A cell's representatives are the sets that come first in these orders; sets are verified against those of the cells of
 #: their first tokens of those that others have too. Speed only.
 ORDERS, EARLY = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F), 8
@@ -50,6 +55,8 @@ STEPS = 3
 PAIRS = 1 << 15
 #: Rows that a task is handed, and turns to arrays, at once.
 ROWS = 1000
+#: Sets that a task is handed with their tokens at once.
+SETS = 200
 #: Bytes of text whose words are hashed at once, if no single text is longer; words of so many bytes are hashed one by one.
 TEXTS, LONG = 1 << 20, 256
 SPACE_BYTES = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), np.uint8))
@@ -168,12 +175,22 @@ def few_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield b.iloc[at : at + ROWS]
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(tokens >> np.uint64(COUNT_BITS)).astype(np.int64) % BITS] = 1
+def bitmap(tokens: np.ndarray, n: int = BITS) -> np.ndarray:
+    bits = np.zeros(n, np.uint8)
+    bits[(tokens >> np.uint64(COUNT_BITS)).astype(np.int64) % n] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def wide_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of a power of two of bits, two for each token at least."""
+    return bitmap(tokens, max(BITS, 1 << (2 * len(tokens)).bit_length()))
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap as it is with so many words, which are no more than it has."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
 def shingled(docs: DataFrame, shingle: int, percent: int, heat: np.ndarray) -> DataFrame:
     """Of every row of docs: doc_id, text_hash, set (its id), size, first (the tokens that come first) and bits."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,22 +224,28 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_enough("x", "y", percent)).select("a", "b")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are similar; the texts of their sets are read once more."""
+def read_again(docs: DataFrame, nodes: DataFrame, some: DataFrame, shingle: int, scratch: Scratch, name: str) -> DataFrame:
+    """set, tokens and wide (bitmap) of the sets that `some` lists once each; their texts are read once more."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in few_rows(batches):
             sets = [h for h, _ in token_sets(b._text, shingle)]
             right = np.array([set_id(h) for h in sets], np.int64) == b.set.to_numpy()
-            yield b[["set"]].assign(tokens=[h.view(np.int64) for h in sets])[right]
+            yield b[["set"]].assign(tokens=[h.view(np.int64) for h in sets], wide=[wide_bitmap(h) for h in sets])[right]
 
-    wanted = scratch.put(f"{name}-wanted", pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(nodes.select("set", "doc", "text_hash"), "set"))
+    wanted = scratch.put(f"{name}-wanted", some.join(nodes.select("set", "doc", "text_hash"), "set"))
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("_text"))
     sent = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-    found = texts.join(sent, ["doc", "text_hash"]).select("set", "_text").mapInPandas(run, "set long, tokens array<long>")
+    found = texts.join(sent, ["doc", "text_hash"]).select("set", "_text").mapInPandas(run, "set long, tokens array<long>, wide array<long>")
     with rows_at_once(docs.sparkSession, ROWS):
         sets = scratch.put(f"{name}-sets", found)
     if not sets.groupBy("set").count().where("count > 1").isEmpty():  # rows that repeat a doc_id and its text
         sets = scratch.put(f"{name}-once", sets.dropDuplicates(["set"]))
+    return sets
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are similar."""
+    sets = read_again(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), shingle, scratch, name)
     left, right = sets.select(F.col("set").alias("a"), F.col("tokens").alias("_x")), sets.select(F.col("set").alias("b"), F.col("tokens").alias("_y"))
     # apart, so that the overlap is counted once
     counted = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("_x").alias("x"), F.size("_y").alias("y"), F.explode(F.array(F.size(F.array_intersect("_x", "_y")))).alias("shared"))
@@ -282,54 +305,114 @@ def meet(x: Tree, y: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return (a[:0], b[:0]) if x is y and top == 1 else (a, b)
 
 
-def candidates(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that the trees leave. members: token (the cell), head (a set of it by which alike cells lie side
-    by side, so that a pair that meets in several of them is one), set, size, cls and bits."""
-    words, times = range(NARROW // 64), BITS // NARROW
-    narrow = F.array(*(reduce(Column.bitwiseOR, [F.get("bits", F.lit(w + t * len(words))) for t in range(times)]) for w in words))
-    spare = F.col("size") - sum((F.bit_count(F.get("bits", F.lit(w))) for w in words), F.lit(0))  # tokens that share their bit with another of their set
-    rows = members.withColumn("bits", narrow).withColumn("spare", spare)
-    placed = with_position(rows, ["head", "token", "cls", "size", "set"], scratch, "placed").withColumn("block", F.floor(F.col("position") / F.lit(BLOCK)))
-    ends = [f("token", "position").alias(f"token{k}") for k, f in enumerate((F.min_by, F.max_by))]
+def units(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Of each unit (i, j), two top nodes that may hold similar sets (or one, with itself): block, position, head, set, size,
+    cls and bits of its sets. members: head (the cell), set, size, cls, low (a size that a class has once), bits and spare."""
+    words = range(BITS // 64)
+    placed = with_position(members, ["head", "low", "cls", "size", "set"], scratch, "placed").withColumn("block", F.floor(F.col("position") / F.lit(BLOCK)))
+    ends = [f("head", "position").alias(f"head{k}") for k, f in enumerate((F.min_by, F.max_by))]
     tops = placed.groupBy("block").agg(*ends, *(f(c).alias(f"{c}{k}") for c in ("size", "cls") for k, f in enumerate((F.min, F.max))), F.max("spare").alias("spare"), *(F.bit_or(F.get("bits", F.lit(w))).alias(f"w{w}") for w in words))
     tops = scratch.put("tops", tops.withColumn("bits", F.array(*(f"w{w}" for w in words))).drop(*(f"w{w}" for w in words)))
     # in the order of cells, two nodes have at most one cell in common: the last of one, the first of the other
     x, y = (tops.select(*(F.col(c).alias(f"{p}_{c}") for c in tops.columns)) for p in "xy")
-    pairs = x.join(y, (F.col("x_token1") == F.col("y_token0")) & (F.col("x_block") < F.col("y_block")))
+    pairs = x.join(y, (F.col("x_head1") == F.col("y_head0")) & (F.col("x_block") < F.col("y_block")))
     settled = (F.col("x_cls0") == F.col("x_cls1")) & (F.col("y_cls0") == F.col("y_cls1")) & (F.col("x_cls0") == F.col("y_cls0"))
     left = pairs.where(~settled & _enough("x", "y", percent))
-    units = tops.select(F.col("block").alias("i"), F.col("block").alias("j")).union(left.select("x_block", "y_block"))
-    of_block = units.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    dealt = placed.join(of_block, "block").select("i", "j", "block", "position", "token", "set", "size", "cls", "bits")
-
-    def visit(unit: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-        token = unit.token.to_numpy()  # in order of position: a cell is a run
-        unit["cell"] = np.concatenate(([0], (token[1:] != token[:-1]).cumsum()))
-        sides = [g for _, g in unit.groupby("block", sort=True)]
-        trees = [Tree(g.cell.to_numpy(), g["size"].to_numpy(), g.cls.to_numpy(), np.stack(g.bits.to_list()).view(np.uint64)) for g in sides]
-        a, b = meet(trees[0], trees[-1], percent)
-        p, q = sides[0].set.to_numpy()[a], sides[-1].set.to_numpy()[b]
-        return [(np.minimum(p, q), np.maximum(p, q))]
+    of_unit = tops.select(F.col("block").alias("i"), F.col("block").alias("j")).union(left.select("x_block", "y_block"))
+    of_block = of_unit.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return placed.join(of_block, "block").select("i", "j", "block", "position", "head", "set", "size", "cls", "bits")
+
 
+def by_unit(dealt: DataFrame, visit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """visit(the rows of a unit, by position) of every unit."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, now = [], None  # the rows so far of the unit at hand
-
-        def done() -> pd.DataFrame:
-            found = visit(pd.concat(held, ignore_index=True))
-            pairs = np.unique(np.column_stack([np.concatenate(c) for c in zip(*found)]), axis=0)
-            return pd.DataFrame(pairs, columns=["a", "b"])
-
         for batch in batches:
             for unit, rows in batch.groupby(["i", "j"], sort=False):
                 if held and unit != now:
-                    yield done()
+                    yield visit(pd.concat(held, ignore_index=True))
                     held = []
                 held.append(rows)
                 now = unit
         if held:
-            yield done()
+            yield visit(pd.concat(held, ignore_index=True))
+
+    # by range, which deals out rows evenly
+    return dealt.repartitionByRange("i", "j").sortWithinPartitions("i", "j", "position").mapInPandas(run, schema)
+
+
+def pairs_of(unit: pd.DataFrame, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a unit's rows that the trees leave."""
+    head, size, cls, block = (unit[c].to_numpy() for c in ("head", "size", "cls", "block"))  # in order of position: a cell is a run
+    cell = np.concatenate(([0], (head[1:] != head[:-1]).cumsum()))
+    sides = [np.flatnonzero(block == k) for k in np.unique(block)]
+    trees = [Tree(cell[s], size[s], cls[s], bits[s]) for s in sides]
+    a, b = meet(trees[0], trees[-1], percent) if len(sides) > 1 or unit.i[0] == unit.j[0] else (sides[0][:0], sides[0][:0])
+    return sides[0][a], sides[-1][b]
+
+
+def wide_enough(wide: list[np.ndarray], size: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (a, b) their wide bitmaps leave; those of BITS bits have been held against each other before."""
+    left = np.ones(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        words = min(len(wide[x]), len(wide[y]))
+        if words > BITS // 64:
+            p, q = folded(wide[x], words), folded(wide[y], words)
+            spare = min(size[x] - np.bitwise_count(p).sum(dtype=np.int64), size[y] - np.bitwise_count(q).sum(dtype=np.int64))
+            left[k] = np.bitwise_count(p & q).sum(dtype=np.int64) + spare >= needed(size[x], size[y], percent)
+    return left
+
+
+def forest(sets: list[np.ndarray], cls: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the similar ones among the pairs (a, b), as many as connect all classes that all of them connect."""
+    root = list(range(int(cls.max(initial=-1)) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(cls[x]), find(cls[y])
+        if p != q:
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if shared >= needed(len(sets[x]), len(sets[y]), percent):
+                root[p] = q
+                links.append((x, y))
+    return links
+
 
-    return dealt.repartition("i", "j").sortWithinPartitions("i", "j", "position").mapInPandas(run, "a long, b long").where("a <> b").distinct()
+def tree_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of similar sets that, with those within classes, connect what all pairs of the cells do."""
+    kept = ["i", "j", "block", "position", "head", "set", "size", "cls"]
+    schema = ", ".join(f"{c} long" for c in kept)
+
+    def hopeful(unit: pd.DataFrame) -> pd.DataFrame:
+        a, b = pairs_of(unit, np.stack(unit.bits.to_list()).view(np.uint64), percent)
+        return unit.iloc[np.union1d(a, b)][kept]
+
+    def likely(unit: pd.DataFrame) -> pd.DataFrame:
+        wide = [x.view(np.uint64) for x in unit.wide]
+        a, b = pairs_of(unit, np.stack([folded(x, BITS // 64) for x in wide]), percent)
+        left = wide_enough(wide, unit["size"].to_numpy(), a, b, percent)
+        return unit.iloc[np.union1d(a[left], b[left])][kept]
+
+    def linked(unit: pd.DataFrame) -> pd.DataFrame:
+        sets, wide = ([x.view(np.uint64) for x in unit[c]] for c in ("tokens", "wide"))
+        a, b = pairs_of(unit, np.stack([folded(x, BITS // 64) for x in wide]), percent)
+        left = wide_enough(wide, unit["size"].to_numpy(), a, b, percent)
+        found = forest(sets, np.unique(unit.cls, return_inverse=True)[1], a[left], b[left], percent)
+        return pd.DataFrame(unit.set.to_numpy()[np.array(found, np.int64).reshape(-1, 2)], columns=["a", "b"])
+
+    some = scratch.put("hopeful", by_unit(units(members, scratch, percent), hopeful, schema))
+    sets = read_again(docs, nodes, some.select("set").distinct(), shingle, scratch, "trees")
+    with rows_at_once(docs.sparkSession, SETS):
+        some = scratch.put("likely", by_unit(some.join(sets.select("set", "wide"), "set"), likely, schema))
+        sent = F.broadcast(some) if some.count() <= SENT // 4 else some
+        links = scratch.put("trees-links", by_unit(sets.join(sent, "set"), linked, "a long, b long"))
+    scratch.drop("placed", "tops", "hopeful", "likely", "trees-wanted", "trees-sets", "trees-once")
+    return links
 
 
 def labelled(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -368,12 +451,14 @@ def similar_sets(docs: DataFrame, shingle: int, percent: int, scratch: Scratch)
     to_heads = asked.join(of_head, "head").where(_fits(F.col("size"), F.col("size"), F.col("head_size"), F.col("head_size"), percent)).select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct()
     links = verified(docs, nodes, scratch.put("to-heads", possible(to_heads, nodes, percent)), shingle, percent, scratch, "heads")
     classes = labelled(links, scratch)
-    named = scratch.put("named", met.join(classes, met["set"] == classes.node, "left").select("token", F.col("h0").alias("head"), "set", "size", F.coalesce("label", "set").alias("cls")))
-    mixed = named.groupBy("token").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").select("token")
-    members = named.join(mixed, "token").join(nodes.select("set", "bits"), "set")
-    more = verified(docs, nodes, scratch.put("left", possible(candidates(members, scratch, percent), nodes, percent)), shingle, percent, scratch, "trees")
+    sized = classes.join(nodes.select(F.col("set").alias("label"), F.col("size").alias("low")), "label")
+    of_cell = met.select(F.col("h0").alias("head"), "set", "size").distinct()
+    named = scratch.put("named", of_cell.join(sized, of_cell["set"] == sized.node, "left").select("head", "set", "size", F.coalesce("label", "set").alias("cls"), F.coalesce("low", "size").alias("low")))
+    mixed = named.groupBy("head").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").select("head")
+    members = named.join(mixed, "head").join(nodes.select("set", "bits", "spare"), "set")
+    more = tree_links(docs, nodes, members, shingle, percent, scratch)
     roots = components(links.union(more), Scratch(spark, "components"))
-    scratch.drop("met", "others", "to-heads", "named", "placed", "tops", "left", "nodes", *(f"labels-{k}" for k in range(STEPS)))
+    scratch.drop("met", "others", "to-heads", "named", "nodes", *(f"labels-{k}" for k in range(STEPS)))
     return rows.select("doc_id", "set", "size"), roots
 
 

@@ -220,6 +220,47 @@ def test_a_large_group_of_near_copies(spark):
     assert [r.component_id for r in got] == [0] and time.time() - began < 120
 
 
+@pytest.mark.parametrize("block", [16, 512])
+def test_pairs_of_a_group_do_not_become_rows(spark, monkeypatch, block):
+    """Copies of one text with one to four words changed, around the similarity at which they are linked: about a third of
+    these have no link with most others, and thousands of pairs are linked. No table has more than a few rows for each text
+    if its sets are one node or two; a unit of smaller nodes gives fewer links than it has sets."""
+    monkeypatch.setattr(sigtree, "BLOCK", block)
+    rng, written, put = random.Random(5), {}, Scratch.put
+    base = [f"w{i}" for i in range(150)]
+
+    def seen(self, name, df):
+        out = put(self, name, df)
+        written[name] = out.count()
+        return out
+
+    rows = []
+    for i in range(600):
+        words = base[:]
+        for at in rng.sample(range(150), rng.choice([1, 2, 2, 3, 4])):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words), "s"))
+    monkeypatch.setattr(Scratch, "put", seen)
+    got = sigtree.join(spark.createDataFrame(rows, DOC).repartition(4)).collect()
+    assert sorted(tuple(r) for r in got) == [(doc, *x) for (doc, *_), x in zip(rows, brute_join(rows, 4, 85))]
+    sets = [sets_of(t, 4) for _, t, _ in rows]
+    n_similar = sum(100 * len(a & b) >= 85 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    most = max(n for name, n in written.items() if name not in ("met", "hopeful"))
+    assert n_similar > 5000 and (block < len(rows) / 2 or most < 5 * len(rows))
+    assert written["trees-links"] < written["hopeful"]
+
+
+def test_links_of_a_unit_are_a_forest():
+    """Of ten sets in three classes, of which all pairs but those with the last are similar, two links; none within a class."""
+    common = np.arange(100, dtype=np.uint64)
+    sets = [np.concatenate((common, np.array([200 + i], np.uint64))) for i in range(9)] + [common + np.uint64(1000)]
+    a, b = np.triu_indices(10, 1)
+    cls = np.array([0, 0, 0, 1, 1, 1, 2, 2, 2, 3])
+    links = sigtree.forest(sets, cls, a, b, 85)
+    assert len(links) == 2 and {frozenset((cls[x], cls[y])) for x, y in links} <= {frozenset(p) for p in ((0, 1), (0, 2), (1, 2))}
+    assert sigtree.forest(sets, cls, a[:0], b[:0], 85) == []
+
+
 def test_texts_go_to_python_a_few_at_a_time(spark, monkeypatch):
     """Each step of the join that hands whole texts to Python does so by ROWS rows; the session's own number is back afterwards."""
     key, found, put = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, Scratch.put
