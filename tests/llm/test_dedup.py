@@ -225,3 +225,20 @@ def test_quality_drops_lines_then_documents(spark):
     assert fails == [True] * len(bad) + [False] * len(good)
     assert got[1] == (True, prose, 0) and got[2] == (True, prose, 1) and got[3][0] is False
     assert hashlib.sha256(got[1][1].encode()).digest() == hashlib.sha256(prose.encode()).digest() and np.isfinite(got[3][2])
+
+
+def test_shuffles_of_a_step_go_with_it(spark):
+    """Near-dedup takes a step for each fingerprint; the disk is not to hold the shuffles of all."""
+    def held():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {n for i in range(blocks.size()) if (n := blocks.apply(i).name()).startswith("shuffle_")}
+
+    before, scratch = held(), Scratch(spark, "freed")
+    for k in range(3):
+        rows = scratch.put(f"step-{k}", spark.range(1000).repartition(5, "id").groupBy(F.col("id") % 7).count())
+        assert len(rows.collect()) == 7
+    until = time.time() + 20
+    while time.time() < until and held() - before:  # files go a little later
+        time.sleep(0.2)
+    assert not held() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
