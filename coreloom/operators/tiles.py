@@ -26,6 +26,8 @@ TILE, MOST_TILES = 2048, 1 << 16
 LEAF = 128
 #: Distances that are computed at once.
 PAIRS = 1 << 22
+#: Rows of a cell, and rows about it, that `around` takes as one unit. Cells up to which their sizes go to every task.
+ROWS, MANY, SENT = 1024, 4096, 1 << 19
 
 UNIT = ("_cx", "_cy", "_i", "_j")
 
@@ -36,7 +38,7 @@ def extent(places: DataFrame) -> tuple[int, float, float, float, float]:
     return (r[0], *(float(v or 0.0) for v in r[1:]))
 
 
-def by_unit(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+def by_unit(batches: Iterator[pd.DataFrame], unit_columns: tuple[str, ...] = UNIT) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
     """(queries, points) of each unit, from rows that are sorted by unit."""
     held: list[pd.DataFrame] = []
     now = None
@@ -46,7 +48,7 @@ def by_unit(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.
         return rows[rows._asks], rows[~rows._asks]
 
     for b in batches:
-        keys = b[list(UNIT)].to_numpy()
+        keys = b[list(unit_columns)].to_numpy()
         ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         for a, z in zip([0, *ends], [*ends, len(b)]):
             if a == z:
@@ -75,7 +77,9 @@ def in_units(queries: DataFrame, points: DataFrame, reach: float, run: Callable[
     spread = lambda c, o: F.explode(F.sequence(cell(F.col(c) - reach, o), cell(F.col(c) + reach, o)))
     p = points.withColumn("_cx", spread("x", x0)).withColumn("_cy", spread("y", y0))
     count = lambda df, name: df.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
-    sizes = count(q, "_nq").join(count(p, "_np"), ["_cx", "_cy"])
+    sizes = cut(count(q, "_nq").join(count(p, "_np"), ["_cx", "_cy"]))
+    if sizes.count() <= SENT:  # else the rows are shuffled once more
+        sizes = F.broadcast(sizes)
     deal = lambda df, n: F.pmod(F.xxhash64(*(c for c in df.columns if not c.startswith("_") and df.schema[c].dataType.typeName() != "array")), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = q.join(sizes, ["_cx", "_cy"]).withColumns({"_i": deal(queries, "_nq"), "_j": every("_np"), "_asks": F.lit(True)}).drop("_nq", "_np")
@@ -90,6 +94,33 @@ def in_units(queries: DataFrame, points: DataFrame, reach: float, run: Callable[
     return both.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInPandas(over, schema)
 
 
+def around(rows: DataFrame, reach: float, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, cell: int = ROWS, many: int = MANY) -> tuple[DataFrame, DataFrame | None]:
+    """(What run(queries, points) gives over square cells of about `cell` rows; the rows of cells that have more than `many`
+    points, which are left to in_units: None if there are none). The queries are the rows (x, y and more) of a cell, the
+    points these and all others within `reach` of it, so what run says of a query is whole: no sums are shuffled. A row is
+    sent once to each cell that it is within reach of. Rows are read twice."""
+    spark = rows.sparkSession
+    n, x0, y0, w, h = extent(rows.select("x", "y"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    side = max(reach, math.sqrt(w * h * max(16, min(cell, n // (4 * tasks))) / max(n, 1)))
+    at = lambda c, o: F.floor((c - F.lit(o)) / F.lit(side)).cast("long")
+    own = rows.where("x is not null and y is not null").withColumns({"_ox": at(F.col("x"), x0), "_oy": at(F.col("y"), y0)})
+    spread = lambda c, o: F.explode(F.sequence(at(F.col(c) - reach, o), at(F.col(c) + reach, o)))
+    sent = own.withColumn("_cx", spread("x", x0)).withColumn("_cy", spread("y", y0))
+    sent = sent.withColumn("_asks", (F.col("_cx") == F.col("_ox")) & (F.col("_cy") == F.col("_oy"))).drop("_ox", "_oy")
+    sizes = cut(sent.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"), F.max("_asks").alias("_some")))
+    out = sizes.where((F.col("_n") > many) | ~F.col("_some")).select("_cx", "_cy")  # of too many points, or without a query
+    left = sent.join(F.broadcast(out) if out.count() <= SENT else out, ["_cx", "_cy"], "left_anti")
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for a, b in by_unit(batches, ("_cx", "_cy")):
+            yield run(a, pd.concat((a, b), ignore_index=True))
+
+    found = left.repartition("_cx", "_cy").sortWithinPartitions("_cx", "_cy").mapInPandas(over, schema)
+    dense = sizes.where((F.col("_n") > many) & F.col("_some")).select(F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy"))
+    return found, own.join(dense, ["_ox", "_oy"], "left_semi").drop("_ox", "_oy") if dense.head(1) else None
+
+
 def stacked(df: DataFrame, place: list[str], fields: list[str]) -> DataFrame:
     """A row for each place, with the fields of its rows as arrays, in the order of the fields. A log reaches 3,000 m at
     most, so what stands above each other is bounded by the step of its samples."""

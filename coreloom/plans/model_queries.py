@@ -91,14 +91,12 @@ _LOO = _vote_sql("SELECT * FROM {samples}", LH, LV, "AND q.bgs_id <> s.bgs_id")
 
 
 def _loo_votes(f: Frames) -> DataFrame:
-    s = f.samples_once
-    return spatial.vote(spatial.weigh(s, s, [(LH, LV)], exclude_own=True))
+    return spatial.vote_among(f.samples, [(LH, LV)], exclude_own=True)
 
 
 @query(f"SELECT qid, CAST(cls AS INT) AS cls, round(w, 6) AS w FROM ({_weigh_sql('SELECT * FROM {samples}', 300.0, LV)}) k")
 def kernel_vote(f: Frames) -> DataFrame:
-    s = f.samples_once
-    return rounded(spatial.weigh(s, s, [(300.0, LV)]).select("qid", "cls", "w"), "w")
+    return rounded(spatial.weigh_among(f.samples, [(300.0, LV)]).select("qid", "cls", "w"), "w")
 
 
 @query(f"SELECT qid, CAST(cls AS INT) AS cls, round(evidence, 6) AS evidence, round(p_max, 6) AS p_max FROM ({_LOO}) v")

@@ -319,3 +319,35 @@ def test_preview(spark):
     assert len(rows) == grid.nx * grid.ny * grid.nz == len({r.idx for r in rows}) and len({r.class_idx for r in rows}) > 3
     assert all(r.constrained == (r.class_idx not in (AIR, UNCONSTRAINED)) and (r.constrained or r.entropy == 1.0) for r in rows)
     assert sorted(rows) == sorted(voxels.preview(spark, grid, seed=3).collect())
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Samples at a hundred places, of which many are close together, two share a place and one is tall."""
+    rng, rows = random.Random(9), []
+    for i in range(100):
+        x, y = (rng.random() * 4000, rng.random() * 4000) if i % 3 else (500 + rng.random() * 50, 500 + rng.random() * 50)
+        if i == 7:
+            x, y = rows[0][3:5]
+        rows += [(i * 10_000 + k, i, k, x, y, 60 - 0.5 * k + rng.random() / 100, rng.randrange(4)) for k in range(3000 if i == 3 else rng.randint(1, 30))]
+    return spark.createDataFrame(rows, "qid long, bgs_id long, ord long, x double, y double, z double, cls int").persist()
+
+
+@pytest.mark.parametrize("exclude_own", [True, False])
+@pytest.mark.parametrize("many", [4096, 60, 1])
+def test_samples_among_themselves_in_whole_cells_and_in_parts(crowd, exclude_own, many):
+    params = [(150.0, 2.5), (600.0, 1.5)]
+    others = crowd.select("*")  # queries of their own: sums by query
+    weights = spatial.weigh(others, crowd, params, exclude_own)
+    want = {(r.lh, r.lv, r.qid, r.cls): r.w for r in weights.collect()}
+    got = {(r.lh, r.lv, r.qid, r.cls): r.w for r in spatial.weigh_among(crowd, params, exclude_own, 16, many).collect()}
+    assert got == {k: pytest.approx(w) for k, w in want.items()}
+    want = {(r.lh, r.lv, r.qid): (r.evidence, r.p_max, r.entropy) for r in spatial.vote(weights).collect()}
+    named = crowd.withColumn("qid", F.struct("bgs_id", "ord"))
+    for samples, key in ((crowd, lambda q: q), (named, lambda q: q.bgs_id * 10_000 + q.ord)):
+        got = {(r.lh, r.lv, key(r.qid)): (r.evidence, r.p_max, r.entropy) for r in spatial.vote_among(samples, params, exclude_own, 16, many).collect()}
+        assert got == {k: pytest.approx(w, abs=1e-9) for k, w in want.items()}
+
+
+def test_votes_among_samples_shuffle_no_weights(crowd):
+    assert "Aggregate" not in spatial.vote_among(crowd, [(600.0, 2.5)], True)._jdf.queryExecution().executedPlan().toString()
