@@ -143,7 +143,7 @@ def ramps(sizes: np.ndarray) -> np.ndarray:
 # --- the nearest place of another site
 
 
-def _nearest(q: tuple[np.ndarray, np.ndarray, np.ndarray], p: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def nearest(q: tuple[np.ndarray, np.ndarray, np.ndarray], p: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(squared distance, id) of the nearest p of another id for each q (ids, x, y); ties to the smaller id; infinite without."""
     best, who = np.full(len(q[0]), np.inf), np.zeros(len(q[0]), np.int64)
     step = max(1, PAIRS // max(1, len(p[0])))
@@ -173,7 +173,7 @@ class Leaves:
         self.box = _box(p, self.at)
 
     def nearest(self, q: tuple[np.ndarray, np.ndarray, np.ndarray], radius2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """As _nearest, within the squared radius of each query; queries in the order of the curve share their leaves."""
+        """As nearest, within the squared radius of each query; queries in the order of the curve share their leaves."""
         best, who = np.full(len(q[0]), np.inf), np.zeros(len(q[0]), np.int64)
         for i in range(0, len(q[0]), LEAF):
             s = slice(i, i + LEAF)
@@ -188,7 +188,7 @@ class Leaves:
                 if far[leaves[0]] > min(worst, b.max()):
                     break
                 take = np.concatenate([np.arange(self.at[n], min(self.at[n] + LEAF, len(self.p[0]))) for n in leaves])
-                d, c = _nearest(part, tuple(v[take] for v in self.p))
+                d, c = nearest(part, tuple(v[take] for v in self.p))
                 closer = (d < b) | (d == b) & (c < w)
                 b, w = np.where(closer, d, b), np.where(closer, c, w)
             best[s], who[s] = b, w

@@ -11,7 +11,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.vocab import CLASSES, EVIDENCE
-from ..operators.lineage import cut
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _NAMES = "CASE cls " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLASSES)) + " END"
@@ -138,11 +137,6 @@ class Frames:
                 self._known[name] = self.spark.sql(VIEWS[name], **{x: getattr(self, x) for x in used})
         return self._known[name]
 
-    @cached_property
-    def samples_once(self) -> DataFrame:
-        """The view samples, written once for the joins that read it twice."""
-        return cut(self.samples)
-
     @cached_property
     def area(self) -> tuple[float, float, float, float]:
         return (383000.0, 203000.0, 386000.0, 206500.0)

@@ -120,7 +120,7 @@ _BASE = """
 
 @query(f"SELECT qid, CAST(cls AS INT) AS cls FROM ({_BASE}) b")
 def nn_baseline(f: Frames) -> DataFrame:
-    return spatial.baseline(f.samples_once)
+    return spatial.baseline(f.samples)
 
 
 _LOO_ROW = f"""
@@ -134,7 +134,7 @@ _LOO_OUT = "n_sites, n_points, " + ", ".join(f"round({'100 * (accuracy - baselin
 
 
 def _loo_row(f: Frames) -> DataFrame:
-    return spatial.leave_one_out(f.samples_once, [(LH, LV)])
+    return spatial.leave_one_out(f.samples, [(LH, LV)])
 
 
 @query(_LOO_ROW + f"SELECT {_LOO_OUT} FROM t")
@@ -150,7 +150,7 @@ def model_gates(f: Frames) -> DataFrame:
 
 @query()
 def tune(f: Frames) -> DataFrame:
-    return spatial.tune(f.samples_once)
+    return spatial.tune(f.samples)
 
 
 # --- voxels

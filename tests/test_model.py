@@ -351,3 +351,16 @@ def test_samples_among_themselves_in_whole_cells_and_in_parts(crowd, exclude_own
 
 def test_votes_among_samples_shuffle_no_weights(crowd):
     assert "Aggregate" not in spatial.vote_among(crowd, [(600.0, 2.5)], True)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("many", [4096, 20])
+def test_leave_one_out_and_baseline_alike_in_cells_and_in_parts(crowd, many):
+    rows = crowd.where("bgs_id <> 3 and (bgs_id % 9 < 5 or bgs_id = 98)").withColumn("x", F.when(F.col("bgs_id") == 98, 90_000.0).otherwise(F.col("x"))).persist()  # a site far off
+    few = [tuple(r) for r in rows.collect()]
+    got = spatial.leave_one_out(rows, [(600.0, 2.5)], cell=16, many=many).first()
+    assert (got.accuracy, got.constrained_fraction) == pytest.approx(brute_loo(few, 600.0, 2.5))
+    sites = spatial._sites(rows, F.col("qid"))
+    want = {r.qid: r.cls for r in spatial._baseline(sites).collect()}
+    assert {r.qid: r.cls for r in spatial.baseline(rows, 16, many).collect()} == want
+    assert got.baseline_accuracy == pytest.approx(sum(want.get(r[0]) == r[6] for r in few) / len(few))
+    assert got.n_points == len(few)
